@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, html, media, packing, pii, quality, toxicity
+from sluice.llm import ann, bpe, html, media, packing, pii, quality, repeats, toxicity
 from sluice.llm.common import crc_mod, table
 
 
@@ -51,12 +51,20 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = quality.quality(docs, labels.where(crc_mod("doc_id", 5) != 0))
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html, op3_media, op4_pii, op5_packing, op6_bpe, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html, op3_media, op4_pii, op5_packing, op6_bpe, op7_ann, op8_repeats, op9_quality)}
 
 ORACLES: dict[str, str] = {}
