@@ -23,7 +23,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from sluice.llm.common import map_batches
+from sluice.llm.common import fields, map_batches
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -162,8 +162,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
         return work
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), f"`{id_col}` {kind}, n_tokens long, ids binary", make)
+    return map_batches(docs.select(id_col, text_col), fields(docs, id_col, "n_tokens long, ids binary"), make)
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -178,5 +177,4 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc
 
         return work
 
-    kind = encoded.schema[id_col].dataType.simpleString()
-    return map_batches(encoded.select(id_col, "n_tokens", "ids"), f"`{id_col}` {kind}, n_tokens long, ids binary, decoded binary", make)
+    return map_batches(encoded.select(id_col, "n_tokens", "ids"), fields(encoded, id_col, "n_tokens long, ids binary, decoded binary"), make)

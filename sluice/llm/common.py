@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +48,12 @@ def persist(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
+def fields(df: DataFrame, column: str, rest: str) -> T.StructType:
+    """A schema of ``column`` as it is in ``df``, whatever its type, and the fields of ``rest``."""
+    return T.StructType([T.StructField(column, df.schema[column].dataType), *T.StructType.fromDDL(rest).fields])
+
+
+def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
     """Apply a per-task worker to the Arrow batches of ``df``.
 
     ``make`` runs once in each task, so models and caches are built once; the

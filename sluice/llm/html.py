@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import map_batches, persist
+from sluice.llm.common import fields, map_batches, persist
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
 NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
@@ -264,7 +264,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     side = F.broadcast(trees) if size <= settings.broadcast_bytes else trees
     own = pages.select(id_col, url_col, F.col(html_col).alias("_html"), host_of(F.col(url_col)).alias("_host"))
     joined = own.join(side, "_host", "left").select(id_col, url_col, "_html", "low")
-    kinds = f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, `{url_col}` string, text string"
 
     def make():
         def work(batch: pa.RecordBatch):
@@ -273,4 +272,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
         return work
 
-    return map_batches(joined, kinds, make)
+    return map_batches(joined, fields(joined, id_col, f"`{url_col}` string, text string"), make)

@@ -26,7 +26,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sluice.llm.common import map_batches
+from sluice.llm.common import fields, map_batches
 
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 #: Cues that introduce an account identifier, and schemes of addresses.
@@ -151,7 +151,6 @@ def masked(text: str | None, parts: list[tuple[str, int, int]]) -> str | None:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: bool = False) -> DataFrame:
     """(id, spans [, masked text]) of every row; ``spans`` is array<struct<kind, start, end>>."""
-    kind = docs.schema[id_col].dataType.simpleString()
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def make():
@@ -167,4 +166,4 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask:
 
         return work
 
-    return map_batches(docs.select(id_col, text_col), f"`{id_col}` {kind}, spans array<struct<kind: string, start: long, end: long>>" + ", masked string" * mask, make)
+    return map_batches(docs.select(id_col, text_col), fields(docs, id_col, "spans array<struct<kind: string, start: long, end: long>>" + ", masked string" * mask), make)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import map_batches
+from sluice.llm.common import fields, map_batches
 from sluice.llm.numeric import Adam, sigmoid
 
 LETTERS = re.compile(r"[^\W\d_]")
@@ -222,8 +222,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
         return work
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), f"`{id_col}` {kind}, score double", make)
+    return map_batches(docs.select(id_col, text_col), fields(docs, id_col, "score double"), make)
 
 
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:

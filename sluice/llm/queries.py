@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import ann, bpe, html, media, packing, pii, quality, repeats, toxicity
+from sluice.llm import ann, bpe, html, media, near, packing, pii, quality, repeats, toxicity
 from sluice.llm.common import crc_mod, table
 
 
@@ -65,6 +65,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html, op3_media, op4_pii, op5_packing, op6_bpe, op7_ann, op8_repeats, op9_quality)}
+def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html, op3_media, op4_pii, op5_packing, op6_bpe, op7_ann, op8_repeats, op9_quality, op10_near)}
 
 ORACLES: dict[str, str] = {}

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import map_batches, persist
+from sluice.llm.common import fields, map_batches, persist
 
 
 @dataclass(frozen=True)
@@ -360,7 +360,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     k, tag = digests(F.col(text_col))
     own = docs.select(F.struct(F.col(id_col), *carry).alias("_row"), k, tag, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     joined = own.join(ranges, ["k", "tag"], "left").select("_row", "_text", "ranges")
-    row = joined.schema["_row"].dataType.simpleString()
 
     def make():
         def work(batch: pa.RecordBatch):
@@ -378,5 +377,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return work
 
-    made = map_batches(joined, f"_row {row}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string", make)
+    made = map_batches(joined, fields(joined, "_row", "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"), make)
     return made.select("_row.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
