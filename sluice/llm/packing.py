@@ -18,8 +18,11 @@ Rows with null ids are packed like others.  Equal texts are packed separately.
 from __future__ import annotations
 
 import bisect
+import functools
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,42 +54,70 @@ class Settings:
 class Tokens:
     """Packed ids of texts by a tokenizers file.
 
-    Texts of plain characters are split here and each different pre-token is
-    encoded once; others go through the tokenizer whole.  The vocabulary's
-    normaliser lower-cases and its splitter drops white space, which the split
-    above repeats for plain characters only.
+    Texts of plain characters are cut at white space; ids of each different part
+    are kept, and pre-tokens that are new to a batch go to the tokenizer together.
+    Other texts go through the tokenizer whole.  The vocabulary's normaliser
+    lower-cases and its splitter drops white space, which the cut repeats for plain
+    characters only.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.most = most
+
+    def learn_words(self, words: list[str]) -> None:
+        """Encode pre-tokens, many in one text: blanks part them and are dropped."""
+        for low in range(0, len(words), 1000):
+            some = words[low : low + 1000]
+            encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, owner = encoded.ids, encoded.word_ids
+            ends = [i for i in range(1, len(ids)) if owner[i] != owner[i - 1]]
+            if len(ends) + 1 != len(some):
+                raise ValueError("the tokenizer cuts pre-tokens otherwise than expected")
+            for word, start, end in zip(some, [0, *ends], [*ends, len(ids)], strict=True):
+                self.known[word] = pack(ids[start:end])
+
+    def learn(self, parts: set[str]) -> None:
+        known = self.known
+        words = {p for p in parts if p.isalpha()}
+        others = [(p, SPLIT.findall(p)) for p in parts - words]
+        words.update(w for _, cut in others for w in cut if w not in known)
+        self.learn_words(list(words))
+        for part, cut in others:
+            known[part] = b"".join(map(known.__getitem__, cut))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        out = []
+        for low in range(0, len(texts), 500):
+            part = texts[low : low + 500]
+            plain = [t.lower().split() if t and PLAIN.fullmatch(t) else None for t in part]
+            if len(self.known) > self.most:
+                self.known.clear()
+            if new := set().union(*filter(None, plain)).difference(self.known):
+                self.learn(new)
+            for text, parts in zip(part, plain, strict=True):
+                if parts is not None:
+                    out.append(b"".join(map(self.known.__getitem__, parts)))
+                else:
+                    out.append(pack(self.tokenizer.encode(text, add_special_tokens=False).ids) if text else b"")
+        return out
 
-    def whole(self, text: str) -> bytes:
-        return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not PLAIN.fullmatch(text):
-            return self.whole(text)
-        pieces = SPLIT.findall(text.lower())
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            if len(known) > 1_000_000:
-                known.clear()
-            for p in pieces:
-                if p not in known:
-                    known[p] = self.whole(p)
-            return b"".join(map(known.__getitem__, pieces))
+@functools.cache
+def worker_tokens(vocabulary: str) -> Tokens:
+    """One for each worker process, whatever the number of its tasks."""
+    return Tokens(vocabulary)
 
 
 def pack(ids: list[int]) -> bytes:
-    return pa.array(ids, pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(ids)] if ids else b""
+    packed = array("I", ids)  # unsigned 32-bit
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 @dataclass
@@ -182,7 +213,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     names = [id_col, *COLUMNS, "_group"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer, part = Tokens(shared.value), Packer(settings), TaskContext.get().partitionId()
+        tokens, packer, part = worker_tokens(shared.value), Packer(settings), TaskContext.get().partitionId()
         closing, made = pack([settings.closing]), 0
         rows: list[tuple] = []
 
@@ -191,8 +222,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = tokens.encode(text) + closing
+            for doc, ids in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist()), strict=True):
+                ids += closing
                 for window in packer.add(Piece(doc, 0, ids, len(ids) // 4)):
                     rows += [(*r, None) for r in rows_of(window, part << 32 | made, keep_ids)]
                     made += 1
