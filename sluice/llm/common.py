@@ -57,18 +57,26 @@ def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Ca
     """Apply a per-task worker to the Arrow batches of ``df``.
 
     ``make`` runs once in each task, so models and caches are built once; the
-    function it returns turns one batch into any number of batches.
+    function it returns turns one batch into any number of batches.  It gets
+    batches in parts of a few MB, so that what it builds of them stays small.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            if batch.num_rows:
-                yield from work(batch)
+            for part in parts(batch):
+                yield from work(part)
 
     return df.mapInArrow(run, schema)
 
 
+def parts(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``size`` bytes, of one row at least."""
+    step = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
+    for low in range(0, batch.num_rows, step):
+        yield batch.slice(low, step)
+
+
 def crc_mod(column: str, modulus: int) -> F.Column:
     """crc32 of the column as text, modulo ``modulus``; 0 for a null."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus), F.lit(0))

@@ -91,7 +91,7 @@ class Grams:
         try:
             h = np.array([known[w] for w in words], np.uint64)
         except KeyError:
-            if len(known) > 1_000_000:
+            if len(known) > 200_000:
                 known.clear()
             for w in words:
                 if w not in known:
@@ -216,9 +216,9 @@ def links_of(sets: list[np.ndarray], others: list[np.ndarray] | None, similarity
     col = column[where]
     order = np.argsort(col, kind="stable")
     order = order[np.searchsorted(col[order], 0) :]
-    for low in range(0, len(useful), 8192):
-        part = order[np.searchsorted(col[order], low) : np.searchsorted(col[order], low + 8192)]
-        grid = np.zeros((len(every), min(8192, len(useful) - low)), np.float32)
+    for low in range(0, len(useful), 4096):
+        part = order[np.searchsorted(col[order], low) : np.searchsorted(col[order], low + 4096)]
+        grid = np.zeros((len(every), min(4096, len(useful) - low)), np.float32)
         grid[row[part], col[part] - low] = 1
         shared += grid[: len(sets)] @ (grid[len(sets) :] if others else grid).T
     n1, n2 = sizes[: len(sets)], sizes[len(sets) :] if others else sizes
