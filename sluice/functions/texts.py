@@ -7,6 +7,7 @@ from decimal import Decimal, InvalidOperation
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class _Number(str):
@@ -44,11 +45,11 @@ def normalized_number(text: str | None) -> str | None:
     return "0" if not number else plain
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_normalize(text: pd.Series) -> pd.Series:
     return text.map(normalized_json, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def number_normalize(text: pd.Series) -> pd.Series:
     return text.map(normalized_number, na_action="ignore")

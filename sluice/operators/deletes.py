@@ -15,11 +15,12 @@ def applicable(deletes: DataFrame, files: DataFrame) -> DataFrame:
     """
     d, f = deletes.alias("d"), files.alias("f")
     same = (F.col("d.partition").eqNullSafe(F.col("f.partition"))) & (F.col("d.sequence") >= F.col("f.sequence"))
-    exact = d.where("d.target is not null").join(f, same & (F.col("d.target") == F.col("f.path")))
+    pair = [F.col("d.path").alias("delete_path"), F.col("d.kind").alias("kind"), F.col("f.path").alias("target")]
+    exact = d.where("d.target is not null").join(f, same & (F.col("d.target") == F.col("f.path"))).select(*pair)
     lower = F.col("d.lower_path").isNull() | (F.col("d.lower_path") <= F.col("f.path"))
     upper = F.col("d.upper_path").isNull() | (F.col("d.upper_path") >= F.col("f.path"))
-    ranged = d.where("d.target is null").join(f, same & lower & upper)
-    pairs = exact.unionByName(ranged).select(F.col("d.path").alias("delete_path"), F.col("d.kind").alias("kind"), F.col("f.path").alias("target"))
+    ranged = d.where("d.target is null").join(f, same & lower & upper).select(*pair)
+    pairs = exact.unionByName(ranged)
     has_vector = F.max((F.col("kind") == "dv").cast("int")).over(Window.partitionBy("target"))
     return pairs.withColumn("_vector", has_vector).where("kind = 'dv' or _vector = 0").select("delete_path", "target", "kind")
 
