@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.operators.deletes import applicable, residual
+from sluice.operators.deletes import applicable
 from sluice.plans import compaction
 from sluice.plans.storage import persist
 from sluice.plans.table import META, Snapshot, Table, removed, with_retry
@@ -43,11 +43,13 @@ def rewrite(table: Table, paths: list[str], level: int, files: int = 1) -> Snaps
         ids = inputs.select(F.col("path").alias("_path"), "first_row_id", "sequence")
         rows = rows.join(ids, "_path").withColumn("_row_id", F.coalesce("_row_id", F.col("first_row_id") + F.col("_pos"))).withColumn("_changed_at", F.coalesce("_changed_at", "sequence"))
         made = persist(table.write_data(rows.select(*base.spec.names, *META), base.spec, base.id + 1, level, base.next_row_id, "rewrite", files), "entries").where("record_count > 0")
-        # Deletes of these files alone go; those shared with others stay as what is left of them.
-        deletes = entries.where("kind <> 'data'")
-        own = deletes.join(chosen.withColumnRenamed("path", "target"), "target", "left_semi")
+        # Deletes that no surviving file needs go; positions on rewritten files that shared ones keep are harmless.
+        deletes = entries.where("kind <> 'data'").withColumn("partition", F.lit(0))
+        survivors = entries.where("kind = 'data'").join(chosen, "path", "left_anti").withColumn("partition", F.lit(0))
+        needed = applicable(deletes.select("path", "kind", "target", "lower_path", "upper_path", "sequence", "partition"), survivors.select("path", "sequence", "partition"))
+        own = deletes.drop("partition").join(needed.select(F.col("delete_path").alias("path")).distinct(), "path", "left_anti")
         n = made.agg(F.sum("record_count")).first()[0] or 0
-        return table.commit(base, "replace", removed(inputs).unionByName(removed(own)).unionByName(made), {"rewrote": len(paths), "level": f"L{level}"}, next_row_id=base.next_row_id + n)
+        return table.commit(base, "replace", removed(inputs).unionByName(removed(own.select(inputs.columns))).unionByName(made), {"rewrote": len(paths), "level": f"L{level}"}, next_row_id=base.next_row_id + n)
 
     return with_retry(attempt)
 
@@ -79,9 +81,8 @@ def choose(debt: dict, policy: compaction.Policy, plan: compaction.Plan | None)
     return "rewrite" if plan else "none"
 
 
-def catch_up(built: DataFrame, late: DataFrame, runs: DataFrame) -> DataFrame:
-    """Deletes that reached the old files while a rewrite was built, at their places in the new files.  ``late`` (path, pos), ``runs`` as of remaps."""
+def catch_up(late: DataFrame, runs: DataFrame) -> DataFrame:
+    """(path, pos) in the new files of deletes (path, pos) that reached the old ones while a rewrite was built; ``runs`` as of remaps."""
     from sluice.operators.layout import translate
 
-    gone = translate(residual(late, built.select("path").limit(0)), runs)
-    return gone.select("path", "pos")
+    return translate(late, runs).select("path", "pos")

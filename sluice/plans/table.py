@@ -71,6 +71,37 @@ class Table:
     def spec(self) -> TableSpec:
         return self.snapshot().spec
 
+    def ancestry(self, id: int | None = None, keep: int | None = None) -> list[int]:
+        """A snapshot and its ancestors, newest first, at most ``keep``."""
+        found, at = [], self.snapshot(id)
+        while keep is None or len(found) < keep:
+            found.append(at.id)
+            if at.parent is None:
+                break
+            at = self.snapshot(at.parent)
+        return found
+
+    def expire(self, ids: list[int]) -> list[str]:
+        """Forget snapshots other than the newest; returns manifests that no other snapshot names."""
+        newest = self.snapshot_ids()[-1]
+        gone = [self.snapshot(i) for i in sorted(set(ids)) if i != newest]
+        for s in gone:
+            self.store.delete(f"metadata/v{s.id}.json")
+        kept = {m for i in self.snapshot_ids() for m in self.snapshot(i).manifests}
+        return sorted({m for s in gone for m in s.manifests} - kept)
+
+    def unreachable(self) -> DataFrame:
+        """(path) of data and delete files below the table's folder that no retained snapshot needs."""
+        needed = self.entries(self.snapshot(self.snapshot_ids()[0]))
+        for i in self.snapshot_ids()[1:]:
+            needed = needed.unionByName(self.entries(self.snapshot(i)))
+        there = [f"{folder}/{name}/*.parquet" for folder in ("data", "deletes") for name in self.store.list(folder)]
+        if not there:
+            return self.spark.createDataFrame([], "path string")
+        every = self.spark.read.format("binaryFile").load([f"{self.root}/{t}" for t in there]).select("path", "length")
+        plain = F.regexp_replace("path", "^file:/+", "/")
+        return every.select("path", plain.alias("_p")).join(needed.select(F.regexp_replace("path", "^file:/+", "/").alias("_p")).distinct(), "_p", "left_anti").select("path")
+
     def history(self) -> DataFrame:
         """(id, parent, sequence, ts_ms, operation, epoch_id) of all snapshots."""
         rows = [(s.id, s.parent, s.id, s.timestamp_ms, s.operation, s.summary.get("epoch_id")) for s in map(self.snapshot, self.snapshot_ids())]

@@ -115,3 +115,33 @@ def test_rewritten_files_are_sorted(spark, table):
     maintenance.rewrite(table, table.paths("data"), 1, 1)
     rows = table.positioned().withColumn("file", F.col("_path"))
     assert {r.inversions for r in layout.inversions(rows, layout.parse_sort("id"), "file", "_pos").collect()} == {0}
+
+
+def test_expired_snapshots_leave_unreachable_files(spark, table):
+    publish.publish(table, log(spark, [("U", 1, "x")]), "e1", 1)
+    maintenance.rewrite(table, table.paths("data"), 1, 1)
+    assert table.ancestry() == [3, 2, 1, 0] and table.ancestry(keep=2) == [3, 2]
+    assert table.unreachable().count() == 0
+    now = rows_of(table.read())
+    table.expire([0, 1, 2, 3])
+    assert table.snapshot_ids() == [3] and rows_of(table.read()) == now
+    assert table.unreachable().count() >= 4
+
+
+def test_catch_up_moves_late_deletes(spark):
+    moves = spark.createDataFrame([("a", i, "n", i + 100) for i in range(10)], "old_path string, old_pos long, new_path string, new_pos long")
+    late = spark.createDataFrame([("a", 3), ("b", 3)], "path string, pos long")
+    assert [(r.path, r.pos) for r in maintenance.catch_up(late, layout.remap_runs(moves)).collect()] == [("n", 103)]
+
+
+def test_source_types():
+    from pyspark.sql import types as T
+
+    from sluice.sources import types
+
+    registry = {900: types.SourceType("domain", 901), 901: types.SourceType("domain", 1700, (10 << 16 | 2) + 4), 902: types.SourceType("array", 23), 903: types.SourceType("enum"), 904: types.SourceType("domain", 904)}
+    assert types.resolve(900, -1, registry) == T.DecimalType(10, 2) and types.resolve(902, -1, registry) == T.StringType() == types.resolve(1700)
+    assert types.may_be_key(23) and not types.may_be_key(3802) and not types.may_be_key(701) and not types.may_be_key(902, registry)
+    for oid in (1186, 904):
+        with pytest.raises(ValueError):
+            types.resolve(oid, -1, registry)
