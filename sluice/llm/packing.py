@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import persist
+from sluice.llm.common import parts, persist
 
 #: Letters below U+0250 whose case folding and composition are one to one, and plain white space and marks.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ‐-‧‰-›€]*")
@@ -61,7 +61,7 @@ class Tokens:
     characters only.
     """
 
-    def __init__(self, vocabulary: str, most: int = 800_000):
+    def __init__(self, vocabulary: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
@@ -222,14 +222,15 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist()), strict=True):
-                ids += closing
-                for window in packer.add(Piece(doc, 0, ids, len(ids) // 4)):
-                    rows += [(*r, None) for r in rows_of(window, part << 32 | made, keep_ids)]
-                    made += 1
-            if len(rows) > 20_000:
-                yield batch_of()
-                rows.clear()
+            for some in parts(batch, 2 << 20):
+                for doc, ids in zip(some.column(0).to_pylist(), tokens.encode(some.column(1).to_pylist()), strict=True):
+                    ids += closing
+                    for window in packer.add(Piece(doc, 0, ids, len(ids) // 4)):
+                        rows += [(*r, None) for r in rows_of(window, part << 32 | made, keep_ids)]
+                        made += 1
+                if len(rows) > 2000:
+                    yield batch_of()
+                    rows.clear()
         for k, window in enumerate(packer.leftovers()):  # at most ``windows`` of ``size`` ids
             rows += [(*r, part // settings.together) for r in rows_of(window, part << 32 | k, True)]
         yield batch_of()
