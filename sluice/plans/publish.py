@@ -60,15 +60,15 @@ def publish(table: Table, log: DataFrame, epoch_id: str, files: int | None = Non
 
 def write(table: Table, base: Snapshot, images: DataFrame, gone: DataFrame, epoch_id: str, files: int | None) -> Snapshot:
     sequence = base.id + 1
-    made = persist(table.write_data(images, base.spec, sequence, 0, base.next_row_id, "epoch", files), "entries")
-    lost = persist(table.write_deletes(gone, sequence, base.spec.format_version, table.deletes(base) if base.spec.format_version == 3 else None), "entries")
-    rows = made.agg(F.sum("record_count")).first()[0] or 0
-    deleted = lost.count()
-    if not rows and not deleted:
+    made = table.write_data(images, base.spec, sequence, 0, base.next_row_id, "epoch", files)
+    lost = table.write_deletes(gone, sequence, base.spec.format_version, table.deletes(base) if base.spec.format_version == 3 else None)
+    name, entries = table.write_manifest(made.where("record_count > 0").unionByName(lost))
+    sums = {r.kind: r.n for r in entries.groupBy("kind").agg(F.sum("record_count").alias("n")).collect()}
+    if not sums:
         return base
-    operation = "overwrite" if rows and deleted else "append" if rows else "delete"
-    entries = made.where("record_count > 0").unionByName(lost)
-    return table.commit(base, operation, entries, {"epoch_id": epoch_id, "level": "L0", "operation": "ingest"}, next_row_id=base.next_row_id + rows)
+    rows = sums.get("data", 0)
+    operation = "overwrite" if rows and len(sums) > 1 else "append" if rows else "delete"
+    return table.commit(base, operation, None, {"epoch_id": epoch_id, "level": "L0", "operation": "ingest"}, next_row_id=base.next_row_id + rows, manifests=(*base.manifests, name))
 
 
 def append(table: Table, rows: DataFrame, epoch_id: str, files: int | None = None, base: Snapshot | None = None, level: int = 0) -> Snapshot:
@@ -77,9 +77,10 @@ def append(table: Table, rows: DataFrame, epoch_id: str, files: int | None = Non
     kept = project(rows, base.spec).withColumn("_version", F.lit(1).cast("long")).withColumn("_lsn", F.lit(0).cast("long"))
     if "end_lsn" in rows.columns:
         kept = rows.select(*base.spec.names, F.lit(1).cast("long").alias("_version"), F.col("end_lsn").alias("_lsn"))
-    made = persist(table.write_data(kept, base.spec, base.id + 1, level, base.next_row_id, "copy" if level else "epoch", files), "entries")
-    n = made.agg(F.sum("record_count")).first()[0] or 0
-    return table.commit(base, "append", made.where("record_count > 0"), {"epoch_id": epoch_id, "operation": "ingest"}, next_row_id=base.next_row_id + n)
+    made = table.write_data(kept, base.spec, base.id + 1, level, base.next_row_id, "copy" if level else "epoch", files)
+    name, entries = table.write_manifest(made.where("record_count > 0"))
+    n = entries.agg(F.sum("record_count")).first()[0] or 0
+    return table.commit(base, "append", None, {"epoch_id": epoch_id, "operation": "ingest"}, next_row_id=base.next_row_id + n, manifests=(*base.manifests, name))
 
 
 def copy(table: Table, rows: DataFrame, cut_lsn: int, files: int | None = None) -> Snapshot:

@@ -52,6 +52,7 @@ class Table:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.store = Store(spark, self.root)
+        self._paths: dict[int, dict[str, list[str]]] = {}  # snapshots never change
 
     # -- snapshots ---------------------------------------------------------
 
@@ -120,13 +121,17 @@ class Table:
             check_successor(base.spec, spec)
         names = base.manifests if manifests is None else manifests
         if entries is not None:
-            name = f"manifests/{uuid.uuid4().hex}"
-            entries.select([f.split()[0] for f in ENTRY.split(", ")]).write.parquet(f"{self.root}/{name}")
-            names = (*names, name)
+            names = (*names, self.write_manifest(entries)[0])
         new = Snapshot(base.id + 1, base.id, operation, int(time.time() * 1000), names, spec or base.spec, summary or {}, base.next_row_id if next_row_id is None else next_row_id)
         self.store.create(f"metadata/v{new.id}.json", new.to_json())
         return new
 
+    def write_manifest(self, entries: DataFrame) -> tuple[str, DataFrame]:
+        """A manifest of these entries, not part of any snapshot yet, and what was written."""
+        name = f"manifests/{uuid.uuid4().hex}"
+        entries.select([f.split()[0] for f in ENTRY.split(", ")]).write.parquet(f"{self.root}/{name}")
+        return name, self.spark.read.schema(ENTRY).parquet(f"{self.root}/{name}")
+
     def evolve(self, spec: TableSpec) -> Snapshot:
         return self.commit(self.snapshot(), "schema", None, spec=spec)
 
@@ -142,8 +147,14 @@ class Table:
         return every.where("status = 'added'").join(removed, ["path", "kind"], "left_anti")
 
     def paths(self, kind: str, snapshot: Snapshot | None = None) -> list[str]:
-        """Paths to hand to a reader: one string a file, as any file listing has."""
-        return [r.path for r in self.entries(snapshot).where(F.col("kind") == kind).select("path").distinct().toLocalIterator()]
+        """Paths to hand to a reader: one string a file, as Spark's own file listing has."""
+        snapshot = snapshot or self.snapshot()
+        if snapshot.id not in self._paths:
+            found: dict[str, list[str]] = {}
+            for r in self.entries(snapshot).select("kind", "path").distinct().collect():
+                found.setdefault(r.kind, []).append(r.path)
+            self._paths[snapshot.id] = {k: sorted(v) for k, v in found.items()}
+        return self._paths[snapshot.id].get(kind, [])
 
     def rewrite_manifests(self) -> Snapshot:
         """One manifest of the live entries instead of all that led to them."""
@@ -182,7 +193,7 @@ class Table:
     def live(self, snapshot: Snapshot | None = None, files: DataFrame | None = None) -> DataFrame:
         """Live rows with metadata columns; ``files`` (path) restricts the data files that are read."""
         snapshot = snapshot or self.snapshot()
-        paths = None if files is None else [r.path for r in files.select("path").toLocalIterator()]
+        paths = None if files is None else [r.path for r in files.select("path").collect()]
         rows = self.positioned(snapshot, paths)
         gone = self.deletes(snapshot).select(F.col("path").alias("_path"), F.col("pos").alias("_pos"))
         return rows.join(gone, ["_path", "_pos"], "left_anti")
