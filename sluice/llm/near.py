@@ -49,7 +49,8 @@ WORD = re.compile(r"\w+")
 class Settings:
     """grams: words of a gram.  similarity: least Jaccard of a link.  trees, depth: labels of a signature and their hashes.
     recall: chance that a pair at the threshold meets.  slack: how far below the threshold an estimate may be.
-    meet: nodes of a group that are compared at once.  nodes, weight: nodes and grams of a block of a component."""
+    meet: nodes of a group that are compared at once.  nodes, weight: nodes and grams of a block of a component.
+    broadcast: the most members of components, of about 100 bytes, that are sent to all executors."""
 
     grams: int = 5
     similarity: float = 0.8
@@ -60,6 +61,7 @@ class Settings:
     meet: int = 20_000
     nodes: int = 1024
     weight: int = 1_000_000
+    broadcast: int = 500_000
 
     @property
     def prefix(self) -> int:
@@ -316,7 +318,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(candidate_edges(nodes, s))
     members = persist(nodes.select("node", "key", "grams").join(groups, "node"), "members")
     # One text for each node; texts of one key are equal, so any row has it.
-    chosen = docs.select(text_key(text_col), text_col).join(members.select("key", "node"), "key").select("node", text_col).dropDuplicates(["node"])
+    # Few enough members go to where the texts are; else texts and members meet by key.
+    side = members.select("key", "node")
+    side = F.broadcast(side) if members.count() <= s.broadcast else side
+    chosen = docs.select(text_key(text_col), text_col).join(side, "key").select("node", text_col).dropDuplicates(["node"])
     links = persist(verify(chosen, members, text_col, s), "links")
     counts = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     classes = components(links.where("b is not null").select("a", "b"))
