@@ -71,9 +71,9 @@ def words(text: str | None) -> set[str]:
 
 def features(word: str, bits: int) -> list[int]:
     """Hashed ids of the word itself and of its 3- to 5-grams with ends marked."""
-    marked, mask = f"<{word[:64]}>".encode(), (1 << bits) - 1
-    grams = {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
-    return [zlib.crc32(b"=" + word.encode()) & mask, *(zlib.crc32(g) & mask for g in grams)]
+    marked, mask = f"<{word}>".encode(), (1 << bits) - 1
+    grams = {zlib.crc32(marked[i : i + n]) & mask for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
+    return [zlib.crc32(b"=" + word.encode()) & mask, *grams]
 
 
 @dataclass
