@@ -134,7 +134,7 @@ def orders_table(spark: SparkSession, sf_dir: str, version: int = 2, epochs: int
 
 @query(f"WITH {STATE} SELECT o_orderstatus, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total FROM state GROUP BY o_orderstatus")
 def publish_live_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders_table(spark, sf_dir).read().groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum(money("o_totalprice")).alias("total"))
+    return orders_table(spark, sf_dir).read().groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum(money("o_totalprice")).cast("decimal(38,2)").alias("total"))
 
 
 @query(f"WITH {STATE} SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM state")
@@ -292,7 +292,7 @@ def delete_set_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 KEPT = """
 ends AS (SELECT user_id AS xid, min(event_id * 10) AS first, max(event_id * 10) AS last FROM events GROUP BY user_id),
-body AS (SELECT event_id * 10 AS position, user_id AS xid, CASE WHEN user_id % 5 = 0 AND event_id % 4 = 3 THEN 1 ELSE 0 END AS subxid, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS table_id FROM events),
+body AS (SELECT event_id * 10 AS position, user_id AS xid, CASE WHEN user_id % 5 = 0 AND event_id % 4 = 3 THEN 1 ELSE 0 END AS subxid, CAST(CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS BIGINT) AS table_id FROM events),
 cut AS (SELECT xid, min(position) AS low FROM body WHERE subxid = 1 GROUP BY xid),
 kept AS (SELECT b.* FROM body b LEFT JOIN cut c ON b.xid = c.xid WHERE c.low IS NULL OR b.position < c.low)"""
 
@@ -778,7 +778,7 @@ def read_plane_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A published table is an ordinary DataFrame: joined and grouped."""
     c = samples.table(spark, sf_dir, "customer")
     rows = orders_table(spark, sf_dir).read().join(c, F.col("o_custkey") == F.col("c_custkey"))
-    return rows.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.sum(money("o_totalprice")).alias("total"))
+    return rows.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.sum(money("o_totalprice")).cast("decimal(38,2)").alias("total"))
 
 
 @functools.cache

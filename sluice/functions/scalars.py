@@ -33,15 +33,11 @@ def time_text(micros: Column) -> Column:
 
 def date_text(days: Column) -> Column:
     """Days since 1970 as a proleptic Gregorian date of any year; years outside 0..9999 carry a sign."""
-    shifted = days.cast("long") + 719_468  # days since 0000-03-01, where eras of 400 years begin
-    era = F.floor(shifted / 146_097)
-    of_era = shifted - era * 146_097
-    year_of_era = F.floor((of_era - F.floor(of_era / 1460) + F.floor(of_era / 36_524) - F.floor(of_era / 146_096)) / 365)
-    of_year = of_era - (365 * year_of_era + F.floor(year_of_era / 4) - F.floor(year_of_era / 100))
-    march_month = F.floor((5 * of_year + 2) / 153)
-    day = of_year - F.floor((153 * march_month + 2) / 5) + 1
-    month = march_month + F.when(march_month < 10, 3).otherwise(-9)
-    year = year_of_era + era * 400 + F.when(month <= 2, 1).otherwise(0)
+    # The calendar repeats after 146,097 days, 400 years: Spark's own dates name the day in a cycle it can express.
+    since = days.cast("long") - F.datediff(F.lit("2000-01-01").cast("date"), F.lit("1970-01-01").cast("date"))
+    cycle = F.floor(since / 146_097)
+    day_of = F.date_add(F.lit("2000-01-01").cast("date"), (since - cycle * 146_097).cast("int"))
+    year, month, day = F.year(day_of) + cycle * 400, F.month(day_of), F.day(day_of)
     plain = F.format_string("%04d-%02d-%02d", year, month, day)
     return F.when(year.between(0, 9999), plain).otherwise(F.format_string("%+05d-%02d-%02d", year, month, day))
 

@@ -67,7 +67,7 @@ def assemble(stream: DataFrame) -> DataFrame:
     dropped = stream.where("kind = 'abort' and subxid = xid").select("xid").distinct()
     commits = commits.join(dropped, "xid", "left_anti").dropDuplicates(["end_lsn"])
     kept = surviving(stream).drop("begin_lsn", "commit_lsn", "end_lsn").join(commits, "xid")
-    return kept.withColumn("ordinal", F.row_number().over(Window.partitionBy("xid", "end_lsn").orderBy("position")) - 1)
+    return kept.withColumn("ordinal", F.row_number().over(Window.partitionBy("xid", "end_lsn").orderBy("position")).cast("long") - 1)
 
 
 def transaction_counts(stream: DataFrame) -> DataFrame:

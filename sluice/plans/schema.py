@@ -48,7 +48,7 @@ class TableSpec:
                 raise ValueError(f"column {c.name} has an unsupported type")
         by_name = {c.name: c for c in self.columns}
         for k in self.key:
-            if k not in by_name or by_name[k].nullable or isinstance(by_name[k].type, (T.DoubleType, T.BooleanType)) and isinstance(by_name[k].type, T.DoubleType):
+            if k not in by_name or by_name[k].nullable or isinstance(by_name[k].type, T.DoubleType):
                 raise ValueError(f"key column {k} must exist, be required and not be floating")
         if len(set(self.key)) != len(self.key):
             raise ValueError("key columns repeat")
