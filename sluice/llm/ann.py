@@ -38,11 +38,12 @@ from sluice.llm.common import map_batches, persist
 @dataclass(frozen=True)
 class Settings:
     """sample: vectors that codebooks are fitted to.  recall: target of the walk.  probes: sample queries that set its length.
-    per_cell: vectors a cell should hold.  most: centroids of a half at most.  shard, block: vectors and queries that meet at once."""
+    floor: vectors that a walk meets at least, if there are so many.  per_cell: vectors a cell should hold.  most: centroids of a half at most.  shard, block: vectors and queries that meet at once."""
 
     sample: int = 20_000
     recall: float = 0.97
     probes: int = 300
+    floor: int = 1000
     per_cell: int = 12
     most: int = 256
     shard: int = 8192
@@ -181,7 +182,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     for row in indexed.groupBy("cell").count().collect():  # at most most * most cells
         counts[row["cell"]] = row["count"]
     total, queries = sum(counts), indexed.where("_q").count()
-    least = math.ceil(share * total)
+    least = max(math.ceil(share * total), min(total, settings.floor))
     # Cells side by side fill shards; a cell beyond a shard's size has several of its own.
     start, parts, shard, held = [0] * len(counts), [1] * len(counts), 0, 0
     for cell, n in enumerate(counts):
