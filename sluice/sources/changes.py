@@ -10,14 +10,15 @@ from pyspark.sql import types as T
 
 from sluice.plans.storage import Store
 
-STREAM = T.StructType.fromDDL("position long, kind string, xid long, subxid long, table_id long, begin_lsn long, commit_lsn long, end_lsn long, commit_ts timestamp_ntz, key long, payload string")
+#: The schema of a replication stream.
+STREAM = "position long, kind string, xid long, subxid long, table_id long, begin_lsn long, commit_lsn long, end_lsn long, commit_ts timestamp_ntz, key long, payload string"
 KINDS = ("begin", "commit", "relation", "insert", "update", "delete", "truncate", "start", "stop", "abort", "metadata")
 
 
 def changes_schema(keys: list[T.StructField], columns: list[T.StructField]) -> T.StructType:
     """The schema of a change log with these key and value columns."""
-    order = T.StructType.fromDDL("end_lsn long, ordinal long, half int, op string, unchanged array<string>").fields
-    return T.StructType([*keys, *columns, *order])
+    order = (("end_lsn", T.LongType()), ("ordinal", T.LongType()), ("half", T.IntegerType()), ("op", T.StringType()), ("unchanged", T.ArrayType(T.StringType())))
+    return T.StructType([*keys, *columns, *[T.StructField(n, t) for n, t in order]])
 
 
 def faults(stream: DataFrame) -> DataFrame:
