@@ -78,7 +78,7 @@ def collapse_key_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = (F.col("o_orderkey") % 4) == 0
     log = o.select(
         F.when(moved, F.col("o_orderkey") + 1_000_000_000).otherwise(F.col("o_orderkey")).alias("o_orderkey"), "o_custkey", F.struct("o_orderkey").alias("old_key"), F.lit("U").alias("op"),
-        F.col("o_orderkey").alias("end_lsn"), F.lit(0).cast("long").alias("ordinal"), F.lit(0).alias("half"), samples.NONE.alias("unchanged"),
+        F.col("o_orderkey").alias("end_lsn"), F.lit(0).cast("long").alias("ordinal"), F.lit(0).alias("half"), samples.none().alias("unchanged"),
     )
     done = collapse.collapse(collapse.split_key_changes(log, KEYS), KEYS, ["o_custkey"])
     return done.select("o_orderkey", F.when(F.col("present"), F.col("o_custkey")).alias("o_custkey"))
@@ -97,7 +97,7 @@ before AS (SELECT *, lag(op) OVER (PARTITION BY o_orderkey ORDER BY step) AS p F
 SELECT o_orderkey, CASE WHEN op = 'I' THEN 'insert of a present key' ELSE 'change of an absent key' END AS conflict FROM before WHERE (op = 'I' AND p IN ('I', 'U')) OR (op IN ('U', 'D') AND p = 'D')""")
 def collapse_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = samples.orders(spark, sf_dir).select("o_orderkey")
-    step = lambda df, n, op: df.select("o_orderkey", op.alias("op"), F.lit(n).cast("long").alias("end_lsn"), F.lit(0).cast("long").alias("ordinal"), F.lit(0).alias("half"), samples.NONE.alias("unchanged"))
+    step = lambda df, n, op: df.select("o_orderkey", op.alias("op"), F.lit(n).cast("long").alias("end_lsn"), F.lit(0).cast("long").alias("ordinal"), F.lit(0).alias("half"), samples.none().alias("unchanged"))
     log = step(o, 1, F.lit("I")).unionByName(step(o, 2, F.when(F.col("o_orderkey") % 5 == 0, "I").otherwise("D"))).unionByName(step(o.where("o_orderkey % 2 = 0"), 3, F.lit("U")))
     return collapse.with_conflicts(log, KEYS).where("conflict is not null").select("o_orderkey", "conflict")
 

@@ -5,11 +5,15 @@ SQL can derive the same, which is what the queries of the catalogue are held aga
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ORDER_COLUMNS = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
-NONE = F.array().cast("array<string>")
+
+
+def none() -> Column:
+    """No column names."""
+    return F.array().cast("array<string>")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +34,10 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = orders(spark, sf_dir)
     order = lambda base: [(F.lit(base) + F.col("o_orderkey")).alias("end_lsn"), F.lit(0).cast("long").alias("ordinal"), F.lit(0).alias("half")]
     row = lambda op, unchanged: [F.lit(op).alias("op"), unchanged.alias("unchanged")]
-    inserts = o.where("o_orderkey % 10 = 0").select("*", *order(1_000_000_000), *row("I", NONE))
+    inserts = o.where("o_orderkey % 10 = 0").select("*", *order(1_000_000_000), *row("I", none()))
     updates = o.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("U")).withColumn("o_totalprice", F.col("o_totalprice") + 1).withColumn("o_orderpriority", F.lit(None).cast("string"))
     updates = updates.select("*", *order(2_000_000_000), *row("U", F.array(F.lit("o_orderpriority"))))
-    deletes = o.where("o_orderkey % 7 = 0").select("o_orderkey", *[F.lit(None).cast(t).alias(c) for c, t in o.dtypes if c != "o_orderkey"], *order(3_000_000_000), *row("D", NONE))
+    deletes = o.where("o_orderkey % 7 = 0").select("o_orderkey", *[F.lit(None).cast(t).alias(c) for c, t in o.dtypes if c != "o_orderkey"], *order(3_000_000_000), *row("D", none()))
     return inserts.unionByName(updates).unionByName(deletes)
 
 
