@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,10 +71,17 @@ class Store:
             self._fs.create(self.path(name + ".lock"), False).close()
         except Py4JJavaError as e:
             self._fs.delete(staged, False)
+            self._clear_stale(name)
             raise ConflictError(name) from e
         if not self._fs.rename(staged, self.path(name)):
             raise ConflictError(name)
 
+    def _clear_stale(self, name: str, seconds: int = 60) -> None:
+        """A lock whose writer died before its rename is removed, so that the next attempt may take the name."""
+        lock = self.path(name + ".lock")
+        if self._fs.exists(lock) and not self.exists(name) and time.time() * 1000 - self._fs.getFileStatus(lock).getModificationTime() > seconds * 1000:
+            self._fs.delete(lock, False)
+
     def list(self, folder: str) -> list[str]:
         if not self.exists(folder):
             return []

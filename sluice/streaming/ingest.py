@@ -77,18 +77,27 @@ def ingest(stream: DataFrame, tables: dict[str, Table], route: Callable[[DataFra
     return stream.writeStream.foreachBatch(publish_batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def journal_stream(stream: DataFrame, raw: str, journal: Journal, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep a replication stream's rows and journal the transactions that are complete.
+def journal_stream(stream: DataFrame, waiting: str, journal: Journal, checkpoint: str, **trigger) -> StreamingQuery:
+    """Journal the transactions of a replication stream once they are complete.
 
-    Rows of transactions that haven't committed wait in ``raw``; each batch assembles what commits with it from there, so a
-    transaction may span any number of batches.
+    Rows of transactions that haven't ended wait in ``waiting``, one folder a batch, and join the next one, so a
+    transaction may span any number of batches.  A batch that runs again starts from the same folder and journals nothing
+    twice; only the folder before the last is kept.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{raw}/batch={number}")
-        seen = batch.sparkSession.read.parquet(raw).where(F.col("batch") <= number).drop("batch")
-        ended = seen.where("kind = 'commit'").where(F.col("end_lsn") > journal.last_lsn()).select("xid")
-        journal.append(assemble(seen.join(ended, "xid", "left_semi")))
+        spark, store = batch.sparkSession, journal.store
+        before = f"{waiting}/{number - 1}"
+        seen = batch.unionByName(spark.read.schema(batch.schema).parquet(before)) if number and store.exists(before) else batch
+        seen = seen.persist()
+        try:
+            committed = seen.where("kind = 'commit'").select("xid").distinct()
+            journal.append(assemble(seen.join(committed, "xid", "left_semi")))
+            ended = committed.union(seen.where("kind = 'abort' and subxid = xid").select("xid")).distinct()
+            seen.join(ended, "xid", "left_anti").write.mode("overwrite").parquet(f"{waiting}/{number}")
+            store.delete(f"{waiting}/{number - 2}")
+        finally:
+            seen.unpersist()
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
