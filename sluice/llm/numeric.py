@@ -5,24 +5,41 @@ from __future__ import annotations
 import numpy as np
 
 
+def segment_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of values[starts[i] : starts[i + 1]]."""
+    out = np.zeros(len(starts) - 1)
+    full = np.flatnonzero(np.diff(starts))
+    if len(full):
+        out[full] = np.add.reduceat(values, starts[full])
+    return out
+
+
 class Sparse:
-    """A sparse matrix by rows: entry values ``data`` at columns ``cols``."""
+    """A sparse matrix by rows, and again by columns: entries of value 1 or ``data``."""
 
     def __init__(self, starts: np.ndarray, cols: np.ndarray, width: int, data: np.ndarray | None = None):
-        self.starts, self.cols, self.width = starts, cols, width
-        self.data = np.ones(len(cols)) if data is None else data
-        self.rows = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        self.starts, self.cols, self.width, self.data = starts, cols.astype(np.int32), width, data
+        self.rows = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))
+        order = np.argsort(self.cols, kind="stable")
+        self.by_column = self.rows[order], np.concatenate([[0], np.cumsum(np.bincount(self.cols, minlength=width))]), None if data is None else data[order]
 
     def dot(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, self.data * x[self.cols], minlength=len(self.starts) - 1)
+        return segment_sums(x[self.cols] if self.data is None else self.data * x[self.cols], self.starts)
 
     def t_dot(self, y: np.ndarray) -> np.ndarray:
-        return np.bincount(self.cols, self.data * y[self.rows], minlength=self.width)
+        rows, starts, data = self.by_column
+        return segment_sums(y[rows] if data is None else data * y[rows], starts)
+
+    def columns(self, keep: np.ndarray) -> Sparse:
+        """The same matrix without the entries of columns that aren't kept."""
+        own = keep[self.cols]
+        counts = np.bincount(self.rows[own], minlength=len(self.starts) - 1)
+        return Sparse(np.concatenate([[0], np.cumsum(counts)]), self.cols[own], self.width, None if self.data is None else self.data[own])
 
 
-def csr(lists: list[np.ndarray], width: int) -> Sparse:
+def csr(lists: list[np.ndarray], width: int, data: np.ndarray | None = None) -> Sparse:
     sizes = np.fromiter((len(x) for x in lists), np.int64, len(lists))
-    return Sparse(np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64), width)
+    return Sparse(np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(lists) if lists else np.zeros(0, np.int32), width, data)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

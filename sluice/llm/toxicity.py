@@ -22,6 +22,7 @@ with labels of one class only, gives the smoothed share of label 1.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from dataclasses import dataclass
 
@@ -118,6 +119,7 @@ def fit_weights(docs: Sparse, grams: Sparse, scale: np.ndarray, y: np.ndarray, s
     """Weights of hashed features; ``docs`` has words by text, ``grams`` features by word."""
     seen = grams.t_dot(np.bincount(docs.cols, minlength=docs.width).astype(float))
     usable = seen >= settings.least
+    grams = grams.columns(usable)
     weights, bias = np.zeros(grams.width), np.zeros(1)
     adam = Adam([weights, bias], 0.05)
     balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
@@ -127,37 +129,35 @@ def fit_weights(docs: Sparse, grams: Sparse, scale: np.ndarray, y: np.ndarray, s
         slope = docs.t_dot(error * scale)
         if len(swaps.starts) > 1:
             slope += 2 * settings.fairness / (len(swaps.starts) - 1) * swaps.t_dot(swaps.dot(score))
-        adam.step([(grams.t_dot(slope) + settings.ridge * weights) * usable, np.array([error.sum()])])
-        weights *= usable
+        adam.step([grams.t_dot(slope) + settings.ridge * weights, np.array([error.sum()])])
     return weights
 
 
-def fit(bags: list[set[str]], labels: list[int], settings: Settings = Settings()) -> Model:
-    """Fit on bags of words with labels 0 and 1."""
+def fit(bags: list[tuple[str, ...] | set[str]], labels: list[int], settings: Settings = Settings()) -> Model:
+    """Fit on bags of different words with labels 0 and 1."""
     y = np.array(labels, float)
     share = (y.sum() + 0.5) / (len(y) + 1)
     constant = np.array([np.log(share / (1 - share)), 0, 0, 0, 0])
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << settings.bits), constant, settings.bits)
-    pairs = [(i, p) for i, bag in enumerate(bags) for p in swapped(bag, settings.swaps)]
+    pairs = [(i, p) for i, bag in enumerate(bags) for p in swapped(set(bag), settings.swaps)]
     vocabulary: dict[str, int] = {}
-    index = lambda names: np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in names), np.int64)
+    index = lambda names: np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in names), np.int32)
     rows = [index(sorted(bag)) for bag in bags]
     out, put = [index(p[0]) for _, p in pairs], [index(p[1]) for _, p in pairs]
     n = len(vocabulary)
-    grams = csr([np.array(features(w, settings.bits)) for w in vocabulary], 1 << settings.bits)
+    grams = csr([np.array(features(w, settings.bits), np.int32) for w in vocabulary], 1 << settings.bits)
     scale = np.array([1 / np.sqrt(max(1, len(r))) for r in rows])
 
     def deltas(keep: np.ndarray) -> Sparse:
         chosen = [k for k, (i, _) in enumerate(pairs) if keep[i]]
-        made = csr([np.concatenate([out[k], put[k]]) for k in chosen], n)
-        made.data = np.concatenate([np.concatenate([np.ones(len(out[k])), -np.ones(len(put[k]))]) for k in chosen]) if chosen else np.zeros(0)
-        return made
+        signs = [np.repeat([1.0, -1.0], [len(out[k]), len(put[k])]) for k in chosen]
+        return csr([np.concatenate([out[k], put[k]]) for k in chosen], n, np.concatenate(signs) if chosen else np.zeros(0))
 
     def train(keep: np.ndarray) -> np.ndarray:
         return fit_weights(csr([r for r, k in zip(rows, keep, strict=True) if k], n), grams, scale[keep], y[keep], deltas(keep), settings)
 
-    half = np.arange(len(y)) % 2 == 0
+    half = np.where(y > 0, np.cumsum(y > 0), np.cumsum(y <= 0)) % 2 == 0  # of each class
     x = np.zeros((len(y), 5))
     for keep in (half, ~half):
         if 0 < y[keep].sum() < keep.sum():
@@ -175,7 +175,7 @@ def fit(bags: list[set[str]], labels: list[int], settings: Settings = Settings()
     return Model(weights, pool / size, settings.bits)
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, per_class: int) -> list[tuple[set[str], int]]:
+def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, per_class: int) -> list[tuple[tuple[str, ...], int]]:
     """Bags of words of at most ``per_class`` labelled texts of each class, by hash of id.
 
     Ids are chosen from the labels alone and then fetch their texts, so no text
@@ -198,7 +198,9 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
 
     found = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id").select("_id", "_text", "_y")
     rows = map_batches(found, "_id long, bag string, _y int", make).collect()
-    return [(set(r.bag.split()), r._y) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r._id).encode()), r._id, r.bag))]
+    rows.sort(key=lambda r: (zlib.crc32(str(r._id).encode()), r._id, r.bag))
+    # One object for each different word, whatever the number of texts that have it.
+    return [(tuple(map(sys.intern, r.bag.split())), r._y) for r in rows]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
