@@ -26,6 +26,8 @@ ENTRY = (
     "status string, kind string, path string, target string, lower_path string, upper_path string, sequence long, record_count long, "
     "size_bytes long, level int, first_row_id long, key_lower string, key_upper string, sorted boolean"
 )
+#: The most deleted positions, of about 200 bytes with their paths, that a scan sends to all executors.
+BROADCAST_POSITIONS = 100_000
 META = ("_version", "_lsn", "_row_id", "_changed_at")
 
 
@@ -52,7 +54,9 @@ class Table:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.store = Store(spark, self.root)
-        self._paths: dict[int, dict[str, list[str]]] = {}  # snapshots never change
+        # Snapshots never change, so what is known of one stays right.
+        self._paths: dict[int, dict[str, list[str]]] = {}
+        self._deleted: dict[int, dict[str, int]] = {}
 
     # -- snapshots ---------------------------------------------------------
 
@@ -190,13 +194,32 @@ class Table:
         rows = made[0] if len(made) == 1 else made[0].unionByName(made[1])
         return effective_positions(rows, entries)
 
+    def deleted(self, snapshot: Snapshot | None = None) -> dict[str, int]:
+        """How many rows deletes take from each data file that they touch: one entry a file, kept with the snapshot."""
+        snapshot = snapshot or self.snapshot()
+        if snapshot.id not in self._deleted:
+            touched = self.paths("pos", snapshot) or self.paths("dv", snapshot)
+            rows = self.deletes(snapshot).groupBy("path").count().collect() if touched else []
+            self._deleted[snapshot.id] = {r["path"]: r["count"] for r in rows}
+        return self._deleted[snapshot.id]
+
     def live(self, snapshot: Snapshot | None = None, files: DataFrame | None = None) -> DataFrame:
-        """Live rows with metadata columns; ``files`` (path) restricts the data files that are read."""
+        """Live rows with metadata columns; ``files`` (path) restricts the data files that are read.
+
+        Files that no delete touches are only scanned.  Rows of the others meet the deleted positions: where the rows are
+        if the positions are few, by a shuffle of these files' rows if not.
+        """
         snapshot = snapshot or self.snapshot()
-        paths = None if files is None else [r.path for r in files.select("path").collect()]
-        rows = self.positioned(snapshot, paths)
+        paths = self.paths("data", snapshot) if files is None else [r.path for r in files.select("path").collect()]
+        deleted = self.deleted(snapshot)
+        touched = [p for p in paths if p in deleted]
+        clean = self.positioned(snapshot, [p for p in paths if p not in deleted])
+        if not touched:
+            return clean
         gone = self.deletes(snapshot).select(F.col("path").alias("_path"), F.col("pos").alias("_pos"))
-        return rows.join(gone, ["_path", "_pos"], "left_anti")
+        gone = F.broadcast(gone) if sum(deleted.values()) <= BROADCAST_POSITIONS else gone
+        kept = self.positioned(snapshot, touched).join(gone, ["_path", "_pos"], "left_anti").select(clean.columns)
+        return clean.unionByName(kept) if len(touched) < len(paths) else kept
 
     def read(self, snapshot_id: int | None = None, lineage: bool = False) -> DataFrame:
         """The table's rows as of a snapshot, optionally with ``_row_id`` and ``_last_updated_sequence_number``."""

@@ -145,3 +145,10 @@ def test_source_types():
     for oid in (1186, 904):
         with pytest.raises(ValueError):
             types.resolve(oid, -1, registry)
+
+
+def test_many_deletes_meet_rows_by_a_shuffle(spark, table, monkeypatch):
+    publish.publish(table, log(spark, [("D", 1, None), ("U", 2, "x")]), "e1", 1)
+    few = rows_of(table.read())
+    monkeypatch.setattr("sluice.plans.table.BROADCAST_POSITIONS", 0)
+    assert rows_of(table.read()) == few and len(few) == 19
