@@ -97,6 +97,14 @@ def feature(samples: np.ndarray) -> str:
     return f"mean={mean:.4f};std={deviation:.4f};hist={','.join(map(str, bins.tolist()))};grid={int(bits, 2):016x}"
 
 
+def member_name(nth: int, key: object) -> str:
+    return f"{nth:07d}" if key is None else f"{nth:07d}/={quote(str(key), safe='')}"
+
+
+def member_key(name: str) -> str | None:
+    return unquote(name.split("/=", 1)[1]) if "/=" in name else None
+
+
 def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = 32 << 20) -> dict[str, int]:
     """Store each row's text as an image in archives below ``folder``; returns the totals of members and bytes."""
 
@@ -125,7 +133,7 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
                     buffer, count = io.BytesIO(), 0
                     archive = zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED)
                 data = (text or "").encode()
-                archive.writestr(zipfile.ZipInfo(f"{count:07d}/{'' if doc is None else quote(str(doc), safe='')}"), to_png(padded(data), len(data)))
+                archive.writestr(zipfile.ZipInfo(member_name(count, doc)), to_png(padded(data), len(data)))
                 count += 1
                 if buffer.tell() >= archive_bytes:
                     close()
@@ -252,8 +260,7 @@ def features(media: DataFrame, id_col: str = "doc_id", id_type: str = "bigint")
             for name, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 samples, n_bytes = from_png(media)
                 payload = np.ascontiguousarray(samples).tobytes()
-                key = unquote(name.split("/", 1)[1])
-                out.append((key or None, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
+                out.append((member_key(name), n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
             types = (pa.string(), *[pa.int64()] * 2, pa.string(), *[pa.int64()] * 2, pa.string(), pa.string())
             names = ["_key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)

@@ -108,6 +108,12 @@ def test_media_columns(spark):
     assert media.media_columns(docs.limit(0)).count() == 0
 
 
+def test_text_ids_come_back(spark):
+    ids = ["", None, "a/b c", "é=1", "/="]
+    docs = spark.createDataFrame([(i, "x") for i in ids], "doc_id string, text string")
+    assert sorted(str(r.doc_id) for r in media.media_columns(docs).collect()) == sorted(map(str, ids))
+
+
 def archive(spark, tmp_path, n=50):
     docs = spark.createDataFrame([(i, f"text {i} " * 50) for i in range(n)], "doc_id long, text string").coalesce(1)
     folder = f"{tmp_path}/archives"
