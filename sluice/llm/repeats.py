@@ -46,11 +46,13 @@ from sluice.llm.common import fields, map_batches, persist
 @dataclass(frozen=True)
 class Settings:
     """length: bytes that must repeat.  seed: bytes of a first rank.  group: different segments of one
-    representative that are compared in memory."""
+    representative that are compared in memory.  broadcast: the most ranges, of about 50 bytes with their
+    text's digest, that are sent to all executors."""
 
     length: int = 200
     seed: int = 64
     group: int = 50_000
+    broadcast: int = 500_000
 
     @property
     def span(self) -> int:
@@ -319,7 +321,7 @@ def resolve_large(items: DataFrame, s: Settings) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, text_col: str, s: Settings) -> DataFrame:
-    """(k, tag, ranges): what repeats in each different text, as possibly overlapping byte ranges."""
+    """(k, tag, ranges): what repeats in each different text, as byte ranges in order that don't touch."""
     k, tag = digests(F.col(text_col))
     texts = docs.select(k, tag, F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") >= s.length)
     ranked = first_ranks(texts, s)
@@ -336,7 +338,17 @@ def repeated_ranges(docs: DataFrame, text_col: str, s: Settings) -> DataFrame:
     first = F.shiftright("place", 8).bitwiseAND(F.lit((1 << 30) - 1))
     whole = whole.select("k", F.shiftright("place", 38).alias("tag"), first.alias("start"), (first + F.col("place").bitwiseAND(F.lit(255)) + s.length - 1).alias("end")).distinct()
     found = whole.unionByName(resolve(small, s)).unionByName(resolve_large(large, s))
-    return found.groupBy("k", "tag").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    lists = found.groupBy("k", "tag").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def make():
+        def work(batch: pa.RecordBatch):
+            ranges = [[{"start": a, "end": b} for a, b in merged(r)] for r in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ranges, kind)], ["k", "tag", "ranges"])
+
+        return work
+
+    return map_batches(lists, "k long, tag long, ranges array<struct<start: long, end: long>>", make)
 
 
 def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
@@ -355,7 +367,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``kept`` is the remaining text; where a cut parts a character, what is left of it is dropped
     from ``kept`` (``kept_sha256`` is of the remaining bytes).
     """
-    ranges = repeated_ranges(docs, text_col, settings)
+    ranges = persist(repeated_ranges(docs, text_col, settings), "ranges")
+    # Few enough ranges go to where the texts are; else texts and ranges meet by digest.
+    size = ranges.agg(F.sum(F.size("ranges"))).first()[0] or 0
+    ranges = F.broadcast(ranges) if size <= settings.broadcast else ranges
     carry = carry or []
     k, tag = digests(F.col(text_col))
     own = docs.select(F.struct(F.col(id_col), *carry).alias("_row"), k, tag, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -365,7 +380,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def work(batch: pa.RecordBatch):
             out: list[tuple] = []
             for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data, cut = text.encode(), merged(ranges)
+                data, cut = text.encode(), [(r["start"], r["end"]) for r in ranges or ()]
                 kept, done = [], 0
                 for a, b in cut:
                     kept.append(data[done:a])
