@@ -264,9 +264,12 @@ def resolve(items: DataFrame, s: Settings) -> DataFrame:
         rows: list[tuple] = []
 
         def compared(rows: list[tuple]) -> pa.RecordBatch:
-            m = np.array([r[0] for r in rows])
-            ranks, there = window_ranks([r[3] for r in rows], m, powers, s)
-            flat = ranks[there]
+            found = []
+            for low in range(0, len(rows), 1000):  # the sums of a part take 10 MB
+                some = rows[low : low + 1000]
+                ranks, exist = window_ranks([r[3] for r in some], np.array([r[0] for r in some]), powers, s)
+                found.append((ranks[exist], exist))
+            flat, there = (np.concatenate(c) for c in zip(*found, strict=True))
             order = np.argsort(flat, kind="stable")
             same = np.concatenate([[False], flat[order][1:] == flat[order][:-1], [False]])
             repeated = np.zeros(len(flat), bool)
@@ -304,8 +307,8 @@ def resolve_large(items: DataFrame, s: Settings) -> DataFrame:
         powers = Powers()
 
         def work(batch: pa.RecordBatch):
-            for low in range(0, batch.num_rows, 4000):
-                part = batch.slice(low, 4000)
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
                 m = part.column(0).to_numpy()
                 ranks, there = window_ranks(part.column(3).to_pylist(), m, powers, s)
                 row, nth = np.nonzero(there)
