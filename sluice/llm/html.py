@@ -15,10 +15,10 @@ trees, with m pages that have the path,
 A page loses the branches whose importance is below a threshold, next to those
 that markup itself declares to be no article: menus, headers, footers, sidebars,
 forms, scripts, notices, adverts and comments.  Paths that fewer than
-``min_pages`` of a host's pages have aren't judged by importance, nor is what an
-``article`` or ``main`` element holds.  Where a page has such an element only its
-text counts.  If nothing would be left, branches are kept that importance alone
-had removed.
+``min_pages`` of a host's pages have aren't judged by importance.  What an
+``article`` or ``main`` element holds is judged like all else; of what is left,
+only its text counts where that is at least half.  If nothing would be left,
+branches are kept that importance alone had removed.
 
 Character references are decoded, white space in a block becomes one blank,
 blocks are joined by one blank.  Null and empty pages give an empty text; a null
@@ -248,11 +248,12 @@ def low_paths(tree: pd.DataFrame, settings: Settings) -> list[str]:
 def main_text(page: str | None, low: list[str] | None) -> str:
     """The text of a page without declared parts and low branches."""
     blocks = [b for b in parse(page)[0] if not b.away]
-    inside = [b for b in blocks if b.main]
-    if inside:
-        return " ".join(b.text for b in inside)
-    kept = [b for b in blocks if not any(b.path == p or b.path.startswith(p + "/") for p in low or ())]
-    return " ".join(b.text for b in kept or blocks)
+    kept = [b for b in blocks if not any(b.path == p or b.path.startswith(p + "/") for p in low or ())] or blocks
+    inside = [b for b in kept if b.main]
+    # An article speaks for its own text, not against a longer body next to it.
+    if 2 * sum(len(b.text) for b in inside) >= sum(len(b.text) for b in kept):
+        kept = inside
+    return " ".join(b.text for b in kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", settings: Settings = Settings()) -> DataFrame:

@@ -74,6 +74,15 @@ def test_long_pages_and_repeated_article_texts(spark):
     assert len(got[0]) == 5 * 100_000 - 1 and {got[i] for i in range(1, 12)} == {"copied"}
 
 
+def test_trees_prune_articles_and_teasers_do_not_hide_bodies(spark):
+    page = lambda i: (i, f"http://d.example/{i}", f'<main><div class="strip">Same words on each page</div><div class="story">Own text {i} of this page</div></main>')
+    teaser = (99, "http://e.example/", "<article>Short teaser</article><div><p>The body in plain divs is longer.</p><p>It goes on.</p></div>")
+    pages = spark.createDataFrame([*map(page, range(20)), teaser], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert got[7] == "Own text 7 of this page"
+    assert got[99] == "Short teaser The body in plain divs is longer. It goes on."
+
+
 # -- media ------------------------------------------------------------------
 
 
