@@ -398,8 +398,13 @@ def table_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT end_lsn, CASE WHEN bad THEN 'position order' ELSE 'replay differs' END AS fault FROM (SELECT event_id - event_id % 2 AS end_lsn, bool_or(event_id % 31 = 0) AS bad, count(DISTINCT user_id) > 1 AS d FROM events WHERE event_id % 31 = 0 OR event_id % 37 < 2 GROUP BY 1) WHERE bad OR d")
 def ledger_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events are registered: some at the place of their pair whatever they hold, the others as replays that agree."""
     n = F.col("event_id")
-    t = samples.table(spark, sf_dir, "events").where("event_id % 31 = 0 or event_id % 37 < 2").select(F.col("user_id").alias("xid"), (n - n % 2 - 5).alias("begin_lsn"), F.when(n % 31 == 0, n + 9).otherwise(n - n % 2 - 1).alias("commit_lsn"), (n - n % 2).alias("end_lsn"), n.alias("table_id"))
+    pair, marked = n - n % 2, (n % 31 == 0) | (n % 37 < 2)
+    end = F.when(marked, pair).otherwise(2 * pair + 1)  # even ends and odd ones never meet
+    rows = samples.table(spark, sf_dir, "events").select(F.when(marked, F.col("user_id")).otherwise(pair).alias("xid"), end.alias("end_lsn"), n.alias("table_id"))
+    e = F.col("end_lsn")
+    t = rows.select("xid", (e - 5).alias("begin_lsn"), F.when(F.col("table_id") % 31 == 0, F.col("table_id") + 9).otherwise(e - 1).alias("commit_lsn"), "end_lsn", "table_id")
     found = ledger.registration_faults(t)
     return found.groupBy("end_lsn").agg(F.min("fault").alias("fault"))
 
@@ -533,13 +538,25 @@ def resolve_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
 h AS (SELECT s.*, r <= 100 OR sequence >= (SELECT max(sequence) - 150 FROM s) AS held FROM s), f AS (SELECT h.*, row_number() OVER (PARTITION BY held ORDER BY sequence) AS o FROM h)
 SELECT id, CASE WHEN held THEN 'protected' WHEN o <= c - 700 THEN 'forced' WHEN ts_ms >= now - 500000 THEN 'window' ELSE 'aged' END AS fate FROM f, n""")
 def snapshot_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fates(samples.table(spark, sf_dir, "events").where("event_id < 2000"))
+
+
+def fates(events: DataFrame) -> DataFrame:
     n = F.col("event_id")
-    s = samples.table(spark, sf_dir, "events").where("event_id < 2000").select(n.alias("id"), (n - 1).alias("parent"), n.alias("sequence"), (n * 1000).alias("ts_ms"))
+    s = events.select(n.alias("id"), (n - 1).alias("parent"), n.alias("sequence"), (n * 1000).alias("ts_ms"))
     top = s.agg(F.max("sequence")).first()[0]
-    bases = spark.createDataFrame([(top - 150,)], "id long")
+    bases = s.sparkSession.createDataFrame([(top - 150,)], "id long")
     return retention.expiration(s, top * 1000, 500_000, 100, 700, bases).select("id", "fate")
 
 
+@query("""WITH s AS (SELECT event_id AS id, event_id AS sequence, event_id * 1000 AS ts_ms, row_number() OVER (ORDER BY event_id DESC) AS r FROM events), n AS (SELECT count(*) AS c, max(ts_ms) AS now FROM s),
+h AS (SELECT s.*, r <= 100 OR sequence >= (SELECT max(sequence) - 150 FROM s) AS held FROM s), f AS (SELECT h.*, row_number() OVER (PARTITION BY held ORDER BY sequence) AS o FROM h)
+SELECT id, CASE WHEN held THEN 'protected' WHEN o <= c - 700 THEN 'forced' WHEN ts_ms >= now - 500000 THEN 'window' ELSE 'aged' END AS fate FROM f, n""")
+def snapshot_retention_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``snapshot_retention`` over all events, so that the history grows with the tables."""
+    return fates(samples.table(spark, sf_dir, "events"))
+
+
 @query("SELECT event_id AS path FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id < 900")
 def gc_unreferenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered files that no retained snapshot and no pending operation needs, beyond the grace."""

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from sluice import catalogue
 from sluice.catalogue import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -38,3 +39,17 @@ def test_query(spark, sql, name):
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     assert got == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall())
+
+
+@pytest.mark.parametrize("name, operator", [("ledger_faults", "ledger.registration_faults"), ("snapshot_retention_history", "retention.expiration")])
+def test_all_events_reach_the_operator(spark, monkeypatch, name, operator):
+    data = DATA.replace("sf0.001", "sf0.01")
+    seen = []
+    module, function = operator.split(".")
+    real = getattr(getattr(catalogue, module), function)
+    monkeypatch.setattr(f"sluice.catalogue.{operator}", lambda rows, *more: seen.append(rows.count()) or real(rows, *more))
+    got = sorted((r[0], r[1]) for r in QUERIES[name](spark, data).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{data}/events.parquet'")
+    assert got == sorted(con.execute(ORACLES[name]).fetchall())
+    assert seen == [con.execute("SELECT count(*) FROM events").fetchone()[0]]
