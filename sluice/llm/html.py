@@ -14,7 +14,11 @@ trees, with m pages that have the path,
 
 A page loses the branches whose importance is below a threshold, next to those
 that markup itself declares to be no article: menus, headers, footers, sidebars,
-forms, scripts, notices, adverts and comments.  Paths that fewer than
+forms, scripts, notices, adverts and comments.  A class, an id or a form tag
+declares less than the other marks: an element that only these name stays, for
+the tree to judge, if it holds the page's largest ``article`` or ``main``, or most
+of its text or of a page's without one (of comments, nearly all), or, comments
+aside, nearly all text of the page.  Paths that fewer than
 ``min_pages`` of a host's pages have aren't judged by importance.  What an
 ``article`` or ``main`` element holds is judged like all else; of what is left,
 only its text counts where that is at least half.  If nothing would be left,
@@ -49,13 +53,16 @@ NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object canvas xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-AWAY = frozenset("nav header footer aside form button select fieldset dialog menu head".split())
+AWAY = frozenset("nav header footer aside button select fieldset dialog menu head".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 #: Words of a class or id that name parts which are no article.
 PARTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer colophon sidebar sidenav aside widget widgets "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search searchbox form comment comments disqus reply replies respond discussion share sharing social related recommended recommendations pagination pager toolbar copyright legal disclaimer hidden skip".split()
 )
+COMMENTARY = frozenset("comment comments disqus reply replies respond discussion".split())
+#: Fixed value: nearly all of a page's text.
+NEARLY = 0.9
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 WORDS = re.compile(r"[a-z]+")
 
@@ -78,20 +85,25 @@ class Node:
     away: bool
     main: bool
     order: list  # tags of children and "#" for text, runs as one
+    doubt: float = 0.0  # share of the text that keeps an element that words or a form tag name; 0: not named
+    parent: int = -1  # place among the elements, as in blocks
+    size: int = 0
+    mains: int = 0
 
 
 @dataclass(slots=True)
 class Block:
     text: str
     path: str
-    away: bool
-    main: bool
+    node: int
+    away: bool = False
+    main: bool = False
 
 
 def parse(page: str | None) -> tuple[list[Block], list[Node]]:
     """Blocks of text in page order and all elements."""
     root = Node("", "", False, False, [])
-    stack, nodes, blocks, text = [root], [root], [], []
+    stack, places, nodes, blocks, text = [root], [0], [root], [], []
     page = page or ""
 
     def flush() -> None:
@@ -100,10 +112,9 @@ def parse(page: str | None) -> tuple[list[Block], list[Node]]:
             text.clear()
             if words:
                 top = next(n for n in reversed(stack) if n.tag not in INLINE)
-                away, main = any(n.away for n in stack), any(n.main for n in stack)
                 if not top.order or top.order[-1] != "#":
                     top.order.append("#")
-                blocks.append(Block(" ".join(words), top.path, away, main))
+                blocks.append(Block(" ".join(words), top.path, places[-1]))
 
     at, size = 0, len(page)
     while at < size:
@@ -124,7 +135,7 @@ def parse(page: str | None) -> tuple[list[Block], list[Node]]:
             k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
             # A stray end tag of inline markup must not close the blocks around it.
             if k and not (tag in INLINE and any(n.tag not in INLINE for n in stack[k + 1 :])):
-                del stack[k:]
+                del stack[k:], places[k:]
             continue
         if tag in RAW and not names.endswith("/"):
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
@@ -139,29 +150,66 @@ def parse(page: str | None) -> tuple[list[Block], list[Node]]:
             if tag == "p" or stack[-1].tag == "p" or tag in CLOSED_BY:
                 shut = CLOSED_BY.get(tag, {"p"})
                 while len(stack) > 1 and (stack[-1].tag in shut or stack[-1].tag == "p" or stack[-1].tag in INLINE and any(n.tag in shut or n.tag == "p" for n in stack)):
-                    stack.pop()
+                    stack.pop(), places.pop()
         elif names.endswith("/"):
             continue
         node = element(tag, names, stack[-1])
+        node.parent = places[-1]
         above = next(n for n in reversed(stack) if n.tag not in INLINE)
         if tag not in INLINE and (not above.order or above.order[-1] != tag):
             above.order.append(tag)
         if len(stack) < 200:
             stack.append(node)
+            places.append(len(nodes))
         nodes.append(node)
     flush()
+    settle(blocks, nodes)
     return blocks, nodes
 
 
+def settle(blocks: list[Block], nodes: list[Node]) -> None:
+    """Tells which elements and blocks are away or main, from what the whole page holds."""
+    below = nodes[1:]  # parents come before their children
+    for n in below:
+        n.away |= nodes[n.parent].away
+    for b in blocks:
+        nodes[b.node].size += 0 if nodes[b.node].away else len(b.text)
+    for n in reversed(below):
+        n.mains += n.main and n.size > 0
+        nodes[n.parent].size += n.size
+        nodes[n.parent].mains += n.mains
+    core = max((k for k, n in enumerate(nodes) if n.main), key=lambda k: nodes[k].size, default=0)
+    if not nodes[core].size:
+        core = 0
+    around, k = set(), core
+    while k >= 0:
+        around.add(k)
+        k = nodes[k].parent
+    size, mains = nodes[core].size, nodes[core].mains - nodes[core].main
+    inside = {core}
+    for k, n in enumerate(below, 1):
+        if n.parent in inside:
+            inside.add(k)
+        if n.doubt and k not in around:
+            # Where the core has articles, text without one isn't its body, unless there is hardly any other.
+            body = k in inside and n.size > n.doubt * size and (n.mains > 0 or mains == 0)
+            n.away |= not (body or n.doubt < NEARLY and n.size > NEARLY * nodes[0].size)
+        n.away |= nodes[n.parent].away
+        n.main |= nodes[n.parent].main
+    for b in blocks:
+        b.away, b.main = nodes[b.node].away, nodes[b.node].main
+
+
 def element(tag: str, names: str, parent: Node) -> Node:
-    label, away = "", tag in AWAY
+    label, away, doubt = "", tag in AWAY, 0.5 if tag == "form" else 0.0
     main = tag in ("article", "main")
     if names:
         for key, *values in NAMES.findall(names):
             key, value = key.lower(), "".join(values).lower()
             if key in ("class", "id"):
                 words = WORDS.findall(value)
-                away |= not PARTS.isdisjoint(words) and tag not in ("html", "body", "article", "main")
+                if not PARTS.isdisjoint(words) and tag not in ("html", "body", "article", "main"):
+                    doubt = max(doubt, 0.5 if COMMENTARY.isdisjoint(words) else NEARLY)
                 label = label or (words[0] if words else "")
             elif key == "role":
                 away |= value in ROLES
@@ -171,7 +219,7 @@ def element(tag: str, names: str, parent: Node) -> Node:
     if tag in ("article", "main") and names and not PARTS.isdisjoint({"comment", "comments", "reply"} & set(WORDS.findall(names.lower()))):
         main, away = False, True
     path = parent.path if tag in INLINE else f"{parent.path}/{tag}{'.' + label if label else ''}"[-300:]
-    return Node(tag, path, away, main, [])
+    return Node(tag, path, away, main, [], doubt)
 
 
 def host_of(url: F.Column) -> F.Column:

@@ -83,6 +83,26 @@ def test_trees_prune_articles_and_teasers_do_not_hide_bodies(spark):
     assert got[99] == "Short teaser The body in plain divs is longer. It goes on."
 
 
+@pytest.mark.parametrize("open_, close", [('<div class="layout has-sidebar">', "</div>"), ('<div id="page" class="no-sidebar">', "</div>"), ('<div class="comments-open">', "</div>"), ("<form>", "</form>")])
+def test_wrappers_of_the_text_stay(open_, close):
+    nav, ad = "<nav>menu</nav>", '<div class="ad">buy this and more of it</div>'
+    assert text_of(f"{open_}{nav}<article>The body</article>{ad}{close}") == "The body"
+    assert text_of(f"<article>{open_}{nav}<p>The body</p>{close}</article>{ad}") == "The body"
+    assert text_of(f"{nav}{open_}<p>The body of a page without any article</p>{close}") == "The body of a page without any article"
+    if "comments" not in open_:
+        assert text_of(f"<article>Teaser</article>{open_}{'<p>The body</p>' * 20}{close}") == " ".join(["Teaser", *["The body"] * 20])
+
+
+def test_named_parts_next_to_the_text_go():
+    comments = '<div id="comments"><p>A comment that is longer than all the article</p></div>'
+    related = '<div class="related"><article>One more</article><article>Two more</article><article>Three more</article></div>'
+    form = "<form>Send us a letter of many words</form>"
+    for part in (comments, related, form):
+        assert text_of(f"<article>The body here</article>{part}") == text_of(f"<main><article>The body here</article></main>{part}") == "The body here"
+    assert text_of(f"<article>The body here{comments}</article>") == text_of(f"<main><article>The body here</article>{comments}</main>") == "The body here"
+    assert text_of(f"<div>The body here, in plain elements, is long</div>{form}") == "The body here, in plain elements, is long"
+
+
 # -- media ------------------------------------------------------------------
 
 
