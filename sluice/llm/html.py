@@ -12,18 +12,21 @@ trees, with m pages that have the path,
 * an inner node's importance mixes its own presentation with its children's
   importance, weighted by how many pages have them.
 
-A page loses the branches whose importance is below a threshold, next to those
-that markup itself declares to be no article: menus, headers, footers, sidebars,
-forms, scripts, notices, adverts and comments.  A class, an id or a form tag
-declares less than the other marks: an element that only these name stays, for
-the tree to judge, if it holds the page's largest ``article`` or ``main``, or most
-of its text or of a page's without one (of comments, nearly all), or, comments
-aside, nearly all text of the page.  Paths that fewer than
-``min_pages`` of a host's pages have aren't judged by importance.  What an
-``article`` or ``main`` element holds is judged like all else; of what is left,
-only its text counts where that is at least half.  If nothing would be left,
+A page loses the branches whose importance, and that of all below them, is below
+a threshold, next to those that markup itself declares to be no article: menus,
+headers, footers, sidebars, forms, scripts, notices, adverts and comments.  A
+class, an id or a form tag declares less than the other marks: an element that
+only these name stays, for the tree to judge, if it holds the page's largest
+``article`` or ``main``, or most of its text or of a page's without one (of
+comments, nearly all), or, comments aside, nearly all text of the page.  Paths
+that fewer than ``min_pages`` of a host's pages have aren't judged by importance.
+What an ``article`` or ``main`` element holds is judged like all else; of what is
+left, only its text counts where that is at least half.  If nothing would be left,
 branches are kept that importance alone had removed.
 
+Elements of any depth are kept.  Paths of over 300 characters are replaced by
+digests of all their names, which are linked to their parents' paths.
+
 Character references are decoded, white space in a block becomes one blank,
 blocks are joined by one blank.  Null and empty pages give an empty text; a null
 url counts as a host of its own name; truncated and unclosed markup is closed at
@@ -32,6 +35,7 @@ the end; null ids pass through; repeated pages give equal texts.
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import re
 import zlib
@@ -103,15 +107,21 @@ class Block:
 def parse(page: str | None) -> tuple[list[Block], list[Node]]:
     """Blocks of text in page order and all elements."""
     root = Node("", "", False, False, [])
-    stack, places, nodes, blocks, text = [root], [0], [root], [], []
+    # Of each open element: its place among the nodes, and its depth by tag; of each depth: the depth of the block around.
+    stack, places, tops, nodes, blocks, text = [root], [0], [0], [root], [], []
+    depths: dict[str, list[int]] = {}
     page = page or ""
 
+    def shut_last() -> None:
+        depths[stack.pop().tag].pop()
+        places.pop(), tops.pop()
+
     def flush() -> None:
         if text:
             words = references.unescape("".join(text)).split()
             text.clear()
             if words:
-                top = next(n for n in reversed(stack) if n.tag not in INLINE)
+                top = stack[tops[-1]]
                 if not top.order or top.order[-1] != "#":
                     top.order.append("#")
                 blocks.append(Block(" ".join(words), top.path, places[-1]))
@@ -132,10 +142,11 @@ def parse(page: str | None) -> tuple[list[Block], list[Node]]:
         if closing:
             if tag not in INLINE:
                 flush()
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+            k = depths[tag][-1] if depths.get(tag) else 0
             # A stray end tag of inline markup must not close the blocks around it.
-            if k and not (tag in INLINE and any(n.tag not in INLINE for n in stack[k + 1 :])):
-                del stack[k:], places[k:]
+            if k and not (tag in INLINE and tops[-1] > k):
+                while len(stack) > k:
+                    shut_last()
             continue
         if tag in RAW and not names.endswith("/"):
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
@@ -149,18 +160,19 @@ def parse(page: str | None) -> tuple[list[Block], list[Node]]:
             flush()
             if tag == "p" or stack[-1].tag == "p" or tag in CLOSED_BY:
                 shut = CLOSED_BY.get(tag, {"p"})
-                while len(stack) > 1 and (stack[-1].tag in shut or stack[-1].tag == "p" or stack[-1].tag in INLINE and any(n.tag in shut or n.tag == "p" for n in stack)):
-                    stack.pop(), places.pop()
+                while len(stack) > 1 and (stack[-1].tag in shut or stack[-1].tag == "p" or stack[-1].tag in INLINE and any(depths.get(t) for t in (*shut, "p"))):
+                    shut_last()
         elif names.endswith("/"):
             continue
         node = element(tag, names, stack[-1])
         node.parent = places[-1]
-        above = next(n for n in reversed(stack) if n.tag not in INLINE)
+        above = stack[tops[-1]]
         if tag not in INLINE and (not above.order or above.order[-1] != tag):
             above.order.append(tag)
-        if len(stack) < 200:
-            stack.append(node)
-            places.append(len(nodes))
+        depths.setdefault(tag, []).append(len(stack))
+        tops.append(tops[-1] if tag in INLINE else len(stack))
+        stack.append(node)
+        places.append(len(nodes))
         nodes.append(node)
     flush()
     settle(blocks, nodes)
@@ -218,20 +230,38 @@ def element(tag: str, names: str, parent: Node) -> Node:
                 away |= tag not in ("html", "body")
     if tag in ("article", "main") and names and not PARTS.isdisjoint({"comment", "comments", "reply"} & set(WORDS.findall(names.lower()))):
         main, away = False, True
-    path = parent.path if tag in INLINE else f"{parent.path}/{tag}{'.' + label if label else ''}"[-300:]
+    path = parent.path if tag in INLINE else step(parent.path, f"{tag}{'.' + label if label else ''}")
     return Node(tag, path, away, main, [], doubt)
 
 
+def depth_of(path: str) -> int:
+    return int(path[1:].split("/")[0]) if path.startswith("#") else path.count("/")
+
+
+def step(path: str, name: str) -> str:
+    """The path of a child: all names from the root, or its depth and a digest of them where they are long."""
+    longer = f"{path}/{name}"
+    if len(longer) <= 300 and not path.startswith("#"):
+        return longer
+    return f"#{depth_of(path) + 1}/{hashlib.blake2b(longer.encode('utf-8', 'replace'), digest_size=16).hexdigest()}"
+
+
+def key_of(path: str) -> int:
+    return int.from_bytes(hashlib.blake2b(path.encode("utf-8", "replace"), digest_size=8).digest(), "big") >> 1
+
+
 def host_of(url: F.Column) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
 def evidence(page: str | None) -> Iterator[tuple[str, int, int]]:
-    """What a page adds to its host's tree: (path, 0, child sequence) and (path, 1, text), each once."""
+    """What a page adds to its host's tree: (path, 0, child sequence), (path, 1, text) and, of digests, (path, 2, parent), each once."""
     blocks, nodes = parse(page)
     seen = {(n.path, 0, zlib.crc32(" ".join(n.order).encode())) for n in nodes if n.tag not in INLINE}
     # Content counts by words of a block, hashed with its path by the groups that follow.
     seen |= {(b.path, 1, zlib.crc32(b.text.encode())) for b in blocks if not b.away}
+    above = lambda n: nodes[n.parent].path
+    seen |= {(n.path, 2, key_of(above(n))) for n in nodes if n.path.startswith("#") and n.tag not in INLINE}
     yield from seen
 
 
@@ -256,6 +286,7 @@ def style_trees(pages: DataFrame, url_col: str, html_col: str, settings: Setting
         F.sum(F.when(shown, F.col("c") * F.log("c"))).alias("shown_log"),
         F.count(F.when(text, 1)).alias("texts"),
         F.sum(F.when(text, F.log("c"))).alias("text_log"),
+        F.max(F.when(F.col("kind") == 2, F.col("item")).otherwise(0)).alias("up"),
     )
     nodes = nodes.where(F.col("m") >= settings.min_pages)
 
@@ -268,7 +299,7 @@ def style_trees(pages: DataFrame, url_col: str, html_col: str, settings: Setting
 
 
 def low_paths(tree: pd.DataFrame, settings: Settings) -> list[str]:
-    """Paths whose composite importance is below the threshold."""
+    """Paths whose composite importance and that of all paths below them is below the threshold."""
     m = tree["m"].to_numpy(float)
     base = np.log(np.maximum(m, 2))
     shown = np.clip((np.log(m) - tree["shown_log"].to_numpy(float) / m) / base, 0, 1)
@@ -276,12 +307,15 @@ def low_paths(tree: pd.DataFrame, settings: Settings) -> list[str]:
     content = 1 - np.clip(np.nan_to_num(tree["text_log"].to_numpy(float)) / np.maximum(texts, 1) / base, 0, 1)
     paths = tree["path"].tolist()
     index = {p: i for i, p in enumerate(paths)}
+    digests = any(p.startswith("#") for p in paths)
+    keys = {key_of(p): i for i, p in enumerate(paths)} if digests else {}
+    ups = tree["up"].tolist() if digests else ()
     children: dict[int, list[int]] = {}
     for i, p in enumerate(paths):
-        if p and (up := index.get(p.rsplit("/", 1)[0])) is not None:
+        if p and (up := keys.get(ups[i]) if p.startswith("#") else index.get(p.rsplit("/", 1)[0])) is not None:
             children.setdefault(up, []).append(i)
-    importance = np.ones(len(paths))
-    for i in sorted(range(len(paths)), key=lambda i: -paths[i].count("/")):
+    importance, peak = np.ones(len(paths)), np.ones(len(paths))
+    for i in sorted(range(len(paths)), key=lambda i: -depth_of(paths[i])):
         below = children.get(i, [])
         own = content[i] if texts[i] else shown[i]
         if below:
@@ -290,13 +324,19 @@ def low_paths(tree: pd.DataFrame, settings: Settings) -> list[str]:
             importance[i] = max(mixed, content[i]) if texts[i] else mixed
         else:
             importance[i] = own if texts[i] else 1.0
-    return [p for i, p in enumerate(paths) if p and importance[i] < settings.threshold]
+        # Importance fades with each level, so a chain of wrappers is worth as much as the best in it.
+        peak[i] = max(importance[i], peak[below].max(initial=0))
+    return [p for i, p in enumerate(paths) if p and peak[i] < settings.threshold]
 
 
 def main_text(page: str | None, low: list[str] | None) -> str:
     """The text of a page without declared parts and low branches."""
-    blocks = [b for b in parse(page)[0] if not b.away]
-    kept = [b for b in blocks if not any(b.path == p or b.path.startswith(p + "/") for p in low or ())] or blocks
+    blocks, nodes = parse(page)
+    blocks, gone, dull = [b for b in blocks if not b.away], set(low or ()), set()
+    for k, n in enumerate(nodes if gone else ()):
+        if n.path in gone or n.parent in dull:
+            dull.add(k)
+    kept = [b for b in blocks if b.node not in dull] or blocks
     inside = [b for b in kept if b.main]
     # An article speaks for its own text, not against a longer body next to it.
     if 2 * sum(len(b.text) for b in inside) >= sum(len(b.text) for b in kept):

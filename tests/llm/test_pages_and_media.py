@@ -103,6 +103,25 @@ def test_named_parts_next_to_the_text_go():
     assert text_of(f"<div>The body here, in plain elements, is long</div>{form}") == "The body here, in plain elements, is long"
 
 
+def test_elements_of_any_depth():
+    deep, up = "<div>" * 250, "</div>" * 250
+    assert text_of(f"{deep}<p>body</p><nav>menu</nav><footer>foot</footer>") == "body"
+    assert text_of(f"{'<font>' * 300}<p>body</p><nav>menu</nav>") == "body"
+    assert text_of(f"<div><article>{deep}first{up}<p>rest</p></article></div>") == "first rest"
+    assert text_of(f"<main>{'<div>x' * 20_000}<aside>y") == " ".join("x" * 20_000)
+
+
+def test_long_paths_are_told_apart_and_linked(spark):
+    names = "".join(f'<div class="part{chr(97 + k % 26)}">' for k in range(60))
+    page = lambda i: f'<div class="left">{names}Own text {i} of this page{"</div>" * 61}<div class="right">{names}<div>Same words</div><div>on each page</div>{"</div>" * 61}'
+    blocks, nodes = html.parse(page(0))
+    assert len({b.path for b in blocks}) == 2 and all(len(n.path) <= 300 for n in nodes)
+    rows = [(i, "http://f.example/", page(i)) for i in range(20)]
+    found = html.style_trees(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html", html.Settings()).collect()
+    assert "/div.right" in found[0].low and "/div.left" not in found[0].low
+    assert html.main_text(page(3), ["/div.right"]) == "Own text 3 of this page"
+
+
 # -- media ------------------------------------------------------------------
 
 
