@@ -24,10 +24,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates the document with the smallest id; documents without an id stay."""
-    found = near.near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").withColumn("_key", near.text_key("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """Of near duplicates one row: the smallest id that isn't null, and of its texts one."""
+    return near.one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -309,9 +309,8 @@ def link_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(links, pa.int64())], ["a", "b", "links"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """(id, class_id, n_links, n_copies) of every row of ``docs``."""
-    s = settings
+def linked(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows with their node; (node, least, copies, root) of all nodes, equal roots for what links connect; (node, n_links)."""
     rows = persist(signed(docs, id_col, text_col, s), "signatures")
     nodes = rows.groupBy("node").agg(F.min("_id").alias("least"), F.count("*").alias("copies"), F.min(F.struct("grams", "key", "signature")).alias("own"))
     nodes = persist(nodes.select("node", "least", "copies", "own.grams", "own.key", "own.signature"), "nodes")
@@ -325,7 +324,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = persist(verify(chosen, members, text_col, s), "links")
     counts = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     classes = components(links.where("b is not null").select("a", "b"))
-    named = nodes.select("node", "least", "copies").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows, nodes.select("node", "least", "copies").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")), counts
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """(id, class_id, n_links, n_copies) of every row of ``docs``."""
+    rows, named, counts = linked(docs, id_col, text_col, settings)
     names = named.groupBy("root").agg(F.min("least").alias("class_id"))
     known = named.join(names, "root").join(counts, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"))
     return rows.select(F.col("_id").alias(id_col), "node").join(known, "node").select(id_col, "class_id", "n_links", "n_copies")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """One row of ``docs`` for each class: the one with its smallest id, of the text with the smallest key; without an id only if all are."""
+    rows, named, _ = linked(docs, id_col, text_col, settings)
+    firsts = rows.groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "key")).alias("first"))
+    chosen = named.select("node", "root").join(firsts, "node").groupBy("root").agg(F.min("first").alias("first"))
+    # Null ids in a struct are equal to one another; copies of a row go before rows meet, so many of one text don't.
+    chosen = chosen.select(F.struct(F.col("first._id").alias("id"), F.col("first.key").alias("key")).alias("_row")).distinct()
+    own = docs.withColumn("_row", F.struct(F.col(id_col).alias("id"), text_key(text_col))).dropDuplicates(["_row"])
+    return own.join(chosen, "_row", "left_semi").select(docs.columns)

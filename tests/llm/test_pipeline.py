@@ -35,6 +35,16 @@ def test_one_document_of_each_group_stays(stages):
     assert kept == set(before.values())
 
 
+def test_rows_without_ids_and_with_repeated_ids_are_deduplicated(spark, stages):
+    text = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"term{i}" for i in range(60))
+    lone = " ".join(f"name{i}" for i in range(60))
+    rows = [(7, text), (None, text), (None, text + " more"), (7, text + " again"), (9, text), (7, other), (None, lone), (None, lone), (None, lone + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], stages[0].schema)
+    kept = [(r.doc_id, r.text.split()[0]) for r in corpus_pipeline.one_of_each_group(spark, docs, DATA).collect()]
+    assert sorted(kept, key=str) == sorted([(7, "word0"), (7, "term0"), (None, "name0")], key=str)
+
+
 def test_nothing_repeats_or_identifies_afterwards(stages):
     from sluice.llm import pii
 
