@@ -1,12 +1,12 @@
-"""Near duplicates: Jaccard join of word n-grams by a MinHash LSH forest.
+"""Near duplicates: Jaccard join of word n-grams by MinHash banding.
 
 Texts become sets of n-grams of their lower-cased words (a text of fewer words is
 one gram).  Texts with equal sets are copies of one another and share a node from
-then on.  Each node's MinHash signature is cut into labels of ``depth`` hashes,
-one for each tree of the forest; in the sorted labels of a tree (a prefix trie)
-nodes meet that share a prefix.  The prefix is shortened from the whole label,
-hash by hash, until the chance that a pair at the threshold meets in at least one
-tree reaches the target recall.
+then on.  Each node's MinHash signature is cut into ``trees`` bands of ``depth``
+hashes, and nodes meet that share the first hashes of a band.  How many is fixed
+by the parameters: the most with which the chance that a pair at the threshold
+meets in at least one band reaches the target recall.  This is plain banding, not
+an LSH forest: labels aren't sorted, nor prefixes shortened by what the data holds.
 
 Pairs that meet are never listed.  Within a group of equal prefixes, signatures
 estimate the similarity; nodes are joined into clusters where it isn't clearly
