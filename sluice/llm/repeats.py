@@ -1,11 +1,10 @@
-"""Exact removal of long repeated substrings by distributed prefix doubling.
+"""Exact removal of long repeated substrings by content-sampled groups and fingerprints.
 
 A byte goes if a string of ``length`` bytes that covers it also starts anywhere
-else, in the same text or another.  Ranks of text positions are doubled and what
-has become unique is dropped, round by round, as in a distributed suffix array;
-a rank is a 64-bit fingerprint, so equal ranks need no global order.  Sorting
-every byte position is what makes the plain algorithm cost many times its input,
-so positions are sampled in a way that depends on content alone:
+else, in the same text or another.  This stands in for distributed prefix doubling:
+no rounds sort and rerank all positions.  A rank is a 64-bit fingerprint of what a
+position starts, so equal ranks need no global order, and what has become unique is
+dropped early.  Positions are sampled in a way that depends on content alone:
 
 1. Each window of ``length`` bytes is represented by the smallest rank among its
    substrings of ``seed`` bytes.  Runs of neighbouring windows with the same
