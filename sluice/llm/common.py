@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -61,6 +63,7 @@ def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Ca
     batches in parts of a few MB, so that what it builds of them stays small.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
@@ -70,6 +73,26 @@ def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Ca
     return df.mapInArrow(run, schema)
 
 
+def lean(run: Callable) -> Callable:
+    """``run``, a task over Arrow batches, after which its worker gives free memory back: idle workers live on next to busy ones."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
+def release() -> None:
+    """Give memory that Arrow and the C library hold free back to the system, where they can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def parts(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about ``size`` bytes, of one row at least."""
     step = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))

@@ -18,7 +18,7 @@ Rows with null ids are packed like others.  Equal texts are packed separately.
 from __future__ import annotations
 
 import bisect
-import functools
+import json
 import re
 import sys
 import zlib
@@ -26,13 +26,14 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import parts, persist
+from sluice.llm.common import lean, parts, persist
 
 #: Letters below U+0250 whose case folding and composition are one to one, and plain white space and marks.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ‐-‧‰-›€]*")
@@ -58,61 +59,63 @@ class Tokens:
     are kept, and pre-tokens that are new to a batch go to the tokenizer together.
     Other texts go through the tokenizer whole.  The vocabulary's normaliser
     lower-cases and its splitter drops white space, which the cut repeats for plain
-    characters only.
+    characters only.  What is kept is bounded in bytes: beyond ``most``, only what
+    the batch at hand needs stays.
     """
 
-    def __init__(self, vocabulary: str, most: int = 500_000):
+    def __init__(self, vocabulary: str, most: int = 64 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        mark = json.loads(vocabulary)["model"]["end_of_word_suffix"]
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(mark)]] = True
         self.known: dict[str, bytes] = {}
-        self.most = most
+        self.most = self.left = most
 
     def learn_words(self, words: list[str]) -> None:
-        """Encode pre-tokens, many in one text: blanks part them and are dropped."""
+        """Encode pre-tokens, many in one text: blanks part them and are dropped; the last id of each has the vocabulary's closing mark."""
         for low in range(0, len(words), 1000):
             some = words[low : low + 1000]
-            encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, owner = encoded.ids, encoded.word_ids
-            ends = [i for i in range(1, len(ids)) if owner[i] != owner[i - 1]]
-            if len(ends) + 1 != len(some):
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
                 raise ValueError("the tokenizer cuts pre-tokens otherwise than expected")
-            for word, start, end in zip(some, [0, *ends], [*ends, len(ids)], strict=True):
-                self.known[word] = pack(ids[start:end])
+            packed, bounds = ids.tobytes(), [0, *(ends * 4).tolist()]
+            self.known.update(zip(some, [packed[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], strict=True))
 
     def learn(self, parts: set[str]) -> None:
         known = self.known
-        words = {p for p in parts if p.isalpha()}
+        words = set(filter(str.isalpha, parts))
         others = [(p, SPLIT.findall(p)) for p in parts - words]
         words.update(w for _, cut in others for w in cut if w not in known)
         self.learn_words(list(words))
         for part, cut in others:
             known[part] = b"".join(map(known.__getitem__, cut))
+        # With its ids and its place in the table an entry takes some 200 bytes besides its text, which may be long.
+        self.left -= sum(map(len, parts)) + 200 * len(words | parts)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for low in range(0, len(texts), 500):
             part = texts[low : low + 500]
             plain = [t.lower().split() if t and PLAIN.fullmatch(t) else None for t in part]
-            if len(self.known) > self.most:
-                self.known.clear()
-            if new := set().union(*filter(None, plain)).difference(self.known):
+            known = self.known
+            seen = set().union(*filter(None, plain))
+            if self.left < 0:  # keep what this batch needs
+                self.known = known = {p: known[p] for p in seen.intersection(known)}
+                self.left = self.most - 300 * len(known)
+            if new := seen.difference(known):
                 self.learn(new)
             for text, parts in zip(part, plain, strict=True):
                 if parts is not None:
-                    out.append(b"".join(map(self.known.__getitem__, parts)))
+                    out.append(b"".join(map(known.__getitem__, parts)))
                 else:
                     out.append(pack(self.tokenizer.encode(text, add_special_tokens=False).ids) if text else b"")
         return out
 
 
-@functools.cache
-def worker_tokens(vocabulary: str) -> Tokens:
-    """One for each worker process, whatever the number of its tasks."""
-    return Tokens(vocabulary)
-
-
 def pack(ids: list[int]) -> bytes:
     packed = array("I", ids)  # unsigned 32-bit
     if sys.byteorder == "big":
@@ -212,8 +215,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     types = [id_type, *[pa.int64()] * 6, pa.binary(), pa.int64()]
     names = [id_col, *COLUMNS, "_group"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer, part = worker_tokens(shared.value), Packer(settings), TaskContext.get().partitionId()
+        tokens, packer, part = Tokens(shared.value), Packer(settings), TaskContext.get().partitionId()
         closing, made = pack([settings.closing]), 0
         rows: list[tuple] = []
 
