@@ -38,18 +38,40 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: While a table is written, its shuffle files go as soon as it is there, and workers get batches of a few MB.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def persist(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage: whatever reads the result no longer repeats the work, and
-    a lost executor costs nothing that was already written.
+    a lost executor costs nothing that was already written.  :func:`discard` deletes it.
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = {name: spark.conf.get(name, None) for name in WRITING}
+    try:
+        for name, value in WRITING.items():
+            spark.conf.set(name, value)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`persist` wrote and nothing reads any more."""
+    for t in tables:
+        if files := t.inputFiles():
+            spark = t.sparkSession
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            if not shared_dir(spark).rstrip("/").endswith(folder.getParent().toUri().getPath().rstrip("/")):
+                raise ValueError(f"{folder} isn't in the shared folder")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fields(df: DataFrame, column: str, rest: str) -> T.StructType:
     """A schema of ``column`` as it is in ``df``, whatever its type, and the fields of ``rest``."""
     return T.StructType([T.StructField(column, df.schema[column].dataType), *T.StructType.fromDDL(rest).fields])

@@ -56,7 +56,7 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep=False)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,37 +1,42 @@
-"""Exact removal of long repeated substrings by content-sampled groups and fingerprints.
+"""Exact removal of long repeated substrings by distributed prefix doubling.
 
 A byte goes if a string of ``length`` bytes that covers it also starts anywhere
-else, in the same text or another.  This stands in for distributed prefix doubling:
-no rounds sort and rerank all positions.  A rank is a 64-bit fingerprint of what a
-position starts, so equal ranks need no global order, and what has become unique is
-dropped early.  Positions are sampled in a way that depends on content alone:
-
-1. Each window of ``length`` bytes is represented by the smallest rank among its
-   substrings of ``seed`` bytes.  Runs of neighbouring windows with the same
-   representative form a segment, about one for 70 bytes.  Equal windows have
-   equal representatives, so windows of a segment whose representative occurs
-   nowhere else are unique: these segments are dropped (ranks at offset 0).  A
-   segment that holds its representative twice counts as two halves.
-2. Segments that are left get the rank of all that their windows cover (offset
-   doubled to both sides).  Where that repeats, all windows of the segment do.
-3. What is unique by then but shares a representative is compared window by
-   window, inside the group of its representative (the threshold itself).  Of
-   segments that are equal as a whole one stands for all.  Groups are streamed
-   in order of representative; one with more than ``group`` different segments
-   is compared by an aggregation over its windows' ranks instead, which needs
-   no group in one task.
-
-Counts are pre-aggregated before each shuffle, joins are on ranks and text
-digests, and no step lists pairs.  Texts are their UTF-8 bytes; null is empty;
-texts shorter than ``length`` lose nothing; copies of a text lose all of it if it
-is long enough; null and repeated ids pass through, since texts are matched by
-digest and not by id.
+else, in the same text or another.  Ranks of positions are refined at growing
+lengths: in each round Spark sorts (rank, what lies at the next offset) pairs,
+equal neighbours get dense new ranks, and positions that are unique are dropped,
+until the length is past the threshold (:mod:`sluice.llm.ranking`).
+
+Ranking all positions of a corpus would sort many times its size, so positions are
+sampled, by content alone: equal windows of ``length`` bytes sample the same ones.
+
+1. ``seed`` bytes.  A window's position is the leftmost of its substrings of
+   ``seed`` bytes with the smallest hash.  A run of windows with one position is a
+   segment, about one for 70 bytes; its pair is (hash of the position's seed,
+   fingerprint of all that its windows cover).  Segments whose seed is unique hold
+   unique windows only and are dropped.  Segments that repeat as a whole are past
+   the threshold; one of each kind goes on.
+2. ``length`` - 8 bytes.  Segments are cut at multiples of 8 bytes before their
+   position.  The pair of a block, the 8 windows that start up to 7 bytes before
+   its cut, is (rank, fingerprint of the bytes that all 8 share); behind it the 7
+   bytes before and the 8 bytes after.  Blocks that repeat as a whole are done.
+3. ``length`` bytes.  The pair of a window is (rank, the 8 bytes around the shared
+   ones that are its own).  A window whose pair repeats is repeated.
+
+So there are three rounds whatever the input; each is a range sort that cuts hot
+classes among ranges, and no step lists pairs or holds a class.  Ranks are decided
+by 64-bit fingerprints within classes of the rank before, and by the bytes
+themselves in the last round.  Texts are joined twice by digest: once, each text
+once, with the segments that go on, and at the end with the ranges to remove.
+
+Texts are their UTF-8 bytes; null is empty; texts shorter than ``length`` lose
+nothing; copies of a text lose all of it if it is long enough; null and repeated
+ids pass through, since texts are matched by digest and not by id; input columns
+may have any names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,25 +44,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import fields, map_batches, persist
+from sluice.llm.common import discard, fields, map_batches, persist
+from sluice.llm.ranking import dense_ranks
 
 
 @dataclass(frozen=True)
 class Settings:
-    """length: bytes that must repeat.  seed: bytes of a first rank.  group: different segments of one
-    representative that are compared in memory.  broadcast: the most ranges, of about 50 bytes with their
-    text's digest, that are sent to all executors."""
+    """length: bytes that must repeat.  seed: bytes of a first rank."""
 
     length: int = 200
     seed: int = 64
-    group: int = 50_000
-    broadcast: int = 500_000
 
     @property
     def span(self) -> int:
         """Seeds in a window, which is also the most windows of a segment."""
         return self.length - self.seed + 1
 
+    @property
+    def core(self) -> int:
+        """Bytes that all windows of a block share."""
+        return self.length - GRID
+
+
+#: Windows of a block: as many bytes as a long has are a window's own.
+GRID = 8
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -106,10 +116,17 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def segments(texts: list[bytes], powers: Powers, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window, windows, representative) of all segments of the texts."""
+#: Bits of a place in a batch of blocks.
+PLACE = 22
+
+
+def segments(texts: list[bytes], powers: Powers, s: Settings) -> tuple[np.ndarray, ...]:
+    """(text, first window, windows, offset of the position, hash of its seed, fingerprint) of all segments of the texts.
+
+    Of segments of a kind that follow each other, as in periodic text, the second stands for all that follow.
+    """
     parts = []
-    at, size, batch = 0, 0, []
+    size, batch = 0, []
     for i, text in enumerate(texts):
         # Very long texts go block by block, with the overlap that whole windows need.
         for low in range(0, max(1, len(text) - s.length + 1), BLOCK):
@@ -117,13 +134,14 @@ def segments(texts: list[bytes], powers: Powers, s: Settings) -> tuple[np.ndarra
             if len(piece) >= s.length:
                 batch.append((i, low, piece))
                 size += len(piece)
-        if size >= BLOCK or i == len(texts) - 1:
-            if batch:
+            if size >= BLOCK:
                 parts.append(_segments(batch, powers, s))
-            batch, size = [], 0
+                batch, size = [], 0
+    if batch:
+        parts.append(_segments(batch, powers, s))
     if not parts:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
@@ -132,215 +150,151 @@ def _segments(batch: list[tuple[int, int, bytes]], powers: Powers, s: Settings)
     powers = powers.upto(len(data) + 1)
     sums = prefix_sums(data, powers)
     seeds = mix((sums[s.seed :] - sums[: -s.seed]) * powers.down[: len(data) - s.seed + 1])
-    minima = window_minima(seeds, s.span)
+    # The place in the low bits: of equal hashes the leftmost is the smallest.
+    low_bits = np.uint64((1 << PLACE) - 1)
+    at = (window_minima(seeds & ~low_bits | np.arange(len(seeds), dtype=np.uint64), s.span) & low_bits).astype(np.int64)
     sizes = np.array([len(p) for _, _, p in batch])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     windows = sizes - s.length + 1
     which = np.repeat(np.arange(len(batch)), windows)
-    place = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    value = minima[place + starts[which]]
-    first = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (which[1:] != which[:-1])]))
-    count = np.diff(np.concatenate([first, [len(value)]]))
-    if (count > s.span).any():  # periodic text: runs beyond a segment's size are cut
-        cuts = -(-count // s.span)
-        nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        total = np.repeat(count, cuts)
-        first = np.repeat(first, cuts) + nth * s.span
-        count = np.minimum(s.span, total - nth * s.span)
-    # A segment in which its representative occurs twice may repeat windows of its own: its halves then meet in the group.
-    reach = 2 * s.span - 1
-    short = np.concatenate([seeds.astype(np.uint32), np.zeros(reach, np.uint32)])
-    spans = np.lib.stride_tricks.sliding_window_view(short, reach)
-    twice = np.zeros(len(first), bool)
-    for a in range(0, len(first), 4096):
-        part = slice(a, a + 4096)
-        same = spans[place[first[part]] + starts[which[first[part]]]] == value[first[part]].astype(np.uint32)[:, None]
-        many = np.flatnonzero(same.sum(axis=1) > 1)
-        inside = np.arange(reach) < (count[part][many] + s.span - 1)[:, None]
-        twice[a + many] = (same[many] & inside).sum(axis=1) > 1
-    if (twice := twice & (count > 1)).any():
-        half = count[twice] // 2
-        first = np.concatenate([first, first[twice] + half])
-        count = np.concatenate([np.where(twice, count // 2, count), count[twice] - half])
-    low = np.array([b[1] for b in batch])
-    text = np.array([b[0] for b in batch])
-    return text[which[first]], place[first] + low[which[first]], count, value[first]
+    place = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + starts[which]
+    at = at[place]
+    head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (which[1:] != which[:-1])]))
+    count = np.diff(np.concatenate([head, [len(at)]]))
+    begin, at, which = place[head], at[head], which[head]
+    seed = seeds[at]
+    whole = mix((sums[begin + count + s.length - 1] - sums[begin]) * powers.down[begin] + count.astype(np.uint64))
+    again = np.concatenate([[False], (seed[1:] == seed[:-1]) & (whole[1:] == whole[:-1]) & (which[1:] == which[:-1])])
+    third = again & np.concatenate([[False], again[:-1]])
+    group = np.cumsum(~third) - 1
+    kept = np.flatnonzero(~third)
+    total = np.bincount(group, count, len(kept)).astype(np.int64)
+    low, text = np.array([b[1] for b in batch]), np.array([b[0] for b in batch])
+    begin, which = begin[kept], which[kept]
+    return text[which], begin - starts[which] + low[which], total, at[kept] - begin, seed[kept], whole[kept]
 
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-#: A segment's place in one long: 25 bits of a second digest of the text, 30 of the first window, 8 of the number of windows.
-def placed(tag: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return tag << 38 | first << 8 | count
+#: A segment's place in one long: 24 bits of a second digest of the text, 31 of the first window, 8 of the position's offset from it.
+TAG, FIRST, OFFSET = "shiftright(place, 39)", "(shiftright(place, 8) & 2147483647L)", "(place & 255L)"
 
 
 def digests(text: F.Column) -> tuple[F.Column, F.Column]:
     text = F.coalesce(text, F.lit(""))
-    return F.xxhash64(text).alias("k"), F.shiftrightunsigned(F.xxhash64(F.lit(1), text), 39).alias("tag")
+    return F.xxhash64(text).alias("k"), F.shiftrightunsigned(F.xxhash64(F.lit(1), text), 40).alias("tag")
 
 
-def first_ranks(texts: DataFrame, s: Settings) -> DataFrame:
-    """(m, k, place): segments of all texts with their representatives."""
+def first_pairs(texts: DataFrame, s: Settings) -> DataFrame:
+    """(m, u, n, k, place): segments of all texts; a task tells copies of a text once."""
 
     def make():
-        powers = Powers()
+        powers, seen = Powers(), set()
 
         def work(batch: pa.RecordBatch):
             k, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            text, first, count, m = segments([t.encode() for t in batch.column(2).to_pylist()], powers, s)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(m)), pa.array(k[text]), pa.array(placed(tag[text], first, count))], ["m", "k", "place"])
+            new = [i for i, key in enumerate(zip(k.tolist(), tag.tolist(), strict=True)) if key not in seen and not seen.add(key)]
+            k, tag = k[new], tag[new]
+            text, first, count, offset, m, u = segments([t.encode() for t in batch.column(2).take(pa.array(new, pa.int64())).to_pylist()], powers, s)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (signed(m), signed(u), count, k[text], tag[text] << 39 | first << 8 | offset)], ["m", "u", "n", "k", "place"])
 
         return work
 
-    return map_batches(texts, "m long, k long, place long", make)
+    return map_batches(texts, "m long, u long, n long, k long, place long", make)
+
 
+def blocks(texts: DataFrame, going: DataFrame, s: Settings) -> DataFrame:
+    """(h, x, y, at): blocks of the segments that go on.
 
-def doubled(texts: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
-    """(m, u, k, place, bytes): segments with the rank of all they cover and, at least once a task, its bytes."""
-    lists = found.groupBy("k", "place", "m").count().groupBy("k", F.shiftright("place", 38).alias("tag")).agg(F.collect_list(F.struct("place", "m")).alias("own"))
-    met = texts.join(lists, ["k", "tag"]).select("k", "text", "own")
+    ``h`` has the rank and the shared bytes, ``x`` the 7 bytes before them and which windows there are, ``y`` the 8 bytes
+    after, ``at`` the segment, the block's number before the position, and whether the segment is the only one of its kind.
+    Bytes that belong to no window are 0.
+    """
+    lists = going.groupBy("k", F.expr(TAG).alias("tag")).agg(F.collect_list(F.struct("row", "rank", "n", "alone", F.expr(FIRST).alias("first"), F.expr(OFFSET).alias("offset"))).alias("own"))
+    met = texts.dropDuplicates(["k", "tag"]).join(lists, ["k", "tag"]).select("text", "own")
+    width = s.length + s.span - 1
 
     def make():
-        powers, told = Powers(), set()
+        powers = Powers().upto(width + 1)
+
+        def made(found: list[dict], covered: list[bytes]) -> pa.RecordBatch:
+            row, rank, n, offset = (np.array([f[c] for f in found]) for c in ("row", "rank", "n", "offset"))
+            alone = np.array([f["alone"] for f in found], np.int64)
+            data = np.frombuffer(b"".join(bytes(GRID - 1) + c.ljust(width + GRID, b"\0") for c in covered), np.uint8).reshape(len(found), -1)
+            sums = np.zeros((len(found), width + 1), np.uint64)
+            np.cumsum(VALUES[data[:, GRID - 1 : GRID - 1 + width]] * powers.up[:width], axis=1, out=sums[:, 1:])
+            last = (offset - n + 1) // GRID
+            many = offset // GRID - last + 1
+            seg = np.repeat(np.arange(len(found)), many)
+            t = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + last[seg]
+            cut = offset[seg] - GRID * t
+            low, high = np.maximum(0, cut - n[seg] + 1), np.minimum(GRID - 1, cut)
+            h = mix((sums[seg, cut + s.core] - sums[seg, cut]) * powers.down[cut]) ^ mix(rank[seg].astype(np.uint64) * np.uint64(BASE))
+
+            def long_of(start: np.ndarray, size: int) -> np.ndarray:
+                out = np.zeros(len(seg), np.uint64)
+                for i in range(size):
+                    out = out << np.uint64(8) | data[seg, start + i]
+                return out
+
+            x = long_of(cut, GRID - 1) & (np.uint64(1) << (8 * high).astype(np.uint64)) - np.uint64(1)
+            spare = (8 * low).astype(np.uint64)
+            y = long_of(cut + s.core + GRID - 1, GRID) >> spare << spare
+            x = x.astype(np.int64) << 6 | low << 3 | high
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (signed(h), x, signed(y), row[seg] << 6 | t << 1 | alone[seg])], ["h", "x", "y", "at"])
 
         def work(batch: pa.RecordBatch):
-            out: list[tuple] = []
-            held = 0
-            for k, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            found: list[dict] = []
+            covered: list[bytes] = []
+            for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = text.encode()
-                p = powers.upto(len(data) + 1)
-                sums = prefix_sums(np.frombuffer(data, np.uint8), p)
-                place = np.array([o["place"] for o in own])
-                first, count = place >> 8 & (1 << 30) - 1, place & 255
-                end = first + count + s.length - 1
-                rank = signed(mix((sums[end] - sums[first]) * p.down[first] + count.astype(np.uint64)))
-                for o, u, a, b in zip(own, rank.tolist(), first.tolist(), end.tolist(), strict=True):
-                    key = (o["m"], u)
-                    out.append((*key, k, o["place"], None if key in told else data[a:b]))
-                    told.add(key)
-                held += len(data)
-                if held > 4 << 20:
-                    yield made(out)
-                    out, held = [], 0
-                if len(told) > 500_000:
-                    told.clear()
-            if out:
-                yield made(out)
+                for o in own:
+                    found.append(o)
+                    covered.append(data[o["first"] : o["first"] + o["n"] + s.length - 1])
+                    if len(found) == 2000:
+                        yield made(found, covered)
+                        found, covered = [], []
+            if found:
+                yield made(found, covered)
 
         return work
 
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        types = (*[pa.int64()] * 4, pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["m", "u", "k", "place", "bytes"])
-
-    return map_batches(met, "m long, u long, k long, place long, bytes binary", make)
-
-
-def window_ranks(rows: list[bytes], m: np.ndarray, powers: Powers, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of the windows of segments, by rows, and which of them exist."""
-    powers = powers.upto(2 * s.length)
-    width = s.length + s.span - 1
-    data = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint8).reshape(len(rows), width)
-    sums = np.zeros((len(rows), width + 1), np.uint64)
-    np.cumsum(VALUES[data] * powers.up[:width], axis=1, out=sums[:, 1:])
-    ranks = mix((sums[:, s.length :] - sums[:, : s.span]) * powers.down[: s.span]) ^ mix(m.view(np.uint64))[:, None]
-    sizes = np.array([len(r) for r in rows]) - s.length + 1
-    return ranks, np.arange(s.span) < sizes[:, None]
-
-
-def runs(mask: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
-
-
-def resolve(items: DataFrame, s: Settings) -> DataFrame:
-    """(k, tag, start, end): bytes that repeated windows of unresolved segments cover.  ``items`` (m, k, place, bytes, single) is sorted by m."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        rows: list[tuple] = []
-
-        def compared(rows: list[tuple]) -> pa.RecordBatch:
-            found = []
-            for low in range(0, len(rows), 1000):  # the sums of a part take 10 MB
-                some = rows[low : low + 1000]
-                ranks, exist = window_ranks([r[3] for r in some], np.array([r[0] for r in some]), powers, s)
-                found.append((ranks[exist], exist))
-            flat, there = (np.concatenate(c) for c in zip(*found, strict=True))
-            order = np.argsort(flat, kind="stable")
-            same = np.concatenate([[False], flat[order][1:] == flat[order][:-1], [False]])
-            repeated = np.zeros(len(flat), bool)
-            repeated[order] = same[1:] | same[:-1]
-            mask = np.zeros(there.shape, bool)
-            mask[there] = repeated
-            out = []
-            for r, line in zip(rows, mask, strict=True):
-                if r[4]:
-                    first = r[2] >> 8 & (1 << 30) - 1
-                    out += [(r[1], r[2] >> 38, first + a, first + b - 1 + s.length) for a, b in runs(line)]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["k", "tag", "start", "end"])
-
-        for batch in batches:
-            rows += zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
-            if len(rows) >= 20_000:  # whole groups only: the last one may go on
-                last = rows[-1][0]
-                cut = len(rows)
-                while cut and rows[cut - 1][0] == last:
-                    cut -= 1
-                if cut:
-                    yield compared(rows[:cut])
-                    rows = rows[cut:]
-        if rows:
-            yield compared(rows)
-
-    return items.mapInArrow(run, "k long, tag long, start long, end long")
-
-
-def resolve_large(items: DataFrame, s: Settings) -> DataFrame:
-    """The same for groups of any size, by aggregation over the ranks of windows."""
-
-    def make():
-        powers = Powers()
+    return map_batches(met, "h long, x long, y long, at long", make)
 
-        def work(batch: pa.RecordBatch):
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                m = part.column(0).to_numpy()
-                ranks, there = window_ranks(part.column(3).to_pylist(), m, powers, s)
-                row, nth = np.nonzero(there)
-                k, place = part.column(1).to_numpy()[row], part.column(2).to_numpy()[row]
-                single = np.array(part.column(4).to_pylist())[row]
-                yield pa.RecordBatch.from_arrays([pa.array(m[row]), pa.array(signed(ranks[there])), pa.array(k), pa.array(place >> 38), pa.array((place >> 8 & (1 << 30) - 1) + nth), pa.array(single)], ["m", "w", "k", "tag", "start", "single"])
-
-        return work
 
-    windows = map_batches(items, "m long, w long, k long, tag long, start long, single boolean", make)
-    repeated = windows.groupBy("m", "w").count().where("count > 1").select("m", "w")
-    return windows.where("single").join(repeated, ["m", "w"], "left_semi").select("k", "tag", "start", (F.col("start") + s.length).alias("end"))
+def windows(ranked: DataFrame) -> DataFrame:
+    """(r, w, at): windows of blocks that go on: rank and place in the block, the 8 bytes of their own, the block's place and the window's."""
+    each = ranked.select("rank", "x", "y", "at", F.explode(F.expr("sequence(cast(shiftright(x, 3) & 7 AS int), cast(x & 7 AS int))")).alias("e"))
+    own = F.expr("shiftleft(shiftright(x, 6) & (shiftleft(1L, 8 * e) - 1), 64 - 8 * e) | shiftrightunsigned(y, 8 * e)")
+    return each.select(F.expr("rank * 8 + e").alias("r"), own.alias("w"), F.expr("shiftleft(at, 3) | e").alias("at"))
 
 
 def repeated_ranges(docs: DataFrame, text_col: str, s: Settings) -> DataFrame:
     """(k, tag, ranges): what repeats in each different text, as byte ranges in order that don't touch."""
     k, tag = digests(F.col(text_col))
-    texts = docs.select(k, tag, F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") >= s.length)
-    ranked = first_ranks(texts, s)
-    shared = ranked.groupBy("m").count().where("count > 1").select("m")
-    segs = persist(doubled(texts, ranked.join(shared, "m", "left_semi"), s), "segments")
-    # One row for each different segment; the bytes come from whichever task told them.
-    kinds = persist(segs.groupBy("m", "u").agg(F.count("*").alias("c"), F.min(F.struct("k", "place")).alias("at"), F.max("bytes").alias("bytes")), "kinds")
-    groups = kinds.groupBy("m").agg(F.count("*").alias("kinds"), F.count(F.when(F.col("c") == 1, 1)).alias("single"))
-    open_ = groups.where((F.col("kinds") > 1) & (F.col("single") > 0)).select("m", "kinds")
-    items = kinds.join(open_, "m").select("m", F.col("at.k").alias("k"), F.col("at.place").alias("place"), "bytes", (F.col("c") == 1).alias("single"), "kinds")
-    small = items.where(F.col("kinds") <= s.group).drop("kinds").repartition("m").sortWithinPartitions("m")
-    large = items.where(F.col("kinds") > s.group).drop("kinds")
-    whole = segs.select("m", "u", "k", "place").join(kinds.where("c > 1").select("m", "u"), ["m", "u"], "left_semi")
-    first = F.shiftright("place", 8).bitwiseAND(F.lit((1 << 30) - 1))
-    whole = whole.select("k", F.shiftright("place", 38).alias("tag"), first.alias("start"), (first + F.col("place").bitwiseAND(F.lit(255)) + s.length - 1).alias("end")).distinct()
-    found = whole.unionByName(resolve(small, s)).unionByName(resolve_large(large, s))
-    lists = found.groupBy("k", "tag").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    size = F.octet_length(F.coalesce(F.col(text_col), F.lit("")))
+    texts = docs.where(size >= s.length).select(k, tag, F.col(text_col).alias("text"))
+    copies = texts.select("k", "tag", F.octet_length("text").cast("long").alias("end")).groupBy("k", "tag", "end").count().where("count > 1")
+    found = [copies.select("k", "tag", F.lit(0).cast("long").alias("start"), "end")]
+
+    one = dense_ranks(first_pairs(texts, s), ["m"], ["u"], ["n", "k", "place"], "segments")
+    end = F.expr(FIRST) + F.col("n") + s.length - 1
+    found.append(one.rows.where("whole").select("k", F.expr(TAG).alias("tag"), F.expr(FIRST).alias("start"), end.alias("end")))
+    going = one.rows.where("first").where(F.col("n") <= s.span)
+
+    two = dense_ranks(persisted := persist(blocks(texts, going, s), "pairs"), ["h"], ["x", "y"], ["at"], "blocks")
+    three = dense_ranks(windows(two.rows.where("first")), ["r", "w"], [], ["at"], "windows")
+    shared = two.rows.where("whole").where("at & 1 = 1").select(F.expr("shiftright(at, 6)").alias("row"), F.expr("shiftright(at, 1) & 31").alias("t"), F.expr("x & 7").alias("high"), F.expr("shiftright(x, 3) & 7").alias("low"))
+    single = three.rows.where("whole").where("at & 8 = 8").select(F.expr("shiftright(at, 9)").alias("row"), F.expr("shiftright(at, 4) & 31").alias("t"), F.expr("at & 7").alias("high"), F.expr("at & 7").alias("low"))
+    # Windows that follow each other make one range of a segment, or a few.
+    mine = shared.unionByName(single).groupBy("row").agg(F.collect_set(F.struct((-GRID * F.col("t") - F.col("high")).alias("a"), (-GRID * F.col("t") - F.col("low")).alias("b"))).alias("own"))
+    placed = mine.join(going.where("alone").select("row", "k", "place"), "row").select("k", "place", F.explode("own").alias("o"))
+    found.append(placed.select("k", F.expr(TAG).alias("tag"), F.expr(f"{FIRST} + {OFFSET} + o.a").alias("start"), F.expr(f"{FIRST} + {OFFSET} + o.b + {s.length}").alias("end")))
+
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    lists = every.groupBy("k", "tag").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def make():
@@ -350,7 +304,9 @@ def repeated_ranges(docs: DataFrame, text_col: str, s: Settings) -> DataFrame:
 
         return work
 
-    return map_batches(lists, "k long, tag long, ranges array<struct<start: long, end: long>>", make)
+    ranges = persist(map_batches(lists, "k long, tag long, ranges array<struct<start: long, end: long>>", make), "ranges")
+    discard(persisted, one.table, two.table, three.table)
+    return ranges
 
 
 def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
@@ -363,20 +319,17 @@ def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), carry: list[str] | None = None) -> DataFrame:
-    """(id, carried columns, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), keep: bool = True, rows: bool = False) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256 [, kept]) of every row; with ``rows`` the struct ``_row`` of all its columns in place of the id.
 
     ``kept`` is the remaining text; where a cut parts a character, what is left of it is dropped
     from ``kept`` (``kept_sha256`` is of the remaining bytes).
     """
-    ranges = persist(repeated_ranges(docs, text_col, settings), "ranges")
-    # Few enough ranges go to where the texts are; else texts and ranges meet by digest.
-    size = ranges.agg(F.sum(F.size("ranges"))).first()[0] or 0
-    ranges = F.broadcast(ranges) if size <= settings.broadcast else ranges
-    carry = carry or []
+    ranges = repeated_ranges(docs, text_col, settings)
     k, tag = digests(F.col(text_col))
-    own = docs.select(F.struct(F.col(id_col), *carry).alias("_row"), k, tag, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    own = docs.select(F.struct(*docs.columns if rows else [id_col]).alias("_row"), k, tag, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     joined = own.join(ranges, ["k", "tag"], "left").select("_row", "_text", "ranges")
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 if keep else 4]
 
     def make():
         def work(batch: pa.RecordBatch):
@@ -388,11 +341,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept.append(data[done:a])
                     done = b
                 rest = b"".join([*kept, data[done:]])
-                out.append((len(data), sum(b - a for a, b in cut), len(cut), hashlib.sha256(rest).hexdigest(), rest.decode(errors="ignore") if cut else text))
-            types = (*[pa.int64()] * 3, pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]], ["_row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                left = (rest.decode(errors="ignore") if cut else text,) if keep else ()
+                out.append((len(data), sum(b - a for a, b in cut), len(cut), hashlib.sha256(rest).hexdigest(), *left))
+            types = (*[pa.int64()] * 3, pa.string(), pa.string())[: len(names)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]], ["_row", *names])
 
         return work
 
-    made = map_batches(joined, fields(joined, "_row", "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"), make)
-    return made.select("_row.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    made = map_batches(joined, fields(joined, "_row", "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep), make)
+    return made if rows else made.select("_row.*", *names)

@@ -9,6 +9,7 @@ import pytest
 
 from sluice.llm import ann, near, repeats
 from sluice.llm.components import components
+from sluice.llm.ranking import dense_ranks
 
 
 def sentence(rng, n):
@@ -39,11 +40,12 @@ def repeat_corpus():
     return rows + [sentence(rng, 80)] * 3 + [shared + "|" + shared]
 
 
-@pytest.mark.parametrize("group", [50_000, 2])
-def test_repeats_are_those_of_brute_force(spark, group):
+def test_repeats_are_those_of_brute_force(spark):
     texts = repeat_corpus()
-    docs = spark.createDataFrame([(i if i % 9 else None, t, i, "x") for i, t in enumerate(texts)], "doc_id long, text string, k long, tag string").repartition(3)
-    got = repeats.remove_repeats(docs, settings=repeats.Settings(group=group, broadcast=0 if group == 2 else 500_000), carry=["k"]).collect()
+    docs = spark.createDataFrame([(i if i % 9 else None, t, i, "x", 0, None) for i, t in enumerate(texts)], "doc_id long, text string, k long, tag string, kept int, n_bytes string").repartition(3)
+    made = repeats.remove_repeats(docs, rows=True)
+    assert made.select("_row.*").columns == docs.columns
+    got = made.select("_row.k", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert len(got) == len(texts)
     data = [(t or "").encode() for t in texts]
     gone = brute_removed(data, 200)
@@ -56,15 +58,47 @@ def test_repeats_are_those_of_brute_force(spark, group):
 
 def test_very_long_texts_go_by_blocks(monkeypatch):
     rng = random.Random(5)
-    text = (sentence(rng, 4000) + "y" * 500).encode()
+    text = (sentence(rng, 4000) + "y" * 500 + sentence(rng, 50)).encode()
+    cover = lambda made: {int(w): (int(first + offset), int(m)) for _, first, count, offset, m, _ in zip(*made, strict=True) if count < 138 for w in range(first, first + count)}
     whole = repeats.segments([text], repeats.Powers(), repeats.Settings())
     monkeypatch.setattr(repeats, "BLOCK", 3000)
     parts = repeats.segments([text], repeats.Powers(), repeats.Settings())
     for made in (whole, parts):
-        windows = sorted(w for _, first, count, _ in zip(*made, strict=True) for w in range(first, first + count))
+        windows = sorted(w for _, first, count, *_ in zip(*made, strict=True) for w in range(first, first + count))
         assert windows == list(range(len(text) - 199))
-    cover = lambda made: {int(w): int(m) for _, first, count, m in zip(*made, strict=True) for w in range(first, first + count)}
-    assert cover(whole) == cover(parts)
+    one, other = cover(whole), cover(parts)
+    assert all(one[w] == other[w] for w in one.keys() & other.keys())
+
+
+def test_ranks_are_dense_and_rounds_are_three(spark, monkeypatch):
+    rounds = []
+
+    def noted(rows, classes, kinds, rest, label):
+        made = dense_ranks(rows, classes, kinds, rest, label)
+        seen = Counter(tuple(r) for r in rows.select(*classes).collect())
+        rank = {c: i for i, c in enumerate(sorted(c for c, n in seen.items() if n > 1))}
+        assert made.classes == len(rank)
+        assert all(rank[tuple(r)[:-1]] == r.rank for r in made.rows.select(*classes, "rank").collect())
+        rounds.append((label, sum(seen.values()), made.classes))
+        return made
+
+    monkeypatch.setattr(repeats, "dense_ranks", noted)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(repeat_corpus())], "doc_id long, text string").repartition(3)
+    repeats.repeated_ranges(docs, "text", repeats.Settings())
+    assert [r[0] for r in rounds] == ["segments", "blocks", "windows"]
+    assert all(rows > classes > 0 for _, rows, classes in rounds)
+
+
+def test_ranks_of_classes_that_lie_in_many_ranges(spark):
+    rows = spark.range(3000).selectExpr("cast(id % 7 = 0 as long) * 5 + (id % 3) * cast(id > 2900 as long) as a", "id % 2 as b", "id as c")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = dense_ranks(rows, ["a"], ["b"], ["c"], "many")
+        want = {a: i for i, a in enumerate(sorted(r.a for r in rows.groupBy("a").count().where("count > 1").collect()))}
+        assert {r.a: r.rank for r in made.rows.collect()} == want and made.classes == len(want)
+        assert made.rows.where("whole").count() == sum(r["count"] for r in rows.groupBy("a", "b").count().where("count > 1").collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_repeats_of_empty_tables(spark):
