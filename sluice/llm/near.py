@@ -1,21 +1,32 @@
-"""Near duplicates: Jaccard join of word n-grams by MinHash banding.
+"""Near duplicates: Jaccard join of word n-grams by a MinHash LSH forest.
 
 Texts become sets of n-grams of their lower-cased words (a text of fewer words is
 one gram).  Texts with equal sets are copies of one another and share a node from
-then on.  Each node's MinHash signature is cut into ``trees`` bands of ``depth``
-hashes, and nodes meet that share the first hashes of a band.  How many is fixed
-by the parameters: the most with which the chance that a pair at the threshold
-meets in at least one band reaches the target recall.  This is plain banding, not
-an LSH forest: labels aren't sorted, nor prefixes shortened by what the data holds.
+then on.  Each node's MinHash signature is cut into labels, one for each tree of
+the forest.
+
+Labels are sorted as prefix tries: level by level, from whole labels on, Spark
+sorts the (tree, prefix) of all nodes, and nodes meet that share a prefix with
+another.  Prefixes are then shortened by one hash and sorted again, until the
+target recall is reached.  That is estimated from the links found so far: a link
+of similarity s is found at depth d with the chance 1 - (1 - s^d)^trees, so each
+found link stands for 1 / chance of them; one link at the threshold is counted
+besides, so a corpus without links goes down to the depth that is sure for it.
+Where the data's links are close copies whole labels suffice, where many lie at
+the threshold prefixes get shorter.  In a tree, a node that is nearly equal to
+another of its group is absorbed: it climbs no further, the other one, its leader,
+stands for it.
 
 Pairs that meet are never listed.  Within a group of equal prefixes, signatures
-estimate the similarity; nodes are joined into clusters where it isn't clearly
-too low, a node at a time against those not yet joined.  Edges of clusters become
-connected components, and inside a component every pair is verified exactly: sets
-of a component meet in blocks of bounded size, each block pair multiplies its
-incidence matrices and gives only the number of links of a node and a spanning
-forest of its links.  Groups that are larger than ``meet`` nodes meet in block
-pairs too.
+estimate the similarity: nodes are absorbed by leaders, and leaders joined with
+one another where it isn't clearly too low.  A group of more than ``meet`` nodes
+is cut into parts, whose leaders then meet, in block pairs if they are still too
+many.  Edges become connected components, and inside a component every pair is
+verified exactly: sets of a component meet in blocks of bounded size, each block
+pair multiplies its incidence matrices and gives only the number of links of a
+node and a spanning forest of its links.  So the exact numbers of links of n
+different texts of one component cost n squared comparisons and n / ``nodes``
+copies of their sets; copies of a text are one node.
 
 So the result is exact for all pairs that meet: one row for each row of the
 input with its class (the smallest id of all texts that links connect), the
@@ -23,11 +34,13 @@ number of other texts its text links to, and the number of copies of its text.
 
 Null and empty texts have no grams and are copies of one another; null ids are
 counted as copies, but a class is named after an id that isn't null.  Repeated
-rows are copies.
+rows are copies.  Very long texts are sets of all their grams.  Input columns may
+have any names.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 from collections.abc import Iterator
@@ -39,8 +52,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import fields, map_batches, persist
+from sluice.llm.common import discard, fields, lean, map_batches, persist
 from sluice.llm.components import components
+from sluice.llm.ranking import dense_ranks
 
 WORD = re.compile(r"\w+")
 
@@ -48,28 +62,27 @@ WORD = re.compile(r"\w+")
 @dataclass(frozen=True)
 class Settings:
     """grams: words of a gram.  similarity: least Jaccard of a link.  trees, depth: labels of a signature and their hashes.
-    recall: chance that a pair at the threshold meets.  slack: how far below the threshold an estimate may be.
-    meet: nodes of a group that are compared at once.  nodes, weight: nodes and grams of a block of a component.
-    broadcast: the most members of components, of about 100 bytes, that are sent to all executors."""
+    recall: share of links that must be found.  slack: how far off an estimate may be.  absorb: least estimate of a leader's nodes.
+    meet: nodes of a group that are compared at once.  nodes, weight: nodes and grams of a block of a component."""
 
     grams: int = 5
     similarity: float = 0.8
     trees: int = 24
     depth: int = 6
     recall: float = 0.9999
-    slack: float = 0.18
+    slack: float = 0.1
+    absorb: float = 0.95
     meet: int = 20_000
     nodes: int = 1024
     weight: int = 1_000_000
-    broadcast: int = 500_000
 
-    @property
-    def prefix(self) -> int:
-        """The longest prefix that reaches the target recall: labels are shortened down to it."""
-        for depth in range(self.depth, 1, -1):
-            if 1 - (1 - self.similarity**depth) ** self.trees >= self.recall:
-                return depth
-        return 1
+    def least(self, steps: int) -> float:
+        """The least estimate that joins leaders whose nodes are up to ``steps`` absorptions away, each."""
+        return self.similarity - self.slack - 2 * steps * (1 - self.absorb)
+
+    def chance(self, similarity: float, depth: int) -> float:
+        """That a pair of that similarity shares the prefix of that depth in at least one tree."""
+        return 1 - (1 - similarity**depth) ** self.trees
 
 
 def multipliers(s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -142,64 +155,128 @@ def signed(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFram
     return map_batches(own, fields(own, "_id", "key long, node binary, grams long, signature binary"), make)
 
 
-def clusters(marks: np.ndarray, names: list[bytes], least: float) -> Iterator[tuple[bytes, bytes]]:
-    """Edges that join nodes of a group whose signatures agree in at least that share.
+def grouped(names: list[tuple], marks: np.ndarray, absorb: float, least: float) -> tuple[list[int], list[tuple[int, int, float]], list[int]]:
+    """Leaders of a group, edges (node, leader or other leader, estimate), and which nodes a leader absorbed.
 
-    Nodes are visited in the order they are reached; each is compared with those not
-    reached yet, so near copies of one another cost one comparison each.
+    A node joins the leader it is most like if that is at least ``absorb``, else it leads itself and is joined with all
+    leaders that are at least ``least`` like it.
     """
-    left = np.arange(len(names))
-    queue: list[int] = []
-    while len(left):
-        if not queue:
-            queue, left = [int(left[0])], left[1:]
-        at = queue.pop()
-        if len(left):
-            near = (marks[left] == marks[at]).mean(axis=1) >= least
-            for i in left[near].tolist():
-                yield names[at], names[i]
-                queue.append(i)
-            left = left[~near]
-
-
-def candidate_edges(nodes: DataFrame, s: Settings) -> DataFrame:
-    """(a, b): edges that join what may be similar."""
-    width, prefix = 4 * s.depth, 4 * s.prefix
-    labels = F.array(*[F.concat(F.lit(bytes([t])), F.expr(f"substring(signature, {t * width + 1}, {prefix})")) for t in range(s.trees)])
-    laid = nodes.where("signature is not null").select("node", F.explode(labels).alias("label")).withColumn("label", F.xxhash64("label"))
-    sizes = laid.groupBy("label").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / s.meet).cast("int")).select("label", "blocks")
-    # Only what meets anything takes its signature along.
-    met = laid.join(sizes, "label").join(nodes.select("node", "signature"), "node")
-    # A node of a large group goes to all block pairs that its own block is in.
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = met.withColumn("own", own).select("label", "node", "signature", "own", other.alias("other"))
-    dealt = met.select("label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "signature").repartition("label", "low", "high").sortWithinPartitions("label", "low", "high")
+    leaders: list[int] = []
+    edges: list[tuple[int, int, float]] = []
+    absorbed: list[int] = []
+    led = np.empty_like(marks)
+    for i in range(len(names)):
+        if leaders:
+            alike = (led[: len(leaders)] == marks[i]).mean(axis=1)
+            best = int(alike.argmax())
+            if alike[best] >= absorb:
+                edges.append((i, leaders[best], float(alike[best])))
+                absorbed.append(i)
+                continue
+            edges += [(i, leaders[j], float(alike[j])) for j in np.flatnonzero(alike >= least).tolist()]
+        led[len(leaders)] = marks[i]
+        leaders.append(i)
+    return leaders, edges, absorbed
+
+
+MET = "rank long, a long, b long, signature binary, role int, a2 long, b2 long, alike double"
+#: What a row of a compared group is: a leader, an absorbed node, an edge.
+LEADER, ABSORBED, EDGE = 0, 1, 2
+
 
+def compared(dealt: DataFrame, s: Settings, least: float) -> DataFrame:
+    """Absorbed nodes and edges of groups, and leaders where ``more`` holds: ``dealt`` (rank, low, high, a, b, signature, more) is sorted by its first three."""
+
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges: set[tuple[bytes, bytes]] = set()
+        out: list[tuple] = []
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-        for _, group in itertools.groupby(rows(), key=lambda r: r[:3]):
-            members = {r[3]: r[4] for r in group}
+        for (rank, _, _), group in itertools.groupby(rows(), key=lambda r: r[:3]):
+            some = list(group)
+            members = {r[3:5]: r[5] for r in some}
             names = sorted(members)
-            if len(names) > 1:
-                marks = np.frombuffer(b"".join(members[n] for n in names), np.uint32).reshape(len(names), -1)
-                edges.update(clusters(marks, names, s.similarity - s.slack))
-            if len(edges) > 100_000:
-                yield edge_batch(edges)
-                edges = set()
-        yield edge_batch(edges)
+            marks = np.frombuffer(b"".join(members[n] for n in names), np.uint32).reshape(len(names), -1)
+            leaders, edges, absorbed = grouped(names, marks, s.absorb, least)
+            if some[0][6]:
+                out += [(rank, *names[i], members[names[i]], LEADER, None, None, None) for i in leaders]
+            out += [(rank, *names[i], None, ABSORBED, None, None, None) for i in absorbed]
+            out += [(rank, *names[i], None, EDGE, *names[j], alike) for i, j, alike in edges]
+            if len(out) > 20_000:
+                yield met_batch(out)
+                out = []
+        yield met_batch(out)
+
+    return dealt.mapInArrow(run, MET)
 
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
+def met_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["rank", "a", "b", "signature", "role", "a2", "b2", "alike"])
 
-def edge_batch(edges: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    a, b = zip(*sorted(edges), strict=True) if edges else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+def level(climbing: DataFrame, marks: DataFrame, depth: int, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(a, b, a2, b2, alike) edges of what shares a prefix of ``depth`` hashes, and (tree, a, b) that were absorbed.
+
+    ``climbing`` (tree, a, b, label) are the tries' nodes, ``marks`` (a, b, signature) all signatures.
+    """
+    prefix = F.xxhash64("tree", F.substring("label", 1, 4 * depth)).alias("p")
+    trie = dense_ranks(climbing.select(prefix, F.col("tree").cast("long").alias("tree"), "a", "b"), ["p"], [], ["tree", "a", "b"], f"trie-{depth}")
+    sizes = trie.rows.groupBy("rank").count().select("rank", F.ceil(F.col("count") / s.meet).cast("int").alias("blocks"))
+    # Only what meets anything takes its signature along.
+    met = trie.rows.select("rank", "a", "b").join(marks, ["a", "b"]).join(sizes, "rank")
+    own = F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int")
+    order = ["rank", "low", "high"]
+    # Nodes of a part of a group absorb each other first.
+    dealt = met.select("rank", own.alias("low"), own.alias("high"), "a", "b", "signature", (F.col("blocks") > 1).alias("more"))
+    made = [persist(compared(dealt.repartition(*order).sortWithinPartitions(*order), s, s.least(1)), "met")]
+    left = made[0].where(F.col("role") == LEADER).select("rank", "a", "b", "signature")
+    if not left.isEmpty():
+        # Leaders of the parts of large groups meet, each part of them with each other.
+        again = left.groupBy("rank").count().select("rank", F.ceil(F.col("count") / s.meet).cast("int").alias("blocks"))
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        paired = left.join(again, "rank").withColumn("own", own).withColumn("other", other)
+        paired = paired.select("rank", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "a", "b", "signature", F.lit(False).alias("more"))
+        made.append(persist(compared(paired.repartition(*order).sortWithinPartitions(*order), s, s.least(2)), "met"))
+    every = made[0] if len(made) == 1 else made[0].unionByName(made[1])
+    edges = persist(every.where(F.col("role") == EDGE).groupBy("a", "b", "a2", "b2").agg(F.max("alike").alias("alike")), "edges")
+    trees = trie.rows.select("rank", "tree", "a", "b")
+    absorbed = persist(every.where(F.col("role") == ABSORBED).select("rank", "a", "b").distinct().join(trees, ["rank", "a", "b"]).select("tree", "a", "b"), "absorbed")
+    discard(trie.table, *made)
+    return edges, absorbed
+
+
+def candidate_edges(nodes: DataFrame, s: Settings) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """(a, b): edges that join what may be similar, and the estimated recall at each depth that was sorted."""
+    key = [F.expr(f"cast(conv(hex(substring(node, {at}, 8)), 16, -10) AS long)").alias(name) for at, name in ((1, "a"), (9, "b"))]
+    marks = persist(nodes.where("signature is not null").select(*key, "node", "signature"), "marks")
+    width = 4 * s.depth
+    label = F.expr(f"substring(signature, tree * {width} + 1, {width})").alias("label")
+    climbing = marks.select("a", "b", "signature", F.explode(F.sequence(F.lit(0), F.lit(s.trees - 1))).alias("tree")).select("tree", "a", "b", label)
+    found: list[DataFrame] = []
+    gone: list[DataFrame] = []
+    recalls: list[tuple[int, float]] = []
+    for depth in range(s.depth, 0, -1):
+        edges, absorbed = level(climbing, marks.select("a", "b", "signature"), depth, s)
+        found.append(edges)
+        gone.append(absorbed)
+        every = functools.reduce(DataFrame.unionByName, found).groupBy("a", "b", "a2", "b2").agg(F.max("alike").alias("alike")).where(F.col("alike") >= s.similarity)
+        sure = 1 - F.pow(1 - F.pow(F.least(F.col("alike"), F.lit(1.0)), depth), s.trees)
+        n, stands_for = every.agg(F.count("*"), F.coalesce(F.sum(1 / sure), F.lit(0.0))).first()
+        recalls.append((depth, (n + 1) / (stands_for + 1 / s.chance(s.similarity, depth))))
+        if recalls[-1][1] >= s.recall:
+            break
+        climbing = climbing.join(absorbed, ["tree", "a", "b"], "left_anti")
+    named = marks.select("a", "b", "node")
+    edges = functools.reduce(DataFrame.unionByName, found).select("a", "b", "a2", "b2").distinct()
+    pairs = edges.join(named, ["a", "b"]).select(F.col("node").alias("from"), F.col("a2").alias("a"), F.col("b2").alias("b")).join(named, ["a", "b"])
+    made = persist(pairs.select(F.col("from").alias("a"), F.col("node").alias("b")), "candidates")
+    discard(marks, *found, *gone)
+    return made, recalls
 
 
 def links_of(sets: list[np.ndarray], others: list[np.ndarray] | None, similarity: float) -> np.ndarray:
@@ -249,10 +326,10 @@ def forest(found: np.ndarray, names: list[bytes], others: list[bytes] | None) ->
                 yield every[a], every[b]
 
 
-def verify(docs: DataFrame, members: DataFrame, text_col: str, s: Settings) -> DataFrame:
+def verify(docs: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
     """(a, b, links): for each node its number of links (b null), and edges of a spanning forest of links (links null).
 
-    ``members`` (node, root, grams) has the nodes of components and ``docs`` (node, text) a text of each; sets are made again from the texts.
+    ``members`` (node, root, grams) has the nodes of components and ``docs`` (node, _text) a text of each; sets are made again from the texts.
     """
     grams_of = members.select("node", "root", "grams")
     totals = grams_of.groupBy("root").agg(F.greatest(F.ceil(F.sum("grams") / s.weight), F.ceil(F.count("*") / s.nodes)).cast("int").alias("blocks"))
@@ -270,7 +347,7 @@ def verify(docs: DataFrame, members: DataFrame, text_col: str, s: Settings) -> D
 
         return work
 
-    sets = map_batches(docs.join(placed, "node").select("node", "root", "own", "blocks", F.col(text_col).alias("_text")), "node binary, root binary, own int, blocks int, set binary", make)
+    sets = map_batches(docs.join(placed, "node").select("node", "root", "own", "blocks", "_text"), "node binary, root binary, own int, blocks int, set binary", make)
     paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
     dealt = paired.select("root", low, high, "own", "node", "set").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
@@ -314,14 +391,12 @@ def linked(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> tuple[Da
     rows = persist(signed(docs, id_col, text_col, s), "signatures")
     nodes = rows.groupBy("node").agg(F.min("_id").alias("least"), F.count("*").alias("copies"), F.min(F.struct("grams", "key", "signature")).alias("own"))
     nodes = persist(nodes.select("node", "least", "copies", "own.grams", "own.key", "own.signature"), "nodes")
-    groups = components(candidate_edges(nodes, s))
+    edges, _ = candidate_edges(nodes, s)
+    groups = components(edges)
     members = persist(nodes.select("node", "key", "grams").join(groups, "node"), "members")
     # One text for each node; texts of one key are equal, so any row has it.
-    # Few enough members go to where the texts are; else texts and members meet by key.
-    side = members.select("key", "node")
-    side = F.broadcast(side) if members.count() <= s.broadcast else side
-    chosen = docs.select(text_key(text_col), text_col).join(side, "key").select("node", text_col).dropDuplicates(["node"])
-    links = persist(verify(chosen, members, text_col, s), "links")
+    chosen = docs.select(text_key(text_col), F.col(text_col).alias("_text")).dropDuplicates(["key"]).join(members.select("key", "node"), "key").select("node", "_text")
+    links = persist(verify(chosen, members, s), "links")
     counts = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     classes = components(links.where("b is not null").select("a", "b"))
     return rows, nodes.select("node", "least", "copies").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")), counts

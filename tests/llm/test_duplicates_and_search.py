@@ -155,7 +155,7 @@ def near_corpus():
 def test_near_duplicates_are_those_of_brute_force(spark, block):
     rows = near_corpus()
     docs = spark.createDataFrame([(i, t, "n", b"l") for i, t in rows], "doc_id long, text string, node string, label binary").repartition(3)
-    s = dataclasses.replace(near.Settings(), meet=block, nodes=max(2, block // 20), broadcast=0 if block == 2 else 500_000)
+    s = dataclasses.replace(near.Settings(), meet=block, nodes=max(2, block // 20))
     got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in near.near_duplicates(docs, settings=s).collect()}
     assert got == brute_near(rows)
 
@@ -167,11 +167,34 @@ def test_near_edges(spark):
     assert near.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_prefixes_shorten_to_the_target():
+def test_prefixes_shorten_until_the_target_recall(spark):
+    """Close copies are found by whole labels; links at the threshold need shorter prefixes."""
+    rng = random.Random(8)
+    close, far = [], []
+    for _ in range(40):
+        base = sentence(rng, 400).split()
+        close += [" ".join(base), " ".join([*base, "end"])]
+        far += [" ".join(base), " ".join([*base[:355], *sentence(rng, 45).split()])]
     s = near.Settings()
-    chance = lambda d: 1 - (1 - s.similarity**d) ** s.trees
-    assert chance(s.prefix) >= s.recall > chance(s.prefix + 1) or s.prefix == s.depth
-    assert dataclasses.replace(s, recall=0.999999).prefix < s.prefix <= s.depth
+
+    def depths(texts):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        nodes = near.signed(docs, "doc_id", "text", s).select("node", "signature")
+        return near.candidate_edges(nodes, s)[1]
+
+    one, many = depths(close), depths(far)
+    assert [d for d, _ in one] == [6] and one[-1][1] >= s.recall
+    assert [d for d, _ in many] == [6, 5] and many[0][1] < s.recall <= many[-1][1]
+    assert s.chance(0.8, 6) < s.recall < s.chance(0.8, 5)
+
+
+def test_leaders_absorb_and_keep_their_links():
+    s = near.Settings()
+    marks = np.arange(3 * 144, dtype=np.uint32).reshape(3, 144).repeat(50, axis=0)
+    marks[1::50, :5] += 9000  # each base and 49 near copies
+    names = [(i, 0) for i in range(150)]
+    leaders, edges, absorbed = near.grouped(names, marks, s.absorb, s.least(1))
+    assert leaders == [0, 50, 100] and len(absorbed) == 147 == len(edges)
 
 
 def test_components_of_a_path_and_a_star(spark):
