@@ -6,17 +6,22 @@ cells by the sum of its two distances, smallest first, with a heap over sorted
 rows and columns, until the cells it has met hold a share of all vectors; the
 vectors of those cells are ranked by the inner product of the original vectors.
 
-Codebooks are fitted to a bounded sample.  The share comes from the same sample:
-it is what sample queries need for the target recall of their true neighbours in
-the sample.  All vectors are indexed.  Cells are laid side by side in shards of
-bounded size, a crowded cell over several; queries meet shards in blocks of
-bounded size, and each block gives only the best of each query, so no task and
-no shuffle holds all pairs of a cell.
+Codebooks grow with the square root of the number of vectors, up to ``most``
+centroids (the driver fits them, and workers know the size of each cell).  They
+are fitted to a bounded sample.  The share comes from the same sample: it is what
+sample queries need for the target recall of their true neighbours in the sample.
+All vectors are indexed.  Cells are laid side by side in shards of bounded size, a
+crowded cell over several.  A query goes to the shards that hold cells it has met,
+and to no others, with the distance at which its walk ended; there it meets the
+vectors of all cells up to that distance.  Vectors are sent once.  A shard's
+vectors are held, its queries streamed past them, and each shard gives only the
+best of each query, so no task and no shuffle holds all pairs of a cell.
 
 Vectors that are null, empty, zero, of another length than most of the sample or
 that hold null or non-finite components take no part.  Rows with a null id take
 no part either.  A query's own id is no candidate; of equal scores the smaller
 id comes first; repeated vectors under other ids are candidates like all others.
+Very long vectors are like others; input columns may have any names.
 """
 
 from __future__ import annotations
@@ -32,22 +37,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import map_batches, persist
+from sluice.llm.common import lean, map_batches, persist
 
 
 @dataclass(frozen=True)
 class Settings:
     """sample: vectors that codebooks are fitted to.  recall: target of the walk.  probes: sample queries that set its length.
-    floor: vectors that a walk meets at least, if there are so many.  per_cell: vectors a cell should hold.  most: centroids of a half at most.  shard, block: vectors and queries that meet at once."""
+    fine: centroids of a half, by the square root of the number of vectors.  most: centroids of a half at most.  shard: vectors of a shard."""
 
     sample: int = 20_000
-    recall: float = 0.97
+    recall: float = 0.93
     probes: int = 300
-    floor: int = 1000
-    per_cell: int = 12
-    most: int = 256
-    shard: int = 8192
-    block: int = 4096
+    fine: float = 2.0
+    most: int = 2048
+    shard: int = 2048
     rounds: int = 12
     seed: int = 5
 
@@ -101,17 +104,21 @@ class Index:
         half = self.first.shape[1]
         return nearest(x[:, :half], self.first) * len(self.second) + nearest(x[:, half:], self.second)
 
-    def walk(self, query: np.ndarray) -> Iterator[int]:
-        """Cells by the summed distance of their centroids."""
-        half, n2 = self.first.shape[1], len(self.second)
-        d1 = ((self.first - query[:half]) ** 2).sum(1)
-        d2 = ((self.second - query[half:]) ** 2).sum(1)
+    def distances(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a query's halves to all centroids of their codebooks."""
+        half = self.first.shape[1]
+        return ((self.first - query[:half]) ** 2).sum(1), ((self.second - query[half:]) ** 2).sum(1)
+
+    def walk(self, query: np.ndarray) -> Iterator[tuple[float, int]]:
+        """(summed distance, cell) by the summed distance of their centroids."""
+        n2 = len(self.second)
+        d1, d2 = self.distances(query)
         o1, o2 = np.argsort(d1, kind="stable").tolist(), np.argsort(d2, kind="stable").tolist()
         s1, s2 = np.sort(d1).tolist(), np.sort(d2).tolist()
         heap = [(s1[0] + s2[0], 0, 0)]
         while heap:
-            _, i, j = heap[0]
-            yield o1[i] * n2 + o2[j]
+            d, i, j = heap[0]
+            yield d, o1[i] * n2 + o2[j]
             # Each pair enters once: from its left neighbour, or in the first column from the row above.
             if j + 1 < n2:
                 heapq.heapreplace(heap, (s1[i] + s2[j + 1], i, j + 1))
@@ -120,21 +127,22 @@ class Index:
             if j == 0 and i + 1 < len(o1):
                 heapq.heappush(heap, (s1[i + 1] + s2[0], i + 1, 0))
 
-    def met(self, query: np.ndarray, counts: list[int], least: int) -> list[int]:
-        """The first cells of the walk that hold ``least`` vectors."""
-        found, held = [], 0
-        for cell in self.walk(query):
+    def met(self, query: np.ndarray, counts: list[int], least: int) -> tuple[list[int], float]:
+        """The first cells of the walk that hold ``least`` vectors, and the distance of the last one."""
+        found, held, reach = [], 0, math.inf
+        for d, cell in self.walk(query):
             if counts[cell]:
                 found.append(cell)
                 held += counts[cell]
                 if held >= least:
+                    reach = d
                     break
-        return found
+        return found, reach
 
 
 def fit(x: np.ndarray, rows: int, k: int, settings: Settings) -> tuple[Index, float]:
     """Codebooks for a table of ``rows`` vectors, and the share of them that a query's walk must meet."""
-    size = min(settings.most, max(1, 1 << max(0, round(math.log2(math.sqrt(rows / settings.per_cell))))))
+    size = max(1, min(settings.most, math.ceil(settings.fine * math.sqrt(rows))))
     half = max(1, x.shape[1] // 2)
     index = Index(codebook(x[:, :half], size, settings), codebook(x[:, half:], size, settings) if x.shape[1] > half else np.zeros((1, 0)))
     cells = index.cells(x)
@@ -145,7 +153,7 @@ def fit(x: np.ndarray, rows: int, k: int, settings: Settings) -> tuple[Index, fl
         score[q] = -np.inf
         top = np.argsort(-score, kind="stable")[: min(k, len(x) - 1)]
         wanted, held, at = set(cells[top].tolist()), 0, {}
-        for cell in index.walk(x[q]):
+        for _, cell in index.walk(x[q]):
             held += counts[cell]
             if cell in wanted:
                 at[cell] = held / len(x)
@@ -181,8 +189,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     counts = [0] * (len(index.first) * len(index.second))
     for row in indexed.groupBy("cell").count().collect():  # at most most * most cells
         counts[row["cell"]] = row["count"]
-    total, queries = sum(counts), indexed.where("_q").count()
-    least = max(math.ceil(share * total), min(total, settings.floor))
+    least = max(math.ceil(share * sum(counts)), k + 1)
     # Cells side by side fill shards; a cell beyond a shard's size has several of its own.
     start, parts, shard, held = [0] * len(counts), [1] * len(counts), 0, 0
     for cell, n in enumerate(counts):
@@ -192,89 +199,102 @@ def search(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
         held += n
         if parts[cell] > 1:
             shard, held = shard + parts[cell], 0
-    blocks = max(1, math.ceil(queries / settings.block))
-    laid = spark.sparkContext.broadcast((np.array(start), np.array(parts), counts))
+    laid = spark.sparkContext.broadcast((np.array(start), np.array(parts), np.array(counts)))  # three numbers a cell
 
     def deal():
         start, parts, _ = laid.value
 
         def work(batch: pa.RecordBatch):
-            ids, cells = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            ids, cells = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(start[cells] + mixed % parts[cells], pa.int32()), batch.column(0), batch.column(1), batch.column(3)], ["shard", "_id", "_v", "cell"])
+            yield rows_of(start[cells] + mixed % parts[cells], np.zeros(len(ids), bool), ids, batch.column(1), cells, np.zeros(len(ids)))
 
         return work
 
     def probe():
         index, (start, parts, counts) = shared.value, laid.value
+        known = counts.tolist()
 
         def work(batch: pa.RecordBatch):
             x, _ = matrix(batch.column(1), index.width)
-            rows = []
-            for i, v in zip(batch.column(0).to_pylist(), x, strict=True):
-                by: dict[int, list[int]] = {}
-                for cell in index.met(v, counts, least):
-                    for s in range(start[cell], start[cell] + parts[cell]):
-                        by.setdefault(s, []).append(cell)
-                rows += [(s, i % blocks, i, v, cells) for s, cells in by.items()]
-                if len(rows) > 2000:
-                    yield probes(rows)
-                    rows = []
-            if rows:
-                yield probes(rows)
+            for low in range(0, len(x), 500):
+                asked = []
+                for i in range(low, min(low + 500, len(x))):
+                    cells, reach = index.met(x[i], known, least)
+                    some = np.array(cells, np.int64)
+                    many = parts[some] > 1
+                    spread = [np.arange(start[c], start[c] + parts[c]) for c in some[many].tolist()]
+                    asked += [(shard, i, reach) for shard in np.unique(np.concatenate([start[some[~many]], *spread])).tolist()]
+                if asked:
+                    shards, at, reach = (np.array(c) for c in zip(*asked, strict=True))
+                    yield rows_of(shards, np.ones(len(at), bool), batch.column(0).to_numpy()[at], batch.column(1).take(pa.array(at)), np.full(len(at), -1), reach)
 
         return work
 
-    def probes(rows: list[tuple]) -> pa.RecordBatch:
-        types = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["shard", "block", "query", "_v", "cells"])
+    def rows_of(shard, asks, ids, vectors, cells, reach) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(asks), pa.array(ids), vectors, pa.array(cells, pa.int32()), pa.array(reach, pa.float64())], ["shard", "asks", "_id", "_v", "cell", "reach"])
 
-    dealt = map_batches(indexed.select("_id", "_v", "_q", "cell"), "shard int, _id long, _v array<double>, cell int", deal).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = map_batches(indexed.where("_q"), "shard int, block int, query long, _v array<double>, cells array<int>", probe)
+    row = "shard int, asks boolean, _id long, _v array<double>, cell int, reach double"
+    dealt = map_batches(indexed.select("_id", "_v", "cell"), row, deal).unionByName(map_batches(indexed.where("_q").select("_id", "_v"), row, probe))
 
-    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query_id", "vec_id", "score"])
-        if not left.num_rows or not right.num_rows:
-            return none
-        return best(left, right, k)
-
-    met = dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(rank, "query_id long, vec_id long, score double")
+    @lean
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        at, held, there = None, [], None
+        for batch in batches:
+            shards = batch.column(0).to_numpy()
+            asks = batch.column(1).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.r_[True, (shards[1:] != shards[:-1]) | (asks[1:] != asks[:-1]), True]).tolist()
+            for a, b in zip(edges, edges[1:], strict=False):
+                part = batch.slice(a, b - a)
+                if at != (at := int(shards[a])):
+                    held, there = [], None
+                if not asks[a]:
+                    held.append(part)
+                    continue
+                if there is None and held:
+                    there = Shard(pa.Table.from_batches(held), index)
+                    held = []
+                if there is not None:
+                    for low in range(0, part.num_rows, 256):
+                        yield there.best(part.slice(low, 256), k)
+
+    met = dealt.repartition("shard").sortWithinPartitions("shard", "asks").mapInArrow(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def best(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
-    """The best ``k`` of a shard for each query of a block, among the cells the query met."""
-    v, _ = matrix(left["_v"], None)
-    q, _ = matrix(right["_v"], None)
-    ids, cells, asked = left["_id"].to_numpy(), left["cell"].to_numpy(), right["query"].to_numpy()
-    order = np.lexsort((ids, cells))
-    v, ids, cells = v[order], ids[order], cells[order]
-    lists = right["cells"].combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    who, what = np.repeat(np.arange(len(q)), sizes), lists.flatten().to_numpy()
-    by_cell = np.argsort(what, kind="stable")
-    who, what = who[by_cell], what[by_cell]
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    step = max(1, (4 << 20) // max(1, len(v)))
-    for low in range(0, len(q), step):  # a score matrix of 32 MB at most
-        high = min(len(q), low + step)
-        score = np.full((high - low, len(v)), -np.inf)
-        inside = (who >= low) & (who < high)
-        own, cell_of = who[inside] - low, what[inside]
-        edges = np.flatnonzero(np.diff(cell_of, prepend=-1, append=-1))
-        for a, b in zip(edges, edges[1:], strict=False):
-            s, e = np.searchsorted(cells, [cell_of[a], cell_of[a] + 1])
-            if s < e:
-                score[own[a:b], s:e] = q[low + own[a:b]] @ v[s:e].T
-        score[asked[low:high, None] == ids[None, :]] = -np.inf
-        kth = np.partition(score, max(0, len(v) - k), axis=1)[:, max(0, len(v) - k)]
-        for i in range(high - low):
+class Shard:
+    """The vectors of a shard, by cell."""
+
+    def __init__(self, rows: pa.Table, index: Index):
+        self.index = index
+        v, _ = matrix(rows["_v"], index.width)
+        ids, cells = rows["_id"].to_numpy(), rows["cell"].to_numpy()
+        order = np.lexsort((ids, cells))
+        self.v, self.ids = v[order], ids[order]
+        self.cells, self.cell_of = np.unique(cells[order], return_inverse=True)
+
+    def best(self, asked: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        """The best ``k`` for each query, among the cells within its reach."""
+        q, _ = matrix(asked.column(3), self.index.width)
+        who, reach = asked.column(2).to_numpy(), asked.column(5).to_numpy()
+        n2 = len(self.index.second)
+        score = q @ self.v.T
+        for i in range(len(q)):
+            d1, d2 = self.index.distances(q[i])
+            far = d1[self.cells // n2] + d2[self.cells % n2] > reach[i]
+            score[i, far[self.cell_of]] = -np.inf
+        score[who[:, None] == self.ids[None, :]] = -np.inf
+        at = max(0, len(self.v) - k)
+        kth = np.partition(score, at, axis=1)[:, at]
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for i in range(len(q)):
             # Scores of a matrix product may differ in the last bits; near ties are scored again, one way for all.
             near = np.flatnonzero((score[i] > -np.inf) & (score[i] >= kth[i] - 1e-9 * max(1.0, abs(kth[i]) if np.isfinite(kth[i]) else 1.0)))
             if len(near):
-                exact = (v[near] * q[low + i]).sum(axis=1)
-                top = np.lexsort((ids[near], -exact))[:k]
-                out.append((np.full(len(top), asked[low + i]), ids[near][top], exact[top]))
-    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-    return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, columns), strict=True)))
+                exact = (self.v[near] * q[i]).sum(axis=1)
+                top = np.lexsort((self.ids[near], -exact))[:k]
+                out.append((np.full(len(top), who[i]), self.ids[near][top], exact[top]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])

@@ -1,5 +1,6 @@
 import dataclasses
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -211,7 +212,7 @@ def brute_search(x, ids, q, k):
     return sorted(own, reverse=True)[:k]
 
 
-@pytest.mark.parametrize("settings", [{}, {"shard": 100, "block": 7}])
+@pytest.mark.parametrize("settings", [{}, {"shard": 100}, {"most": 8}])
 def test_search_recall_and_exact_scores(spark, settings):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(30, 16))
@@ -240,6 +241,25 @@ def test_search_recall_and_exact_scores(spark, settings):
     assert copies == list(range(1001, 1011)), "ties go to smaller ids"
 
 
+@pytest.mark.parametrize("n", [1500, 6000])
+def test_search_meets_less_than_half_of_the_vectors(n):
+    """On a sphere without clusters, at two sizes: the share of vectors met, and the recall of true neighbours within it."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index, share = ann.fit(x, n, 20, ann.Settings())
+    cells = index.cells(x)
+    counts = np.bincount(cells, minlength=len(index.first) * len(index.second)).tolist()
+    met, hits = [], []
+    for q in range(0, n, 50):
+        seen = set(index.met(x[q], counts, math.ceil(share * n))[0])
+        score = x @ x[q]
+        score[q] = -1
+        hits += [cells[i] in seen for i in np.argsort(-score)[:20]]
+        met.append(sum(counts[c] for c in seen) / n)
+    assert np.mean(hits) >= 0.9 and max(met) < 0.5, (np.mean(hits), max(met), share)
+
+
 def test_search_of_few_and_no_vectors(spark):
     from pyspark.sql import functions as F
 
