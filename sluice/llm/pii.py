@@ -10,17 +10,25 @@ parser expands to the boundaries of a candidate and validates it:
 * ``phone``: a plus sign and 8 to 15 digits;
 * ``url``: an address that a scheme introduces, with a host;
 * ``account``: behind a cue such as IBAN or an account word, an identifier with
-  a right ISO 7064 checksum or of 6 to 17 digits.
+  a right ISO 7064 checksum or of 6 to 17 digits;
+* ``secret``: behind a cue such as token, key or password and a sign of
+  assignment, a credential that is long enough, has digits and letters and spreads
+  over enough different characters; or a block of a private key.
+
+Cues and schemes count in any letter case.
 
 Candidates of a kind don't overlap, the leftmost wins, and one that fails its
 validation is dropped without a second try.  Kinds are independent of each
 other: a span of one may lie in a span of another.  Offsets are code points,
-ends exclusive.  Null and empty texts hold nothing; null ids pass through.
+ends exclusive.  Null and empty texts hold nothing; null ids pass through; very
+long texts are read in one pass; equal texts have equal spans.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import ahocorasick
 import pyarrow as pa
@@ -28,9 +36,11 @@ from pyspark.sql import DataFrame
 
 from sluice.llm.common import fields, map_batches
 
-KINDS = ("email", "ip", "card", "phone", "url", "account")
+KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
 #: Cues that introduce an account identifier, and schemes of addresses.
 CUES = ("iban", "account", "acct", "konto", "kontonummer", "compte", "cuenta", "passport", "ssn")
+KEYS = ("token", "secret", "key", "apikey", "bearer", "authorization", "credential", "credentials", "signature")
+PASSWORDS = ("password", "passwd", "passphrase", "passwort", "pwd")
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://", "ws://", "wss://")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,6 +51,10 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 URL = re.compile(r"[^\s/?#<>\"']+(?:[/?#][^\s<>\"']*)?")
 GAP = re.compile(r"(?: ?(?:number|no\.?|nr\.?|nummer|#))?[ \t]*[:=#]?[ \t]*", re.IGNORECASE)
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+ASSIGNED = re.compile(r"[\"']?\s{0,3}(?:[:=]>?|:=)\s{0,3}(?:(?:bearer|basic)\s)?[\"']?", re.IGNORECASE)
+KEY = re.compile(r"[A-Za-z0-9+/_.~-]{16,}={0,2}")
+PASSWORD = re.compile(r"[^\s\"'<>,;]{8,128}")
+PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----[^-]*-----END \1-----")
 NUMBER = re.compile(r"[0-9](?:[ -]?[0-9]){5,16}(?![0-9])")
 
 
@@ -49,11 +63,12 @@ def automaton() -> ahocorasick.Automaton:
     for mark in "@+0123456789":
         found.add_word(mark, (mark, 1))
     for scheme in SCHEMES:
-        for form in (scheme, scheme.upper(), scheme.capitalize()):
-            found.add_word(form, ("url", len(form)))
+        found.add_word(scheme, ("url", len(scheme)))
     for cue in CUES:
-        for form in (cue, cue.upper(), cue.capitalize()):
-            found.add_word(form, ("account", len(form)))
+        found.add_word(cue, ("account", len(cue)))
+    for kind, cues in (("key", KEYS), ("password", PASSWORDS), ("pem", ("-----begin ",))):
+        for cue in cues:
+            found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
@@ -87,13 +102,36 @@ def account_at(text: str, at: int) -> tuple[int, int] | None:
     return m and m.span()
 
 
+def spread(text: str) -> float:
+    """Shannon entropy of a text's characters, in bits."""
+    return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
+
+
+def secret_at(text: str, at: int, kind: str) -> tuple[int, int] | None:
+    """The credential that is assigned to a cue ending at ``at``."""
+    gap = ASSIGNED.match(text, at)
+    m = gap and (PASSWORD if kind == "password" else KEY).match(text, gap.end())
+    if m is None:
+        return None
+    found = m[0].rstrip(".")
+    mixed = any(c.isdigit() for c in found) and any(c.isalpha() for c in found)
+    least = (8, 2.5) if kind == "password" else (16, 3.0)
+    return (m.start(), m.start() + len(found)) if mixed and len(found) >= least[0] and spread(found) >= least[1] else None
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, character by character."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def spans(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end), by kind and start."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     if not text:
         return []
     free = dict.fromkeys(KINDS, 0)  # where the next span of a kind may start
-    for last, (kind, size) in anchors.iter(text):
+    for last, (kind, size) in anchors.iter(lowered(text)):
         at = last - size + 1
         if kind.isdigit():
             if at >= free["ip"]:
@@ -129,6 +167,16 @@ def spans(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[str, i
                 if stop > last + 1:
                     found["url"].append((at, stop))
                     free["url"] = stop
+        elif kind == "pem":
+            if at >= free["secret"] and (m := PEM.match(text, at)):
+                found["secret"].append(m.span())
+                free["secret"] = m.end()
+        elif kind in ("key", "password"):
+            # A cue may be the last part of a name, as in access_token or apiKey.
+            whole = at == 0 or not text[at - 1].isalnum() or text[at].isupper() and text[at - 1].islower()
+            if whole and (s := secret_at(text, last + 1, kind)) and s[0] >= free["secret"]:
+                found["secret"].append(s)
+                free["secret"] = s[1]
         elif (at == 0 or not text[at - 1].isalnum()) and not text[last + 1 : last + 2].isalnum() and (s := account_at(text, last + 1)) and s[0] >= free["account"]:
             found["account"].append(s)
             free["account"] = s[1]

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import os
 import re
 import zlib
 
@@ -90,6 +91,28 @@ def test_added_kinds_and_masking():
     assert pii.masked(text, pii.spans(text, ANCHORS)) == "See [URL]. IBAN: [ACCOUNT], account no. [ACCOUNT] x"
 
 
+def test_secrets_are_found_and_plain_words_left():
+    token, other = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "Zk3vQ9+/xT7bLm2NpR8sW1yA=="
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nMIIEabc\n+/x=\n-----END RSA PRIVATE KEY-----"
+    text = f'so token = "{token}" and API_KEY: {other}, Password="hunter2-Apple" | {pem} accessToken={token}.'
+    found = [text[a:b] for k, a, b in pii.spans(text, ANCHORS) if k == "secret"]
+    assert found == [token, other, "hunter2-Apple", pem, token]
+    for plain in ("the token = value of the thing", "key: internationalisation", "a password: please", "tokens = 04dbebab91ab85687d33", "token 04dbebab91ab85687d33eeaaf9ac699e", 'key = "aaaaaaaaaaaaaaaaaaaaaaaa1"', "monkey = 04dbebab91ab85687d33eeaaf9ac699e"):
+        assert not pii.spans(plain, ANCHORS), plain
+    assert pii.masked(f'token = "{token}"', pii.spans(f'token = "{token}"', ANCHORS)) == 'token = "[SECRET]"'
+    text = f"İ IBAN de89370400440532013000 İİ Token={token}"
+    assert [text[a:b] for _, a, b in pii.spans(text, ANCHORS)][-1] == token
+
+
+def test_no_assigned_token_of_the_sample_is_left(spark):
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no sample tables")
+    left = pii.find(spark.read.parquet(path), mask=True)
+    assert left.where("masked rlike 'token = \"[0-9a-f]{8,}'").count() == 0
+    assert left.where("masked like '%token = \"[SECRET]%'").count() > 100
+
+
 def test_pii_operator_edges(spark):
     docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (None, "a@b.cd", 0), (4, "é" * 100_000 + "a@b.cd", 1), (4, "a@b.cd", 1)], "doc_id long, text string, spans int")
     rows = pii.find(docs, mask=True).collect()
