@@ -155,32 +155,38 @@ def signed(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFram
     return map_batches(own, fields(own, "_id", "key long, node binary, grams long, signature binary"), make)
 
 
-def grouped(names: list[tuple], marks: np.ndarray, absorb: float, least: float) -> tuple[list[int], list[tuple[int, int, float]], list[int]]:
-    """Leaders of a group, edges (node, leader or other leader, estimate), and which nodes a leader absorbed.
+def grouped(marks: np.ndarray, absorb: float, least: float) -> tuple[list[int], list[tuple[int, int, float]], list[tuple[int, int, float]]]:
+    """Leaders of a group, (node, leader, estimate) of absorbed nodes, and edges that connect what leaders are alike.
 
-    A node joins the leader it is most like if that is at least ``absorb``, else it leads itself and is joined with all
-    leaders that are at least ``least`` like it.
+    A node joins the leader it is most like if that is at least ``absorb``, else it leads itself.  Of the leaders that are
+    at least ``least`` like it, it is joined with one of each cluster that earlier edges made, so edges are fewer than nodes.
     """
     leaders: list[int] = []
     edges: list[tuple[int, int, float]] = []
-    absorbed: list[int] = []
-    led = np.empty_like(marks)
-    for i in range(len(names)):
-        if leaders:
-            alike = (led[: len(leaders)] == marks[i]).mean(axis=1)
+    absorbed: list[tuple[int, int, float]] = []
+    led, cluster = np.empty_like(marks), np.zeros(len(marks), np.int64)
+    for i in range(len(marks)):
+        n = len(leaders)
+        cluster[n] = n
+        if n:
+            alike = (led[:n] == marks[i]).mean(axis=1)
             best = int(alike.argmax())
             if alike[best] >= absorb:
-                edges.append((i, leaders[best], float(alike[best])))
-                absorbed.append(i)
+                absorbed.append((i, leaders[best], float(alike[best])))
                 continue
-            edges += [(i, leaders[j], float(alike[j])) for j in np.flatnonzero(alike >= least).tolist()]
-        led[len(leaders)] = marks[i]
+            near = np.flatnonzero(alike >= least)
+            near = near[np.argsort(-alike[near], kind="stable")]
+            clusters, which = np.unique(cluster[near], return_index=True)
+            edges += [(i, leaders[j], float(alike[j])) for j in near[which].tolist()]
+            if len(clusters):
+                cluster[:n][np.isin(cluster[:n], clusters)] = n
+        led[n] = marks[i]
         leaders.append(i)
-    return leaders, edges, absorbed
+    return leaders, absorbed, edges
 
 
 MET = "rank long, a long, b long, signature binary, role int, a2 long, b2 long, alike double"
-#: What a row of a compared group is: a leader, an absorbed node, an edge.
+#: What a row of a compared group is: a leader, an absorbed node with its edge, an edge.
 LEADER, ABSORBED, EDGE = 0, 1, 2
 
 
@@ -200,11 +206,11 @@ def compared(dealt: DataFrame, s: Settings, least: float) -> DataFrame:
             members = {r[3:5]: r[5] for r in some}
             names = sorted(members)
             marks = np.frombuffer(b"".join(members[n] for n in names), np.uint32).reshape(len(names), -1)
-            leaders, edges, absorbed = grouped(names, marks, s.absorb, least)
+            leaders, absorbed, edges = grouped(marks, s.absorb, least)
             if some[0][6]:
                 out += [(rank, *names[i], members[names[i]], LEADER, None, None, None) for i in leaders]
-            out += [(rank, *names[i], None, ABSORBED, None, None, None) for i in absorbed]
-            out += [(rank, *names[i], None, EDGE, *names[j], alike) for i, j, alike in edges]
+            for role, found in ((ABSORBED, absorbed), (EDGE, edges)):
+                out += [(rank, *names[i], None, role, *names[j], alike) for i, j, alike in found]
             if len(out) > 20_000:
                 yield met_batch(out)
                 out = []
@@ -243,7 +249,7 @@ def level(climbing: DataFrame, marks: DataFrame, depth: int, s: Settings) -> tup
         paired = paired.select("rank", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "a", "b", "signature", F.lit(False).alias("more"))
         made.append(persist(compared(paired.repartition(*order).sortWithinPartitions(*order), s, s.least(2)), "met"))
     every = made[0] if len(made) == 1 else made[0].unionByName(made[1])
-    edges = persist(every.where(F.col("role") == EDGE).groupBy("a", "b", "a2", "b2").agg(F.max("alike").alias("alike")), "edges")
+    edges = persist(every.where(F.col("role") != LEADER).groupBy("a", "b", "a2", "b2").agg(F.max("alike").alias("alike")), "edges")
     trees = trie.rows.select("rank", "tree", "a", "b")
     absorbed = persist(every.where(F.col("role") == ABSORBED).select("rank", "a", "b").distinct().join(trees, ["rank", "a", "b"]).select("tree", "a", "b"), "absorbed")
     discard(trie.table, *made)

@@ -193,9 +193,11 @@ def test_leaders_absorb_and_keep_their_links():
     s = near.Settings()
     marks = np.arange(3 * 144, dtype=np.uint32).reshape(3, 144).repeat(50, axis=0)
     marks[1::50, :5] += 9000  # each base and 49 near copies
-    names = [(i, 0) for i in range(150)]
-    leaders, edges, absorbed = near.grouped(names, marks, s.absorb, s.least(1))
-    assert leaders == [0, 50, 100] and len(absorbed) == 147 == len(edges)
+    leaders, absorbed, edges = near.grouped(marks, s.absorb, s.least(1))
+    assert leaders == [0, 50, 100] and len(absorbed) == 147 and not edges
+    marks[50:, :100] = marks[0, :100]  # now all three are alike enough for edges
+    leaders, absorbed, edges = near.grouped(marks, s.absorb, s.least(1))
+    assert leaders == [0, 50, 100] and [e[0] for e in edges] == [50, 100], "as many edges as connect them"
 
 
 def test_components_of_a_path_and_a_star(spark):
