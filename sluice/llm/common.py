@@ -72,6 +72,11 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def whole_row(df: DataFrame) -> F.Column:
+    """All columns of ``df``, whatever their names, in one: what an operator adds can't clash with them."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
+
+
 def fields(df: DataFrame, column: str, rest: str) -> T.StructType:
     """A schema of ``column`` as it is in ``df``, whatever its type, and the fields of ``rest``."""
     return T.StructType([T.StructField(column, df.schema[column].dataType), *T.StructType.fromDDL(rest).fields])

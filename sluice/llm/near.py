@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import discard, fields, lean, map_batches, persist
+from sluice.llm.common import discard, fields, lean, map_batches, persist, whole_row
 from sluice.llm.components import components
 from sluice.llm.ranking import dense_ranks
 
@@ -151,7 +151,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFram
 
         return work
 
-    own = docs.select(F.col(id_col).alias("_id"), text_key(text_col), text_col)
+    own = docs.select(F.col(id_col).alias("_id"), text_key(text_col), F.col(text_col).alias("_text"))
     return map_batches(own, fields(own, "_id", "key long, node binary, grams long, signature binary"), make)
 
 
@@ -423,5 +423,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chosen = named.select("node", "root").join(firsts, "node").groupBy("root").agg(F.min("first").alias("first"))
     # Null ids in a struct are equal to one another; copies of a row go before rows meet, so many of one text don't.
     chosen = chosen.select(F.struct(F.col("first._id").alias("id"), F.col("first.key").alias("key")).alias("_row")).distinct()
-    own = docs.withColumn("_row", F.struct(F.col(id_col).alias("id"), text_key(text_col))).dropDuplicates(["_row"])
-    return own.join(chosen, "_row", "left_semi").select(docs.columns)
+    own = docs.select(whole_row(docs).alias("_all"), F.struct(F.col(id_col).alias("id"), text_key(text_col)).alias("_row")).dropDuplicates(["_row"])
+    return own.join(chosen, "_row", "left_semi").select("_all.*")

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import discard, fields, map_batches, persist
+from sluice.llm.common import discard, fields, map_batches, persist, whole_row
 from sluice.llm.ranking import dense_ranks
 
 
@@ -327,7 +327,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     ranges = repeated_ranges(docs, text_col, settings)
     k, tag = digests(F.col(text_col))
-    own = docs.select(F.struct(*docs.columns if rows else [id_col]).alias("_row"), k, tag, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    own = docs.select((whole_row(docs) if rows else F.struct(id_col)).alias("_row"), k, tag, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     joined = own.join(ranges, ["k", "tag"], "left").select("_row", "_text", "ranges")
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 if keep else 4]
 

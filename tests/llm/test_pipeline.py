@@ -63,5 +63,17 @@ def test_stages_take_odd_and_empty_tables(spark, stages):
             assert made.count() <= max(table.count(), 60), name
 
 
+def test_stages_take_columns_of_any_name(spark, stages):
+    from pyspark.sql import functions as F
+
+    names = ["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256", "_key", "_row", "_all", "_id", "key", "k", "tag", "ranges", "score", "spans", "masked", "node", "a.b"]
+    docs = stages[0].limit(40).select("*", *[F.col("doc_id").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, DATA)
+        assert made.columns == docs.columns, name
+        assert made.where("not (kept <=> doc_id and `a.b` <=> doc_id and _row <=> doc_id)").count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() >= 40
+
+
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
