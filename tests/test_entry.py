@@ -1,7 +1,10 @@
 import os
+import shutil
 import subprocess
 import sys
 
+import pytest
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -10,6 +13,15 @@ def test_queries_can_be_listed_without_a_session():
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
 
 
+@pytest.mark.parametrize("also", [[], ["corpus_pipeline.py"]])
+def test_queries_can_be_listed_without_the_text_operators(tmp_path, also):
+    gone = shutil.ignore_patterns("llm", ".git", "__pycache__", *also)
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=gone)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert q and set(o) <= set(q) and 'pipeline' not in q"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, timeout=120, env=env)
+
+
 def test_entry_has_rows(spark):
     sys.path.insert(0, ROOT)
     import __spark_entry__
