@@ -3,8 +3,9 @@
 Vectors are cut in two halves and each half is quantised by a codebook of its
 own, so a vector lies in the cell of a pair of centroids.  A query walks through
 cells by the sum of its two distances, smallest first, with a heap over sorted
-rows and columns, until the cells it has met hold a share of all vectors; the
-vectors of those cells are ranked by the inner product of the original vectors.
+rows and runs of sorted columns, until the cells it has met hold a share of all
+vectors; the vectors of those cells are ranked by the inner product of the
+original vectors.
 
 Codebooks grow with the square root of the number of vectors, up to ``most``
 centroids (the driver fits them, and workers know the size of each cell).  They
@@ -15,7 +16,9 @@ crowded cell over several.  A query goes to the shards that hold cells it has me
 and to no others, with the distance at which its walk ended; there it meets the
 vectors of all cells up to that distance.  Vectors are sent once.  A shard's
 vectors are held, its queries streamed past them, and each shard gives only the
-best of each query, so no task and no shuffle holds all pairs of a cell.
+best of each query, so no task and no shuffle holds all pairs of a cell.  What is
+worse than the ``k``-th best of the sample's vectors in the cells that a query met
+can't be among its best and isn't given at all.
 
 Vectors that are null, empty, zero, of another length than most of the sample or
 that hold null or non-finite components take no part.  Rows with a null id take
@@ -43,13 +46,16 @@ from sluice.llm.common import lean, map_batches, persist
 @dataclass(frozen=True)
 class Settings:
     """sample: vectors that codebooks are fitted to.  recall: target of the walk.  probes: sample queries that set its length.
-    fine: centroids of a half, by the square root of the number of vectors.  most: centroids of a half at most.  shard: vectors of a shard."""
+    fine: centroids of a half, by the square root of the number of vectors.  most: centroids of a half at most.
+    run: columns that a walk takes at once.  known: vectors of the sample that workers know.  shard: vectors of a shard."""
 
     sample: int = 20_000
     recall: float = 0.93
     probes: int = 300
     fine: float = 2.0
     most: int = 2048
+    run: int = 16
+    known: int = 8192
     shard: int = 2048
     rounds: int = 12
     seed: int = 5
@@ -91,10 +97,13 @@ def codebook(x: np.ndarray, k: int, settings: Settings) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Codebooks of both halves."""
+    """Codebooks of both halves, and vectors of the sample with their ids and cells."""
 
     first: np.ndarray
     second: np.ndarray
+    known: np.ndarray | None = None
+    known_ids: np.ndarray | None = None
+    known_cells: np.ndarray | None = None
 
     @property
     def width(self) -> int:
@@ -109,35 +118,46 @@ class Index:
         half = self.first.shape[1]
         return ((self.first - query[:half]) ** 2).sum(1), ((self.second - query[half:]) ** 2).sum(1)
 
-    def walk(self, query: np.ndarray) -> Iterator[tuple[float, int]]:
-        """(summed distance, cell) by the summed distance of their centroids."""
-        n2 = len(self.second)
+    def cell_distances(self, query: np.ndarray, cells: np.ndarray) -> np.ndarray:
         d1, d2 = self.distances(query)
-        o1, o2 = np.argsort(d1, kind="stable").tolist(), np.argsort(d2, kind="stable").tolist()
-        s1, s2 = np.sort(d1).tolist(), np.sort(d2).tolist()
+        return d1[cells // len(self.second)] + d2[cells % len(self.second)]
+
+    def reach(self, query: np.ndarray, counts: np.ndarray, least: int, run: int) -> float:
+        """The summed distance up to which cells hold ``least`` vectors, by a walk from the nearest cell on.
+
+        ``counts`` has a row for each first centroid and a column for each second one.  A step of the walk takes a run of
+        columns of one row.  The ends of runs lie farther than the walk has come, so once it seems to be done what lies
+        within its distance is counted, and it goes on by as much as is missing.
+        """
+        d1, d2 = self.distances(query)
+        rows, columns = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
+        s1, starts = d1[rows].tolist(), np.arange(0, len(d2), run)
+        s2 = d2[columns][starts].tolist()
+        held, wanted, runs = 0, least, {}
         heap = [(s1[0] + s2[0], 0, 0)]
         while heap:
             d, i, j = heap[0]
-            yield d, o1[i] * n2 + o2[j]
-            # Each pair enters once: from its left neighbour, or in the first column from the row above.
-            if j + 1 < n2:
+            if held >= wanted:
+                inside = int(counts[d1[:, None] + d2[None, :] <= d].sum())
+                if inside >= least:
+                    return d
+                wanted = held + least - inside
+            if j == 0:
+                runs[i] = np.add.reduceat(counts[rows[i]][columns], starts).tolist()
+                if i + 1 < len(s1):
+                    heapq.heappush(heap, (s1[i + 1] + s2[0], i + 1, 0))
+            held += runs[i][j]
+            if j + 1 < len(s2):
                 heapq.heapreplace(heap, (s1[i] + s2[j + 1], i, j + 1))
             else:
                 heapq.heappop(heap)
-            if j == 0 and i + 1 < len(o1):
-                heapq.heappush(heap, (s1[i + 1] + s2[0], i + 1, 0))
-
-    def met(self, query: np.ndarray, counts: list[int], least: int) -> tuple[list[int], float]:
-        """The first cells of the walk that hold ``least`` vectors, and the distance of the last one."""
-        found, held, reach = [], 0, math.inf
-        for d, cell in self.walk(query):
-            if counts[cell]:
-                found.append(cell)
-                held += counts[cell]
-                if held >= least:
-                    reach = d
-                    break
-        return found, reach
+        return math.inf
+
+    def bound(self, query: np.ndarray, own: int, reach: float, k: int) -> float:
+        """The ``k``-th best score among the known vectors in the cells up to a distance; minus infinity if there are fewer."""
+        met = (self.cell_distances(query, self.known_cells) <= reach) & (self.known_ids != own)
+        score = self.known[met] @ query
+        return float(np.partition(score, len(score) - k)[len(score) - k]) if len(score) >= k else -math.inf
 
 
 def fit(x: np.ndarray, rows: int, k: int, settings: Settings) -> tuple[Index, float]:
@@ -146,20 +166,13 @@ def fit(x: np.ndarray, rows: int, k: int, settings: Settings) -> tuple[Index, fl
     half = max(1, x.shape[1] // 2)
     index = Index(codebook(x[:, :half], size, settings), codebook(x[:, half:], size, settings) if x.shape[1] > half else np.zeros((1, 0)))
     cells = index.cells(x)
-    counts = np.bincount(cells, minlength=len(index.first) * len(index.second)).tolist()
     need = []
     for q in range(min(settings.probes, len(x))):
         score = x @ x[q]
         score[q] = -np.inf
         top = np.argsort(-score, kind="stable")[: min(k, len(x) - 1)]
-        wanted, held, at = set(cells[top].tolist()), 0, {}
-        for _, cell in index.walk(x[q]):
-            held += counts[cell]
-            if cell in wanted:
-                at[cell] = held / len(x)
-                if len(at) == len(wanted):
-                    break
-        need += [at[c] for c in cells[top].tolist()]
+        far = index.cell_distances(x[q], cells)
+        need += (np.searchsorted(np.sort(far), far[top], side="right") / len(x)).tolist()
     return index, float(np.quantile(need, settings.recall)) if need else 1.0
 
 
@@ -169,11 +182,14 @@ def search(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     out = "query_id long, rank int, vec_id long, score double"
     own = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"), F.coalesce(is_query, F.lit(False)).alias("_q"))
     drawn = own.select("_id", "_v").where(F.size("_v") > 0).orderBy(F.xxhash64("_id"), "_id").limit(settings.sample)
-    x, _ = matrix(drawn.toArrow()["_v"], None)  # at most ``sample`` vectors
+    taken = drawn.toArrow()  # at most ``sample`` vectors
+    x, at = matrix(taken["_v"], None)
     if not len(x):
         return spark.createDataFrame([], out)
     index, share = fit(x, own.count(), k, settings)
-    shared = spark.sparkContext.broadcast(index)  # 2 * most centroids
+    index.known, index.known_ids = x[: settings.known], taken["_id"].to_numpy()[at][: settings.known]
+    index.known_cells = index.cells(index.known)
+    shared = spark.sparkContext.broadcast(index)  # 2 * most centroids and ``known`` vectors
 
     def assign():
         index = shared.value
@@ -207,34 +223,37 @@ def search(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
         def work(batch: pa.RecordBatch):
             ids, cells = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            yield rows_of(start[cells] + mixed % parts[cells], np.zeros(len(ids), bool), ids, batch.column(1), cells, np.zeros(len(ids)))
+            yield rows_of(start[cells] + mixed % parts[cells], np.zeros(len(ids), bool), ids, batch.column(1), cells, np.zeros(len(ids)), np.zeros(len(ids)))
 
         return work
 
     def probe():
         index, (start, parts, counts) = shared.value, laid.value
-        known = counts.tolist()
+        grid = counts.reshape(len(index.first), -1)
+        there = np.flatnonzero(counts)
 
         def work(batch: pa.RecordBatch):
             x, _ = matrix(batch.column(1), index.width)
+            ids = batch.column(0).to_numpy()
             for low in range(0, len(x), 500):
                 asked = []
                 for i in range(low, min(low + 500, len(x))):
-                    cells, reach = index.met(x[i], known, least)
-                    some = np.array(cells, np.int64)
+                    reach = index.reach(x[i], grid, least, settings.run)
+                    bound = index.bound(x[i], int(ids[i]), reach, k)
+                    some = there[index.cell_distances(x[i], there) <= reach]
                     many = parts[some] > 1
                     spread = [np.arange(start[c], start[c] + parts[c]) for c in some[many].tolist()]
-                    asked += [(shard, i, reach) for shard in np.unique(np.concatenate([start[some[~many]], *spread])).tolist()]
+                    asked += [(shard, i, reach, bound) for shard in np.unique(np.concatenate([start[some[~many]], *spread])).tolist()]
                 if asked:
-                    shards, at, reach = (np.array(c) for c in zip(*asked, strict=True))
-                    yield rows_of(shards, np.ones(len(at), bool), batch.column(0).to_numpy()[at], batch.column(1).take(pa.array(at)), np.full(len(at), -1), reach)
+                    shards, at, reach, bound = (np.array(c) for c in zip(*asked, strict=True))
+                    yield rows_of(shards, np.ones(len(at), bool), ids[at], batch.column(1).take(pa.array(at)), np.full(len(at), -1), reach, bound)
 
         return work
 
-    def rows_of(shard, asks, ids, vectors, cells, reach) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(asks), pa.array(ids), vectors, pa.array(cells, pa.int32()), pa.array(reach, pa.float64())], ["shard", "asks", "_id", "_v", "cell", "reach"])
+    def rows_of(shard, asks, ids, vectors, cells, reach, bound) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(asks), pa.array(ids), vectors, pa.array(cells, pa.int32()), pa.array(reach, pa.float64()), pa.array(bound, pa.float64())], ["shard", "asks", "_id", "_v", "cell", "reach", "bound"])
 
-    row = "shard int, asks boolean, _id long, _v array<double>, cell int, reach double"
+    row = "shard int, asks boolean, _id long, _v array<double>, cell int, reach double, bound double"
     dealt = map_batches(indexed.select("_id", "_v", "cell"), row, deal).unionByName(map_batches(indexed.where("_q").select("_id", "_v"), row, probe))
 
     @lean
@@ -278,13 +297,12 @@ class Shard:
     def best(self, asked: pa.RecordBatch, k: int) -> pa.RecordBatch:
         """The best ``k`` for each query, among the cells within its reach."""
         q, _ = matrix(asked.column(3), self.index.width)
-        who, reach = asked.column(2).to_numpy(), asked.column(5).to_numpy()
-        n2 = len(self.index.second)
+        who, reach, bound = asked.column(2).to_numpy(), asked.column(5).to_numpy(), asked.column(6).to_numpy()
         score = q @ self.v.T
         for i in range(len(q)):
-            d1, d2 = self.index.distances(q[i])
-            far = d1[self.cells // n2] + d2[self.cells % n2] > reach[i]
+            far = self.index.cell_distances(q[i], self.cells) > reach[i]
             score[i, far[self.cell_of]] = -np.inf
+        score[score < (bound - 1e-9 * np.maximum(1.0, np.abs(bound)))[:, None]] = -np.inf
         score[who[:, None] == self.ids[None, :]] = -np.inf
         at = max(0, len(self.v) - k)
         kth = np.partition(score, at, axis=1)[:, at]

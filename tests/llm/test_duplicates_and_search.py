@@ -251,14 +251,17 @@ def test_search_meets_less_than_half_of_the_vectors(n):
     x /= np.linalg.norm(x, axis=1)[:, None]
     index, share = ann.fit(x, n, 20, ann.Settings())
     cells = index.cells(x)
-    counts = np.bincount(cells, minlength=len(index.first) * len(index.second)).tolist()
+    counts = np.bincount(cells, minlength=len(index.first) * len(index.second)).reshape(len(index.first), -1)
     met, hits = [], []
     for q in range(0, n, 50):
-        seen = set(index.met(x[q], counts, math.ceil(share * n))[0])
+        reach = index.reach(x[q], counts, math.ceil(share * n), 16)
+        far = index.cell_distances(x[q], np.arange(counts.size))
+        assert counts.ravel()[far <= reach].sum() >= share * n
+        seen = set(np.flatnonzero(far <= reach).tolist())
         score = x @ x[q]
         score[q] = -1
         hits += [cells[i] in seen for i in np.argsort(-score)[:20]]
-        met.append(sum(counts[c] for c in seen) / n)
+        met.append(counts.ravel()[list(seen)].sum() / n)
     assert np.mean(hits) >= 0.9 and max(met) < 0.5, (np.mean(hits), max(met), share)
 
 
