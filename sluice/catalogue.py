@@ -420,13 +420,17 @@ def debt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.debt(samples.files(spark, sf_dir))
 
 
-@query(f"WITH {FILES} SELECT path, deleted_rows * 100 >= row_count * 30 AS dense, level > 0 AND size_bytes < 134217728 AS small, level, age_ms, row_number() OVER (ORDER BY deleted_rows * 100 >= row_count * 30 DESC, level > 0 AND size_bytes < 134217728 DESC, level, age_ms DESC, path) AS place FROM files")
+@query(f"""WITH {FILES},
+t AS (SELECT count(*) FILTER (level = 0) AS l0, coalesce(sum(size_bytes) FILTER (level = 0), 0) AS bytes, coalesce(max(age_ms) FILTER (level = 0), 0) AS age, count(*) FILTER (level > 0 AND size_bytes < 134217728) AS small,
+  max(delete_files) AS most, bool_or(row_count > 0 AND deleted_rows * 100 >= row_count * 30) AS any_dense FROM files),
+m AS (SELECT f.*, row_count > 0 AND deleted_rows * 100 >= row_count * 30 AS dense, t.small >= 6 AND level > 0 AND size_bytes < 134217728 AS small, l0 >= 32 OR bytes >= 268435456 OR age >= 30000 AS flooded,
+  l0 >= 32 OR bytes >= 268435456 OR age >= 30000 OR t.small >= 32 OR most >= 16 AS hard, l0 >= 6 OR bytes >= 134217728 OR age >= 10000 OR t.small >= 6 OR most >= 8 OR any_dense AS soft, most FROM files f, t),
+c AS (SELECT * FROM m WHERE (hard OR age_ms >= 1000) AND CASE level WHEN 0 THEN soft OR hard OR dense WHEN 1 THEN TRUE ELSE dense OR small END)
+SELECT path, dense, small, level, age_ms, CASE WHEN dense THEN 'deleted_rows' WHEN small THEN 'small_files' WHEN level = 0 AND (soft OR hard) THEN 'l0_debt' ELSE 'promotion' END AS reason,
+  row_number() OVER (ORDER BY NOT (flooded AND level = 0), NOT dense, NOT small, CASE WHEN NOT flooded AND most >= 8 AND dense THEN -deleted_rows ELSE 0 END, level, age_ms DESC, path) AS place FROM c""")
 def compaction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    found = compaction.ordered_candidates(samples.files(spark, sf_dir))
-    w = Window.orderBy(F.desc("dense"), F.desc("small"), "level", F.desc("age_ms"), "path")  # one row a candidate file
-    return found.select("path", "dense", "small", "level", "age_ms", F.row_number().over(w).cast("long").alias("place"))
+    """The planner's candidates in the order in which it takes them as seeds."""
+    return compaction.ordered_candidates(samples.files(spark, sf_dir)).select("path", "dense", "small", "level", "age_ms", "reason", "place")
 
 
 @query(f"WITH {FILES} SELECT path FROM files WHERE row_count > 0 AND deleted_rows * 100 >= row_count * 30")
@@ -437,9 +441,7 @@ def dense_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def compaction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group that the planner chooses: sequential, so tests hold it against cases."""
-    rows = samples.files(spark, sf_dir)
-    own = [compaction.File(r.path, r.level, r.size_bytes, r.row_count, r.deleted_rows, r.delete_files, r.age_ms) for r in rows.toLocalIterator()]
-    found = compaction.plan(own, [])
+    found = compaction.plan(samples.files(spark, sf_dir))
     return spark.createDataFrame([(p, found.level, found.reason) for p in sorted(found.inputs)] if found else [], "path string, level int, reason string")
 
 

@@ -2,29 +2,47 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.operators.deletes import applicable
 from sluice.plans import compaction
 from sluice.plans.storage import persist
-from sluice.plans.table import META, Snapshot, Table, removed, with_retry
+from sluice.plans.table import ENTRY, META, Snapshot, Table, removed, with_retry
 
 
 def inventory(table: Table, snapshot: Snapshot | None = None, now_ms: int | None = None) -> DataFrame:
-    """(path, level, size_bytes, row_count, deleted_rows, delete_files, age_ms) of live data files."""
+    """(path, level, size_bytes, row_count, deleted_rows, delete_files, own_deletes, age_ms, manifests) of live data files.
+
+    ``own_deletes`` are delete files of this file alone; the age counts from when the file was added; ``manifests`` is how
+    many the snapshot has.
+    """
     snapshot = snapshot or table.snapshot()
     entries = table.entries(snapshot).withColumn("partition", F.lit(0))
     files = entries.where("kind = 'data'")
     deleted = table.deletes(snapshot).groupBy("path").agg(F.count("*").alias("deleted_rows"))
     pairs = applicable(entries.where("kind <> 'data'").select("path", "kind", "target", "lower_path", "upper_path", "sequence", "partition"), files.select("path", "sequence", "partition"))
-    counts = pairs.groupBy(F.col("target").alias("path")).agg(F.count("*").alias("delete_files"))
-    age = F.lit((now_ms or snapshot.timestamp_ms) - snapshot.timestamp_ms).cast("long") + (F.lit(snapshot.id) - F.col("sequence")) * 1000
+    alone = entries.where("kind <> 'data' and target is not null").select(F.col("path").alias("delete_path"), "target", F.lit(1).alias("own")).distinct()
+    counts = pairs.join(alone, ["delete_path", "target"], "left").groupBy(F.col("target").alias("path")).agg(F.count("*").alias("delete_files"), F.count("own").alias("own_deletes"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    age = F.lit(int(time.time() * 1000) if now_ms is None else now_ms) - F.col("added_ms")
     return files.join(deleted, "path", "left").join(counts, "path", "left").select(
-        "path", "level", "size_bytes", F.col("record_count").alias("row_count"), F.coalesce("deleted_rows", F.lit(0)).alias("deleted_rows"), F.coalesce("delete_files", F.lit(0)).alias("delete_files"), age.alias("age_ms")
+        "path", "level", "size_bytes", F.col("record_count").alias("row_count"), zero("deleted_rows"), zero("delete_files"), zero("own_deletes"), age.alias("age_ms"), F.lit(len(snapshot.manifests)).alias("manifests")
     )
 
 
+def delete_inventory(table: Table, snapshot: Snapshot | None = None) -> DataFrame:
+    """(path, size_bytes, row_count, targets) of live delete files that a live data file needs."""
+    entries = table.entries(snapshot or table.snapshot()).withColumn("partition", F.lit(0))
+    made = entries.where("kind <> 'data'").select("path", "kind", "target", "lower_path", "upper_path", "sequence", "partition", "size_bytes", "record_count", "touched")
+    pairs = applicable(made, entries.where("kind = 'data'").select("path", "sequence", "partition"))
+    own = made.groupBy("path").agg(F.first("size_bytes").alias("size_bytes"), F.sum("record_count").alias("row_count"), F.flatten(F.collect_set("touched")).alias("told"))
+    joined = pairs.join(own, F.col("delete_path") == F.col("path")).where(F.size("told").isin(-1, 0) | F.array_contains("told", F.col("target")))
+    return joined.groupBy("path", "size_bytes", "row_count").agg(F.sort_array(F.collect_set("target")).alias("targets"))
+
+
 def rewrite(table: Table, paths: list[str], level: int, files: int = 1) -> Snapshot:
     """Live rows of data files as new ones, in a ``replace`` snapshot that changes no row.
 
@@ -34,53 +52,95 @@ def rewrite(table: Table, paths: list[str], level: int, files: int = 1) -> Snaps
 
     def attempt() -> Snapshot:
         base = table.snapshot()
-        chosen = table.spark.createDataFrame([(p,) for p in paths], "path string")
-        entries = persist(table.entries(base), "entries")
-        inputs = entries.where("kind = 'data'").join(chosen, "path", "left_semi")
-        if inputs.count() != len(set(paths)):
+        chosen = set(paths)
+        inputs = table.entries(base).where("kind = 'data'").where(F.col("path").isin(sorted(chosen))).collect()  # the files of one rewrite
+        if len(inputs) != len(chosen):
             raise ValueError("a file to rewrite isn't live")
-        rows = table.live(base, inputs)
-        ids = inputs.select(F.col("path").alias("_path"), "first_row_id", "sequence")
-        rows = rows.join(ids, "_path").withColumn("_row_id", F.coalesce("_row_id", F.col("first_row_id") + F.col("_pos"))).withColumn("_changed_at", F.coalesce("_changed_at", "sequence"))
-        made = persist(table.write_data(rows.select(*base.spec.names, *META), base.spec, base.id + 1, level, base.next_row_id, "rewrite", files), "entries").where("record_count > 0")
-        # Deletes that no surviving file needs go; positions on rewritten files that shared ones keep are harmless.
-        deletes = entries.where("kind <> 'data'").withColumn("partition", F.lit(0))
-        survivors = entries.where("kind = 'data'").join(chosen, "path", "left_anti").withColumn("partition", F.lit(0))
-        needed = applicable(deletes.select("path", "kind", "target", "lower_path", "upper_path", "sequence", "partition"), survivors.select("path", "sequence", "partition"))
-        own = deletes.drop("partition").join(needed.select(F.col("delete_path").alias("path")).distinct(), "path", "left_anti")
+        rows = table.live(base, sorted(chosen))
+        ids = table.spark.createDataFrame([(f.path, f.first_row_id, f.sequence) for f in inputs], "_path string, first_row_id long, sequence long")
+        rows = rows.join(F.broadcast(ids), "_path").withColumn("_row_id", F.coalesce("_row_id", F.col("first_row_id") + F.col("_pos"))).withColumn("_changed_at", F.coalesce("_changed_at", "sequence"))
+        made = table.write_data(rows.select(*base.spec.names, *META), base.spec, base.id + 1, level, base.next_row_id, "rewrite", files)
         n = made.agg(F.sum("record_count")).first()[0] or 0
-        return table.commit(base, "replace", removed(inputs).unionByName(removed(own.select(inputs.columns))).unionByName(made), {"rewrote": len(paths), "level": f"L{level}"}, next_row_id=base.next_row_id + n)
+        gone = table.spark.createDataFrame(inputs, ENTRY)
+        changes = removed(gone).unionByName(made)
+        if any(f.kind != "data" for f in table.files(base)):
+            # Deletes that no surviving file needs go; positions on rewritten files that shared ones keep are harmless.
+            entries = table.entries(base).withColumn("partition", F.lit(0))
+            deletes = entries.where("kind <> 'data'")
+            survivors = entries.where("kind = 'data'").where(~F.col("path").isin(sorted(chosen)))
+            needed = applicable(deletes.select("path", "kind", "target", "lower_path", "upper_path", "sequence", "partition"), survivors.select("path", "sequence", "partition"))
+            own = deletes.drop("partition").join(needed.select(F.col("delete_path").alias("path")).distinct(), "path", "left_anti")
+            changes = changes.unionByName(removed(own.select(made.columns)))
+        return table.commit(base, "replace", changes, {"rewrote": len(chosen), "level": f"L{level}"}, next_row_id=base.next_row_id + n)
 
     return with_retry(attempt)
 
 
+def planned(table: Table, policy: compaction.Policy = compaction.Policy(), now_ms: int | None = None) -> compaction.Plan | None:
+    """The group of files that the planner would rewrite next, deletes and their budgets included."""
+    snapshot = table.snapshot()
+    files = persist(inventory(table, snapshot, now_ms), "inventory")
+    return compaction.plan(files, persist(delete_inventory(table, snapshot), "inventory"), policy.for_version(snapshot.spec.format_version))
+
+
 def compact(table: Table, policy: compaction.Policy = compaction.Policy(), now_ms: int | None = None) -> Snapshot | None:
     """Rewrite the group that the planner chooses, if any."""
-    snapshot = table.snapshot()
-    files = [compaction.File(r.path, r.level, r.size_bytes, r.row_count, r.deleted_rows, r.delete_files, r.age_ms) for r in inventory(table, snapshot, now_ms).toLocalIterator()]
-    chosen = compaction.plan(files, [], policy.for_version(snapshot.spec.format_version))
+    chosen = planned(table, policy, now_ms)
     return chosen and rewrite(table, sorted(chosen.inputs), chosen.level)
 
 
-def consolidate(table: Table) -> Snapshot:
-    """All position deletes of live files as one sorted run; the deleted positions stay the same."""
+def consolidate(table: Table, policy: compaction.Policy | None = None) -> Snapshot | None:
+    """Position deletes as one sorted run; the deleted positions stay the same.
 
-    def attempt() -> Snapshot:
+    With a policy the smallest shared delete files within its budgets, and nothing if fewer than two fit; else all.
+    """
+
+    def attempt() -> Snapshot | None:
         base = table.snapshot()
-        old = persist(table.entries(base).where("kind <> 'data'"), "entries")
-        made = persist(table.write_deletes(table.deletes(base), base.id + 1, base.spec.format_version), "entries")
+        old = table.entries(base).where("kind <> 'data'")
+        if policy is not None:
+            files, size, rows = policy.delete_inputs
+            shared = old.where("kind = 'pos'").select("path", "size_bytes", F.col("record_count").alias("row_count"))
+            chosen = [r.path for r in compaction.consolidation(shared, files, size, rows).collect()]  # at most ``files``
+            if len(chosen) < 2:
+                return None
+            old = old.where(F.col("path").isin(chosen))
+            live = table.entries(base).where("kind = 'data'").select("path")
+            positions = table._delete_rows("pos", chosen).select("path", "pos").join(live, "path", "left_semi")
+        else:
+            positions = table.deletes(base)
+        made = table.write_deletes(positions, base.id + 1, base.spec.format_version)
         return table.commit(base, "replace", removed(old).unionByName(made), {"consolidated": old.count()})
 
     return with_retry(attempt)
 
 
-def choose(debt: dict, policy: compaction.Policy, plan: compaction.Plan | None) -> str:
+def choose(known: dict, policy: compaction.Policy, plan: compaction.Plan | None) -> str:
     """What a visit does: consolidate deletes first where their number presses, else rewrite, else nothing."""
-    if policy.consolidate_first and max(debt["max_delete_files"], debt.get("shared_delete_files", 0)) >= policy.delete_files[0]:
+    if policy.consolidate_first and max(known["most_deletes"], known["shared"]) >= policy.delete_files[0]:
         return "consolidate"
     return "rewrite" if plan else "none"
 
 
+def visit(table: Table, policy: compaction.Policy = compaction.Policy(), now_ms: int | None = None) -> str:
+    """One visit of maintenance: what was done, ``consolidate``, ``rewrite``, ``manifests`` or ``none``."""
+    snapshot = table.snapshot()
+    policy = policy.for_version(snapshot.spec.format_version)
+    files, deletes = persist(inventory(table, snapshot, now_ms), "inventory"), persist(delete_inventory(table, snapshot), "inventory")
+    known = compaction.facts(files, deletes, policy).asDict()
+    action = choose(known, policy, None)
+    if action == "consolidate" and consolidate(table, policy) is not None:
+        return action
+    chosen = compaction.plan(files, deletes, policy)
+    if choose(known | {"most_deletes": 0, "shared": 0}, policy, chosen) == "rewrite":
+        rewrite(table, sorted(chosen.inputs), chosen.level)
+        return "rewrite"
+    if len(snapshot.manifests) >= policy.manifests:
+        table.rewrite_manifests()
+        return "manifests"
+    return "none"
+
+
 def catch_up(late: DataFrame, runs: DataFrame) -> DataFrame:
     """(path, pos) in the new files of deletes (path, pos) that reached the old ones while a rewrite was built; ``runs`` as of remaps."""
     from sluice.operators.layout import translate

@@ -38,7 +38,7 @@ def publish(table: Table, log: DataFrame, epoch_id: str, files: int | None = Non
     """
 
     def attempt() -> Snapshot:
-        if done := table.committed_epoch(epoch_id):
+        if done := table.committed_epoch(epoch_id) or table.recover(epoch_id):
             return done
         base = table.snapshot()
         spec, keys = base.spec, list(base.spec.key)
@@ -62,13 +62,12 @@ def write(table: Table, base: Snapshot, images: DataFrame, gone: DataFrame, epoc
     sequence = base.id + 1
     made = table.write_data(images, base.spec, sequence, 0, base.next_row_id, "epoch", files)
     lost = table.write_deletes(gone, sequence, base.spec.format_version, table.deletes(base) if base.spec.format_version == 3 else None)
-    name, entries = table.write_manifest(made.where("record_count > 0").unionByName(lost))
-    sums = {r.kind: r.n for r in entries.groupBy("kind").agg(F.sum("record_count").alias("n")).collect()}
+    sums = {r.kind: r.n for r in made.unionByName(lost).groupBy("kind").agg(F.sum("record_count").alias("n")).collect()}
     if not sums:
         return base
     rows = sums.get("data", 0)
     operation = "overwrite" if rows and len(sums) > 1 else "append" if rows else "delete"
-    return table.commit(base, operation, None, {"epoch_id": epoch_id, "level": "L0", "operation": "ingest"}, next_row_id=base.next_row_id + rows, manifests=(*base.manifests, name))
+    return table.commit(base, operation, made.unionByName(lost), {"epoch_id": epoch_id, "level": "L0", "operation": "ingest"}, next_row_id=base.next_row_id + rows)
 
 
 def append(table: Table, rows: DataFrame, epoch_id: str, files: int | None = None, base: Snapshot | None = None, level: int = 0) -> Snapshot:
@@ -78,9 +77,8 @@ def append(table: Table, rows: DataFrame, epoch_id: str, files: int | None = Non
     if "end_lsn" in rows.columns:
         kept = rows.select(*base.spec.names, F.lit(1).cast("long").alias("_version"), F.col("end_lsn").alias("_lsn"))
     made = table.write_data(kept, base.spec, base.id + 1, level, base.next_row_id, "copy" if level else "epoch", files)
-    name, entries = table.write_manifest(made.where("record_count > 0"))
-    n = entries.agg(F.sum("record_count")).first()[0] or 0
-    return table.commit(base, "append", None, {"epoch_id": epoch_id, "operation": "ingest"}, next_row_id=base.next_row_id + n, manifests=(*base.manifests, name))
+    n = made.agg(F.sum("record_count")).first()[0] or 0
+    return table.commit(base, "append", made, {"epoch_id": epoch_id, "operation": "ingest"}, next_row_id=base.next_row_id + n)
 
 
 def copy(table: Table, rows: DataFrame, cut_lsn: int, files: int | None = None) -> Snapshot:

@@ -31,6 +31,10 @@ def persist(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: File systems that create a name for one writer only and rename in one step.
+EXCLUSIVE = ("file", "hdfs", "viewfs")
+
+
 class Store:
     """Small files below a root path."""
 
@@ -55,9 +59,15 @@ class Store:
             stream.close()
 
     def create(self, name: str, content: dict) -> None:
-        """Write a file that must not exist yet; this is the compare-and-swap of commits."""
+        """Write a file that must not exist yet; this is the compare-and-swap of commits.
+
+        Object stores neither create exclusively nor rename in one step by this interface, so they are refused for metadata.
+        """
         from py4j.protocol import Py4JJavaError
 
+        if (scheme := self._fs.getUri().getScheme()) not in EXCLUSIVE:
+            raise ValueError(f"commits need a file system that creates exclusively, not {scheme}")
+
         if self.exists(name):
             raise ConflictError(name)
         staged = self.path(f"{name}.{uuid.uuid4().hex}.tmp")
@@ -87,5 +97,34 @@ class Store:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self.path(folder)))
 
+    def put(self, name: str, content: dict) -> None:
+        """Write a file of one writer's own."""
+        out = self._fs.create(self.path(name), True)
+        try:
+            out.write(bytearray(json.dumps(content).encode()))
+        finally:
+            out.close()
+
+    def sizes(self, folder: str, suffix: str = ".parquet") -> list[tuple[str, int]]:
+        """(full path, bytes) of the files right below a folder."""
+        found = self._fs.listStatus(self.path(folder)) if self.exists(folder) else []
+        return sorted((s.getPath().toString(), s.getLen()) for s in found if s.getPath().getName().endswith(suffix))
+
+    def footer(self, path: str, column: str | None) -> tuple[int, str | None, str | None]:
+        """Rows of a Parquet file and the least and greatest value of a column, as text, from its footer."""
+        parquet = self._jvm.org.apache.parquet.hadoop
+        opened = parquet.util.HadoopInputFile.fromPath(self._path(path), self.spark.sparkContext._jsc.hadoopConfiguration())
+        reader = parquet.ParquetFileReader.open(opened)
+        try:
+            lower = upper = None
+            for block in reader.getFooter().getBlocks() if column else ():
+                for chunk in block.getColumns():
+                    if chunk.getPath().toDotString() == column and chunk.getStatistics().hasNonNullValue():
+                        low, high = (v.toStringUsingUTF8() if hasattr(v, "toStringUsingUTF8") else v for v in (chunk.getStatistics().genericGetMin(), chunk.getStatistics().genericGetMax()))
+                        lower, upper = low if lower is None else min(lower, low), high if upper is None else max(upper, high)
+            return reader.getRecordCount(), None if lower is None else str(lower), None if upper is None else str(upper)
+        finally:
+            reader.close()
+
     def delete(self, name: str) -> bool:
         return self._fs.delete(self.path(name), True)

@@ -11,12 +11,14 @@ deletes and scans are joins over them.
 
 from __future__ import annotations
 
+import bisect
 import time
 import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.operators.deletes import effective_positions
 from sluice.plans.schema import TableSpec, check_successor, project
@@ -24,8 +26,12 @@ from sluice.plans.storage import ConflictError, Store
 
 ENTRY = (
     "status string, kind string, path string, target string, lower_path string, upper_path string, sequence long, record_count long, "
-    "size_bytes long, level int, first_row_id long, key_lower string, key_upper string, sorted boolean"
+    "size_bytes long, level int, first_row_id long, key_lower string, key_upper string, sorted boolean, added_ms long, touched array<string>"
 )
+#: Files whose statistics the driver reads from their footers; more are read by a job.
+FOOTERS = 1000
+#: Key types whose footer statistics are the values themselves.
+PLAIN_KEYS = (T.IntegerType, T.LongType, T.StringType)
 #: The most deleted positions, of about 200 bytes with their paths, that a scan sends to all executors.
 BROADCAST_POSITIONS = 100_000
 META = ("_version", "_lsn", "_row_id", "_changed_at")
@@ -55,8 +61,7 @@ class Table:
         self.spark, self.root = spark, root.rstrip("/")
         self.store = Store(spark, self.root)
         # Snapshots never change, so what is known of one stays right.
-        self._paths: dict[int, dict[str, list[str]]] = {}
-        self._deleted: dict[int, dict[str, int]] = {}
+        self._files: dict[int, list[Row]] = {}
 
     # -- snapshots ---------------------------------------------------------
 
@@ -95,17 +100,32 @@ class Table:
         kept = {m for i in self.snapshot_ids() for m in self.snapshot(i).manifests}
         return sorted({m for s in gone for m in s.manifests} - kept)
 
-    def unreachable(self) -> DataFrame:
-        """(path) of data and delete files below the table's folder that no retained snapshot needs."""
-        needed = self.entries(self.snapshot(self.snapshot_ids()[0]))
-        for i in self.snapshot_ids()[1:]:
-            needed = needed.unionByName(self.entries(self.snapshot(i)))
+    def unreachable(self, grace_ms: int = 0, now_ms: int | None = None) -> DataFrame:
+        """(path) of data and delete files below the table's folder that no retained snapshot needs and that are older than the grace."""
         there = [f"{folder}/{name}/*.parquet" for folder in ("data", "deletes") for name in self.store.list(folder)]
         if not there:
             return self.spark.createDataFrame([], "path string")
-        every = self.spark.read.format("binaryFile").load([f"{self.root}/{t}" for t in there]).select("path", "length")
-        plain = F.regexp_replace("path", "^file:/+", "/")
-        return every.select("path", plain.alias("_p")).join(needed.select(F.regexp_replace("path", "^file:/+", "/").alias("_p")).distinct(), "_p", "left_anti").select("path")
+        before = F.timestamp_millis(F.lit((now_ms or int(time.time() * 1000)) - grace_ms))
+        every = self.spark.read.format("binaryFile").load([f"{self.root}/{t}" for t in there]).where(F.col("modificationTime") <= before).select("path")
+        plain = lambda c: F.regexp_replace(c, "^file:/+", "/").alias("_p")
+        # What a prepared commit added is needed as if it were a snapshot already.
+        states = [(f"v{i}", m) for i in self.snapshot_ids() for m in self.snapshot(i).manifests]
+        states += [(n, m) for n in self.store.list("prepared") for m in self.store.read(f"prepared/{n}")["manifests"]]
+        if not states:
+            return every
+        read = self.spark.read.schema(ENTRY).parquet(*[f"{self.root}/{m}" for m in sorted({m for _, m in states})])
+        named = read.select("status", "kind", plain("path"), F.regexp_extract("_metadata.file_path", "(manifests/[0-9a-f]+)/[^/]*$", 1).alias("manifest"))
+        held = named.join(self.spark.createDataFrame(states, "state string, manifest string"), "manifest")
+        needed = held.groupBy("state", "kind", "_p").agg(F.max(F.col("status") == "removed").alias("gone")).where("not gone").select("_p").distinct()
+        return every.select("path", plain("path")).join(needed, "_p", "left_anti").select("path")
+
+    def collect_garbage(self, grace_ms: int = 24 * 3_600_000, now_ms: int | None = None) -> list[str]:
+        """Delete what :meth:`unreachable` names; the grace keeps files of commits in flight."""
+        gone = []
+        for r in self.unreachable(grace_ms, now_ms).toLocalIterator():
+            self.store.delete(r.path)
+            gone.append(r.path)
+        return gone
 
     def history(self) -> DataFrame:
         """(id, parent, sequence, ts_ms, operation, epoch_id) of all snapshots."""
@@ -121,19 +141,49 @@ class Table:
 
     def commit(self, base: Snapshot, operation: str, entries: DataFrame | None, summary: dict | None = None, spec: TableSpec | None = None, next_row_id: int | None = None, manifests: tuple[str, ...] | None = None) -> Snapshot:
         """Add a snapshot on ``base``; raises ConflictError if another came first."""
+        return self.activate(self.prepare(base, operation, entries, summary, spec, next_row_id, manifests))
+
+    def prepare(self, base: Snapshot, operation: str, entries: DataFrame | None, summary: dict | None = None, spec: TableSpec | None = None, next_row_id: int | None = None, manifests: tuple[str, ...] | None = None) -> str:
+        """Write down a commit whose files are there; what a crash leaves of it :meth:`recover` finds."""
         if spec is not None and spec.version != base.spec.version:
             check_successor(base.spec, spec)
         names = base.manifests if manifests is None else manifests
         if entries is not None:
             names = (*names, self.write_manifest(entries)[0])
         new = Snapshot(base.id + 1, base.id, operation, int(time.time() * 1000), names, spec or base.spec, summary or {}, base.next_row_id if next_row_id is None else next_row_id)
-        self.store.create(f"metadata/v{new.id}.json", new.to_json())
+        name = f"prepared/{new.id}-{uuid.uuid4().hex}.json"
+        self.store.put(name, new.to_json())
+        return name
+
+    def activate(self, prepared: str) -> Snapshot:
+        """Make a prepared commit the newest snapshot; it is dropped if another came first."""
+        new = Snapshot.from_json(self.store.read(prepared))
+        try:
+            self.store.create(f"metadata/v{new.id}.json", new.to_json())
+        finally:
+            self.store.delete(prepared)
         return new
 
+    def recover(self, epoch_id: str | None = None) -> Snapshot | None:
+        """Finish what was prepared, of one epoch or of any, on the newest snapshot; drop what others overtook.
+
+        Only for the one writer that may have left it, before it starts again.
+        """
+        done = None
+        for name in self.store.list("prepared"):
+            new = Snapshot.from_json(self.store.read(f"prepared/{name}"))
+            if epoch_id is not None and new.summary.get("epoch_id") != epoch_id:
+                continue
+            if new.parent == self.snapshot_ids()[-1]:
+                done = self.activate(f"prepared/{name}")
+            else:
+                self.store.delete(f"prepared/{name}")
+        return done
+
     def write_manifest(self, entries: DataFrame) -> tuple[str, DataFrame]:
         """A manifest of these entries, not part of any snapshot yet, and what was written."""
         name = f"manifests/{uuid.uuid4().hex}"
-        entries.select([f.split()[0] for f in ENTRY.split(", ")]).write.parquet(f"{self.root}/{name}")
+        entries.select([f.split()[0] for f in ENTRY.split(", ")]).coalesce(1).write.parquet(f"{self.root}/{name}")
         return name, self.spark.read.schema(ENTRY).parquet(f"{self.root}/{name}")
 
     def evolve(self, spec: TableSpec) -> Snapshot:
@@ -148,17 +198,18 @@ class Table:
             return self.spark.createDataFrame([], ENTRY)
         every = self.spark.read.schema(ENTRY).parquet(*[f"{self.root}/{m}" for m in snapshot.manifests])
         removed = every.where("status = 'removed'").select("path", "kind")
-        return every.where("status = 'added'").join(removed, ["path", "kind"], "left_anti")
+        return every.where("status = 'added'").join(removed, ["path", "kind"], "left_anti").select(every.columns)
 
-    def paths(self, kind: str, snapshot: Snapshot | None = None) -> list[str]:
-        """Paths to hand to a reader: one string a file, as Spark's own file listing has."""
+    def files(self, snapshot: Snapshot | None = None) -> list[Row]:
+        """What a scan has to know of each live file, as Spark's own file listing does: one small row a file, read once a snapshot."""
         snapshot = snapshot or self.snapshot()
-        if snapshot.id not in self._paths:
-            found: dict[str, list[str]] = {}
-            for r in self.entries(snapshot).select("kind", "path").distinct().collect():
-                found.setdefault(r.kind, []).append(r.path)
-            self._paths[snapshot.id] = {k: sorted(v) for k, v in found.items()}
-        return self._paths[snapshot.id].get(kind, [])
+        if snapshot.id not in self._files:
+            self._files[snapshot.id] = self.entries(snapshot).select("kind", "path", "target", "lower_path", "upper_path", "sequence", "record_count", "touched").collect()
+        return self._files[snapshot.id]
+
+    def paths(self, kind: str, snapshot: Snapshot | None = None) -> list[str]:
+        """Paths to hand to a reader."""
+        return sorted({f.path for f in self.files(snapshot) if f.kind == kind})
 
     def rewrite_manifests(self) -> Snapshot:
         """One manifest of the live entries instead of all that led to them."""
@@ -178,47 +229,62 @@ class Table:
         read = self.spark.read.schema(kinds).parquet(*paths)
         return read.select(*columns, *META, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_pos"))
 
+    def _delete_rows(self, kind: str, paths: list[str]) -> DataFrame:
+        if kind == "pos":
+            return self.spark.read.schema("path string, pos long").parquet(*paths).select(F.col("_metadata.file_path").alias("delete_path"), "path", "pos", F.lit("pos").alias("kind"))
+        read = self.spark.read.schema("path string, positions array<long>").parquet(*paths)
+        return read.select(F.col("_metadata.file_path").alias("delete_path"), "path", F.explode("positions").alias("pos"), F.lit("dv").alias("kind"))
+
     def deletes(self, snapshot: Snapshot | None = None) -> DataFrame:
         """(path, pos) of all positions that deletes take from live data files."""
         snapshot = snapshot or self.snapshot()
-        entries = self.entries(snapshot)
-        made = []
-        if pos := self.paths("pos", snapshot):
-            read = self.spark.read.schema("path string, pos long").parquet(*pos)
-            made.append(read.select(F.col("_metadata.file_path").alias("delete_path"), "path", "pos", F.lit("pos").alias("kind")))
-        if dv := self.paths("dv", snapshot):
-            read = self.spark.read.schema("path string, positions array<long>").parquet(*dv)
-            made.append(read.select(F.col("_metadata.file_path").alias("delete_path"), "path", F.explode("positions").alias("pos"), F.lit("dv").alias("kind")))
+        made = [self._delete_rows(kind, paths) for kind in ("pos", "dv") if (paths := self.paths(kind, snapshot))]
         if not made:
             return self.spark.createDataFrame([], "path string, pos long")
         rows = made[0] if len(made) == 1 else made[0].unionByName(made[1])
-        return effective_positions(rows, entries)
+        return effective_positions(rows, self.entries(snapshot))
 
-    def deleted(self, snapshot: Snapshot | None = None) -> dict[str, int]:
-        """How many rows deletes take from each data file that they touch: one entry a file, kept with the snapshot."""
-        snapshot = snapshot or self.snapshot()
-        if snapshot.id not in self._deleted:
-            touched = self.paths("pos", snapshot) or self.paths("dv", snapshot)
-            rows = self.deletes(snapshot).groupBy("path").count().collect() if touched else []
-            self._deleted[snapshot.id] = {r["path"]: r["count"] for r in rows}
-        return self._deleted[snapshot.id]
+    def _gone(self, snapshot: Snapshot, paths: list[str]) -> tuple[set[str], DataFrame | None, int]:
+        """Which of these data files deletes touch, the deleted positions (may repeat), and how many there are at most.
+
+        Entries name what a delete file touches, so nothing but metadata is read to plan a scan.
+        """
+        wanted = set(paths)
+        data = {f.path: f.sequence for f in self.files(snapshot) if f.kind == "data"}
+        vectors = {f.target for f in self.files(snapshot) if f.kind == "dv"}
+        touched, plain, used, many = set(), True, {"pos": set(), "dv": set()}, 0
+        for f in self.files(snapshot):
+            if f.kind == "data":
+                continue
+            told = [f.target] if f.target else f.touched
+            targets = [t for t in told if t in data] if told is not None else [t for t in data if (f.lower_path or "") <= t and (f.upper_path is None or t <= f.upper_path)]
+            if not wanted.isdisjoint(targets):
+                touched |= wanted.intersection(targets)
+                used[f.kind].add(f.path)
+                many += f.record_count
+                plain &= told is not None and all(f.sequence >= data[t] and (f.kind == "dv" or t not in vectors) for t in targets)
+        if not touched:
+            return touched, None, 0
+        if not plain:
+            return touched, self.deletes(snapshot), many
+        made = [self._delete_rows(kind, sorted(files)).select("path", "pos") for kind, files in used.items() if files]
+        return touched, made[0] if len(made) == 1 else made[0].unionByName(made[1]), many
 
-    def live(self, snapshot: Snapshot | None = None, files: DataFrame | None = None) -> DataFrame:
+    def live(self, snapshot: Snapshot | None = None, files: DataFrame | list[str] | None = None) -> DataFrame:
         """Live rows with metadata columns; ``files`` (path) restricts the data files that are read.
 
         Files that no delete touches are only scanned.  Rows of the others meet the deleted positions: where the rows are
         if the positions are few, by a shuffle of these files' rows if not.
         """
         snapshot = snapshot or self.snapshot()
-        paths = self.paths("data", snapshot) if files is None else [r.path for r in files.select("path").collect()]
-        deleted = self.deleted(snapshot)
-        touched = [p for p in paths if p in deleted]
-        clean = self.positioned(snapshot, [p for p in paths if p not in deleted])
-        if not touched:
-            return clean
-        gone = self.deletes(snapshot).select(F.col("path").alias("_path"), F.col("pos").alias("_pos"))
-        gone = F.broadcast(gone) if sum(deleted.values()) <= BROADCAST_POSITIONS else gone
-        kept = self.positioned(snapshot, touched).join(gone, ["_path", "_pos"], "left_anti").select(clean.columns)
+        paths = self.paths("data", snapshot) if files is None else files if isinstance(files, list) else [r.path for r in files.select("path").collect()]
+        touched, gone, many = self._gone(snapshot, paths)
+        if gone is None:
+            return self.positioned(snapshot, paths)
+        clean = self.positioned(snapshot, [p for p in paths if p not in touched])
+        gone = gone.select(F.col("path").alias("_path"), F.col("pos").alias("_pos"))
+        gone = F.broadcast(gone) if many <= BROADCAST_POSITIONS else gone
+        kept = self.positioned(snapshot, [p for p in paths if p in touched]).join(gone, ["_path", "_pos"], "left_anti").select(clean.columns)
         return clean.unionByName(kept) if len(touched) < len(paths) else kept
 
     def read(self, snapshot_id: int | None = None, lineage: bool = False) -> DataFrame:
@@ -248,37 +314,47 @@ class Table:
         return self._data_entries(folder, spec, sequence, level, first_row_id, bool(order))
 
     def _data_entries(self, folder: str, spec: TableSpec, sequence: int, level: int, first_row_id: int, sorted_: bool) -> DataFrame:
-        read = self.spark.read.parquet(folder)
-        key = F.col(spec.key[0]) if spec.key else F.lit(None)
-        found = read.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size_bytes")).agg(F.count("*").alias("record_count"), F.min(key).cast("string").alias("key_lower"), F.max(key).cast("string").alias("key_upper"))
-        before = F.coalesce(F.sum("record_count").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a file
-        return found.select(
-            F.lit("added").alias("status"), F.lit("data").alias("kind"), "path", F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("lower_path"), F.lit(None).cast("string").alias("upper_path"),
-            F.lit(sequence).cast("long").alias("sequence"), "record_count", "size_bytes", F.lit(level).alias("level"), (F.lit(first_row_id) + before).alias("first_row_id"), "key_lower", "key_upper", F.lit(sorted_).alias("sorted"),
-        )
+        key = spec.key[0] if spec.key else None
+        kind = next((c.type for c in spec.columns if c.name == key), None)
+        files = self.store.sizes(folder)
+        if len(files) <= FOOTERS and (key is None or isinstance(kind, PLAIN_KEYS)):
+            found = [(path, size, *self.store.footer(path, key)) for path, size in files]
+        else:
+            value = F.col(key) if key else F.lit(None)
+            read = self.spark.read.parquet(folder).groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+            found = [tuple(r) for r in read.agg(F.count("*"), F.min(value).cast("string"), F.max(value).cast("string")).orderBy("path").collect()]  # one row a file
+        now, rows = int(time.time() * 1000), []
+        for path, size, n, lower, upper in found:
+            if n:
+                rows.append(("added", "data", path, None, None, None, sequence, n, size, level, first_row_id, lower, upper, sorted_, now, None))
+                first_row_id += n
+        return self.spark.createDataFrame(rows, ENTRY)
 
     def write_deletes(self, positions: DataFrame, sequence: int, format_version: int, prior: DataFrame | None = None) -> DataFrame:
         """Write (path, pos) as sorted position deletes, or for version 3 as one vector a target that holds ``prior`` positions too."""
-        folder = f"{self.root}/deletes/{uuid.uuid4().hex}"
+        folder, now = f"{self.root}/deletes/{uuid.uuid4().hex}", int(time.time() * 1000)
+        own = positions.select("path", "pos")
+        targets = sorted(r.path for r in own.select("path").distinct().collect())  # data files, not rows
+        rows: list[tuple] = []
+        if not targets:
+            return self.spark.createDataFrame(rows, ENTRY)
         if format_version == 2:
-            positions.select("path", "pos").distinct().repartitionByRange("path", "pos").sortWithinPartitions("path", "pos").write.parquet(folder)
-            read = self.spark.read.parquet(folder)
-            found = read.groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size_bytes")).agg(F.count("*").alias("record_count"), F.min("path").alias("lower_path"), F.max("path").alias("upper_path"))
-            found = found.withColumn("target", F.when(F.col("lower_path") == F.col("upper_path"), F.col("lower_path"))).withColumn("kind", F.lit("pos"))
+            own.distinct().repartitionByRange("path", "pos").sortWithinPartitions("path", "pos").write.parquet(folder)
+            for path, size in self.store.sizes(folder):
+                n, lower, upper = self.store.footer(path, "path")
+                if n:
+                    # Files are ranges of (path, pos), so all targets between a file's first and last are in it.
+                    touched = targets[bisect.bisect_left(targets, lower) : bisect.bisect_right(targets, upper)]
+                    rows.append(("added", "pos", path, lower if lower == upper else None, lower, upper, sequence, n, size, None, None, None, None, True, now, touched))
         else:
             from sluice.operators.deletes import vectors
 
-            targets = positions.select("path").distinct()
-            every = positions.select("path", "pos")
             if prior is not None:
-                every = every.unionByName(prior.join(targets, "path", "left_semi").select("path", "pos"))
-            vectors(every).write.parquet(folder)
-            read = self.spark.read.parquet(folder).withColumn("file", F.col("_metadata.file_path")).withColumn("size_bytes", F.col("_metadata.file_size"))
-            found = read.select("file", "size_bytes", F.size("positions").cast("long").alias("record_count"), F.col("path").alias("lower_path"), F.col("path").alias("upper_path"), F.col("path").alias("target"), F.lit("dv").alias("kind"))
-        return found.where("record_count > 0").select(
-            F.lit("added").alias("status"), "kind", F.col("file").alias("path"), "target", "lower_path", "upper_path", F.lit(sequence).cast("long").alias("sequence"), "record_count", "size_bytes",
-            F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("first_row_id"), F.lit(None).cast("string").alias("key_lower"), F.lit(None).cast("string").alias("key_upper"), F.lit(True).alias("sorted"),
-        )
+                own = own.unionByName(prior.where(F.col("path").isin(targets)).select("path", "pos"))
+            vectors(own).write.parquet(folder)
+            read = self.spark.read.parquet(folder).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.size("positions").alias("n"), "path")
+            rows = [("added", "dv", r.file, r.path, r.path, r.path, sequence, r.n, r.size, None, None, None, None, True, now, [r.path]) for r in read.collect()]  # one row a target
+        return self.spark.createDataFrame(rows, ENTRY)
 
 
 def removed(entries: DataFrame) -> DataFrame:
