@@ -54,7 +54,7 @@ def persist(df: DataFrame, label: str) -> DataFrame:
     try:
         for name, value in WRITING.items():
             spark.conf.set(name, value)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)  # a writer holds a row group
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -5,14 +5,14 @@ window first fills whole windows of its own; what is left goes into the open
 window where it fits best.  When it fits none and no more may be opened, the
 fullest window is filled with its head and emitted, or emitted as it is where
 the gap is too small to be worth a cut.  Windows still open at the end of a
-partition are leftovers: partitions are merged by groups of a fixed number, so
-the merge is as parallel as the input is large, and each group's leftovers are
-laid end to end and cut into full windows.  The last tail of a group is cut at
-powers of two, which need no padding.
-
-Packed pieces are written to the shared folder once; both halves of the result
-read from there.  Null and empty texts are documents of the closing id alone.
-Rows with null ids are packed like others.  Equal texts are packed separately.
+partition are leftovers: they are laid end to end and cut into full windows, and
+the last tail at powers of two, which need no padding.
+
+A partition is packed in one pass, whatever others hold: nothing is shuffled or
+kept between passes, and a lost task is packed again by itself.  Null and empty
+texts are documents of the closing id alone; very long texts fill windows of
+their own; rows with null ids are packed like others; equal texts are packed
+separately, and of pieces that fit equally well the window opened first gets them.
 """
 
 from __future__ import annotations
@@ -27,13 +27,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import lean, parts, persist
+from sluice.llm.common import fields, lean, parts
 
 #: Letters below U+0250 whose case folding and composition are one to one, and plain white space and marks.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ‐-‧‰-›€]*")
@@ -43,12 +42,11 @@ SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 @dataclass(frozen=True)
 class Settings:
     """size: ids of a window.  windows: open ones in a partition.  least: ids worth a cut.
-    together: partitions whose leftovers are merged.  closing: the id that ends a document."""
+    closing: the id that ends a document."""
 
     size: int = 2048
     windows: int = 32
     least: int = 16
-    together: int = 32
     closing: int = 1
 
 
@@ -173,9 +171,8 @@ class Packer:
                 self.held[w].append(head)
             yield self.held.pop(w)
 
-    def leftovers(self) -> Iterator[list[Piece]]:
-        for _, w in self.free:
-            yield self.held[w]
+    def leftovers(self) -> list[Piece]:
+        return [piece for _, w in self.free for piece in self.held[w]]
 
 
 def end_to_end(pieces: list[Piece], size: int) -> Iterator[list[Piece]]:
@@ -209,45 +206,36 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (packed; null without ``keep_ids``)."""
     with open(vocabulary, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # the vocabulary file, 1.7 MB
-    kind = docs.schema[id_col].dataType.simpleString()
-    piece_schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-    id_type = pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32()
-    types = [id_type, *[pa.int64()] * 6, pa.binary(), pa.int64()]
-    names = [id_col, *COLUMNS, "_group"]
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    schema = fields(own, "_id", "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, packer, part = Tokens(shared.value), Packer(settings), TaskContext.get().partitionId()
         closing, made = pack([settings.closing]), 0
         rows: list[tuple] = []
+        kind = pa.null()
 
         def batch_of() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * (len(COLUMNS) + 1)
+            types = [kind, *[pa.int64()] * 6, pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["_id", *COLUMNS])
 
         for batch in batches:
+            kind = batch.schema.field(0).type
             for some in parts(batch, 2 << 20):
                 for doc, ids in zip(some.column(0).to_pylist(), tokens.encode(some.column(1).to_pylist()), strict=True):
                     ids += closing
                     for window in packer.add(Piece(doc, 0, ids, len(ids) // 4)):
-                        rows += [(*r, None) for r in rows_of(window, part << 32 | made, keep_ids)]
+                        rows += rows_of(window, part << 32 | made, keep_ids)
                         made += 1
                 if len(rows) > 2000:
                     yield batch_of()
                     rows.clear()
-        for k, window in enumerate(packer.leftovers()):  # at most ``windows`` of ``size`` ids
-            rows += [(*r, part // settings.together) for r in rows_of(window, part << 32 | k, True)]
-        yield batch_of()
-
-    packed = persist(docs.select(id_col, text_col).mapInArrow(run, piece_schema + ", _group long"), "packing")
-
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sequence_id", "offset"], kind="stable")
-        pieces = [Piece(None if pd.isna(d) else d, int(s), bytes(i), int(t)) for d, s, i, t in zip(pdf[id_col], pdf["start"], pdf["ids"], pdf["doc_tokens"], strict=True)]
-        rows = [r for k, window in enumerate(end_to_end(pieces, settings.size)) for r in rows_of(window, 1 << 62 | int(key[0]) << 32 | k, keep_ids)]
-        out = pd.DataFrame(rows, columns=[id_col, *COLUMNS])
-        return out.astype({id_col: "Int64"}) if kind in ("bigint", "int") else out
-
-    # A group holds at most together * windows * size ids, whatever the input.
-    merged = packed.where(F.col("_group").isNotNull()).groupBy("_group").applyInPandas(merge, piece_schema)
-    return packed.where(F.col("_group").isNull()).drop("_group").unionByName(merged)
+        for window in end_to_end(packer.leftovers(), settings.size):  # at most ``windows`` of ``size`` ids
+            rows += rows_of(window, part << 32 | made, keep_ids)
+            made += 1
+        if rows:
+            yield batch_of()
+
+    return own.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
