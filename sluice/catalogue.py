@@ -161,6 +161,21 @@ def compaction_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read().select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
+@query(f"WITH {STATE} SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey, o_orderstatus FROM state")
+def maintenance_visit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits of maintenance, with limits that small tables reach, until nothing is left to do: the same rows, no fresh files."""
+    table = orders_table(spark, sf_dir, epochs=2)
+    policy = compaction.Policy(l0_files=(2, 32), delete_files=(2, 16), min_age_ms=0, group=(1, 32))
+    done = []
+    while (action := maintenance.visit(table, policy)) != "none":
+        done.append(action)
+        if len(done) > 20:
+            raise RuntimeError("maintenance doesn't come to an end")
+    if not {"consolidate", "rewrite"} <= set(done) or table.entries().where("level = 0").count():
+        raise RuntimeError(f"visits left work: {done}")
+    return table.read().select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
 @query(f"WITH {STATE} SELECT o_orderkey, o_orderstatus FROM state")
 def consolidation_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deletes consolidated and manifests rewritten: the same rows."""
@@ -312,10 +327,10 @@ def transaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.transaction_counts(samples.replication(spark, sf_dir)).select("xid", "begin_lsn", "end_lsn", "table_id", "mutations")
 
 
-@query("SELECT DISTINCT user_id + 7 AS xid, event_id - event_id % 3 AS end_lsn FROM events WHERE event_id - event_id % 3 > 500 AND event_id % 3 = 0")
+@query("SELECT user_id + 7 AS xid, event_id AS end_lsn FROM events WHERE event_id > 500")
 def duplicate_txn_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions that arrive again, or that are staged already, count once."""
-    t = samples.table(spark, sf_dir, "events").where("event_id % 3 = 0").select((F.col("user_id") + 7).alias("xid"), F.col("event_id").alias("end_lsn"))
+    t = samples.table(spark, sf_dir, "events").select((F.col("user_id") + 7).alias("xid"), F.col("event_id").alias("end_lsn"))
     return assembly.unseen(t.unionByName(t.where("end_lsn % 2 = 0")), 500)
 
 
@@ -346,6 +361,35 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.agg(F.count("*").alias("good")).crossJoin(dead.agg(F.count("*").alias("dead")))
 
 
+@query(f"WITH {KEPT} SELECT position, xid, subxid, table_id FROM kept WHERE (position // 10) % 17 = 0")
+def quarantine_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dead letters of a replication stream: no cell of the row, and nothing that a rollback removed."""
+    stream = samples.replication(spark, sf_dir)
+    payload = F.when(F.col("position") / 10 % 17 == 0, "x").otherwise(F.col("position").cast("string"))
+    return assembly.quarantined(assembly.surviving(stream).withColumn("payload", payload), F.expr("try_cast(payload as bigint)").isNotNull())[1]
+
+
+@query("SELECT event_id, ts, event_id AS end_lsn, 0 AS ordinal FROM events")
+def column_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The configured columns of a change log and the order of changes; excluded cells are never read."""
+    e = samples.table(spark, sf_dir, "events").withColumn("end_lsn", F.col("event_id")).withColumn("ordinal", F.lit(0))
+    return change_sources.project_columns(e, ["event_id", "ts"])
+
+
+@query("SELECT event_id FROM events WHERE event_id > 700")
+def snapshot_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes up to the position of a table's copy are in it already."""
+    e = samples.table(spark, sf_dir, "events").withColumn("end_lsn", F.col("event_id"))
+    return publish.after_cut(e, 700).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE NOT (user_id % 5 = 0 AND event_id % 4 = 3)")
+def excluded_subtransactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replay without the subtransactions that are known to be rolled back."""
+    e = samples.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("xid"), F.when((F.col("user_id") % 5 == 0) & (F.col("event_id") % 4 == 3), 1).otherwise(0).alias("subxid"))
+    return assembly.without_excluded(e, e.where("subxid = 1").select("xid", "subxid")).select("event_id")
+
+
 @query("""SELECT event_id AS position, CASE WHEN event_id % 23 = 0 THEN 'unknown kind' ELSE 'change without transaction or table' END AS fault FROM events WHERE event_id % 23 = 0 OR event_id % 29 = 0""")
 def stream_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = samples.table(spark, sf_dir, "events")
@@ -536,13 +580,6 @@ def resolve_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.resolve_unchanged(partial, o, KEYS, ["o_custkey", "o_orderpriority"])
 
 
-@query("""WITH s AS (SELECT event_id AS id, event_id - 1 AS parent, event_id AS sequence, event_id * 1000 AS ts_ms, row_number() OVER (ORDER BY event_id DESC) AS r FROM events WHERE event_id < 2000), n AS (SELECT count(*) AS c, max(ts_ms) AS now FROM s),
-h AS (SELECT s.*, r <= 100 OR sequence >= (SELECT max(sequence) - 150 FROM s) AS held FROM s), f AS (SELECT h.*, row_number() OVER (PARTITION BY held ORDER BY sequence) AS o FROM h)
-SELECT id, CASE WHEN held THEN 'protected' WHEN o <= c - 700 THEN 'forced' WHEN ts_ms >= now - 500000 THEN 'window' ELSE 'aged' END AS fate FROM f, n""")
-def snapshot_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fates(samples.table(spark, sf_dir, "events").where("event_id < 2000"))
-
-
 def fates(events: DataFrame) -> DataFrame:
     n = F.col("event_id")
     s = events.select(n.alias("id"), (n - 1).alias("parent"), n.alias("sequence"), (n * 1000).alias("ts_ms"))
@@ -554,8 +591,8 @@ def fates(events: DataFrame) -> DataFrame:
 @query("""WITH s AS (SELECT event_id AS id, event_id AS sequence, event_id * 1000 AS ts_ms, row_number() OVER (ORDER BY event_id DESC) AS r FROM events), n AS (SELECT count(*) AS c, max(ts_ms) AS now FROM s),
 h AS (SELECT s.*, r <= 100 OR sequence >= (SELECT max(sequence) - 150 FROM s) AS held FROM s), f AS (SELECT h.*, row_number() OVER (PARTITION BY held ORDER BY sequence) AS o FROM h)
 SELECT id, CASE WHEN held THEN 'protected' WHEN o <= c - 700 THEN 'forced' WHEN ts_ms >= now - 500000 THEN 'window' ELSE 'aged' END AS fate FROM f, n""")
-def snapshot_retention_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``snapshot_retention`` over all events, so that the history grows with the tables."""
+def snapshot_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fate of a history of one snapshot an event."""
     return fates(samples.table(spark, sf_dir, "events"))
 
 
@@ -775,6 +812,21 @@ def stream_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read()
 
 
+@query(f"WITH {STATE} SELECT * FROM state")
+def blocked_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table is held back while three batches of its changes arrive; afterwards it has them all, in order."""
+    root = f"{workspace(spark)}/blocked-{uuid.uuid4().hex}"
+    log = samples.order_log(spark, sf_dir)
+    for low, high in itertools.pairwise((0, 2_000_000_000, 3_000_000_000, 1 << 60)):
+        log.where((F.col("end_lsn") >= low) & (F.col("end_lsn") < high)).coalesce(1).write.mode("append").parquet(f"{root}/log")
+    table, control = orders_table(spark, sf_dir, epochs=0), ingest.Control(spark, f"{root}/control")
+    stream = change_sources.read_stream(spark, f"{root}/log", log.schema, 1)
+    ingest.ingest(stream, {"orders": table}, lambda batch, _: batch, "sample", f"{root}/checkpoint", control, lambda _: "pause").awaitTermination()
+    if len(control.waiting("orders")) != 3 or control.blocked() != {"orders": "maintenance_pressure"} or not ingest.catch_up("orders", table, control, "sample"):
+        raise RuntimeError("changes of a blocked table must wait and be published afterwards")
+    return table.read()
+
+
 @query(f"WITH {KEPT} SELECT count(*) AS changes, count(DISTINCT k.xid) AS transactions, max(e.last + 4) AS last_lsn FROM kept k JOIN ends e ON k.xid = e.xid WHERE k.xid % 9 <> 0")
 def stream_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A replication stream in files that cut through transactions, journaled as complete transactions."""

@@ -90,10 +90,13 @@ def blocks(changes: DataFrame, append_only: list[int]) -> DataFrame:
     return found.groupBy("table_id").agg(F.min_by("reason", "position").alias("reason"), F.min("position").alias("position"))
 
 
-def quarantined(changes: DataFrame, legal: F.Column) -> tuple[DataFrame, DataFrame]:
-    """Changes whose payload can be decoded, and the dead letters, identity and table only."""
+def quarantined(changes: DataFrame, legal: F.Column, identity: tuple[str, ...] = ("position", "xid", "subxid", "table_id")) -> tuple[DataFrame, DataFrame]:
+    """Changes whose payload can be decoded, and the dead letters: where they stood and of which table, no cell of the row.
+
+    Of a stream's changes take :func:`surviving` first: what a savepoint rollback removes was quarantined for the time being.
+    """
     good = F.coalesce(legal, F.lit(False))
-    return changes.where(good), changes.where(~good)
+    return changes.where(good), changes.where(~good).select([c for c in identity if c in changes.columns])
 
 
 def unseen(transactions: DataFrame, staged_lsn: int) -> DataFrame:

@@ -41,7 +41,7 @@ def test_query(spark, sql, name):
     assert got == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall())
 
 
-@pytest.mark.parametrize("name, operator", [("ledger_faults", "ledger.registration_faults"), ("snapshot_retention_history", "retention.expiration")])
+@pytest.mark.parametrize("name, operator", [("ledger_faults", "ledger.registration_faults"), ("snapshot_retention", "retention.expiration")])
 def test_all_events_reach_the_operator(spark, monkeypatch, name, operator):
     data = DATA.replace("sf0.001", "sf0.01")
     seen = []

@@ -38,18 +38,61 @@ def test_a_failing_table_is_blocked_and_others_go_on(spark, tmp_path):
         tables[name] = Table.create(spark, f"{tmp_path}/{name}", schema.infer_spec(base, name, ("id",)))
         publish.copy(tables[name], base, 0, 1)
     control = ingest.Control(spark, f"{tmp_path}/control")
+    schema_of = spark.createDataFrame([], LOG).schema
+    route = lambda batch, name: batch if name == "a" else batch.selectExpr("id + 50 as id", "v", "end_lsn", "ordinal", "half", "if(id = 1, 'U', op) as op", "unchanged")
+    run = lambda: ingest.ingest(read_stream(spark, f"{tmp_path}/log", schema_of), tables, route, "s", f"{tmp_path}/cp", control, pause_ms=1).awaitTermination()
     add(spark, f"{tmp_path}/log", [(1, "y", 1, 0, 0, "U", []), (5, "n", 2, 0, 0, "I", [])], LOG)
-    stream = read_stream(spark, f"{tmp_path}/log", spark.createDataFrame([], LOG).schema)
-    route = lambda batch, name: batch if name == "a" else batch.selectExpr("id + 50 as id", "v", "end_lsn", "ordinal", "half", "'U' as op", "unchanged")
-    ingest.ingest(stream, tables, route, "s", f"{tmp_path}/cp", control).awaitTermination()
+    run()
     assert sorted((r.id, r.v) for r in tables["a"].read().collect()) == [(1, "y"), (5, "n")]
-    assert [(r.id, r.v) for r in tables["b"].read().collect()] == [(1, "x")] and control.blocked() == {"b": "conflict"}
-    control.record("b", "")
-    assert control.blocked() == {}
-    control.record("b", "truncate")
+    assert [(r.id, r.v) for r in tables["b"].read().collect()] == [(1, "x")] and control.blocked() == {"b": "external_mutation"}
+    for n in (6, 7):
+        add(spark, f"{tmp_path}/log", [(n, "n", n, 0, 0, "I", [])], LOG)
+        run()
+    assert tables["a"].read().count() == 4 and tables["b"].read().count() == 1
+    assert {r.table_name: (r.rows, r.waiting, r.blocked) for r in ingest.status(tables, control).collect()} == {"a": (5, 0, None), "b": (1, 3, "external_mutation")}
+    # Once the missing row is there, all that waited is published, in order.
+    publish.publish(tables["b"], spark.createDataFrame([(51, "x", 1, 0, 0, "I", [])], LOG), "repair")
+    assert ingest.catch_up("b", tables["b"], control, "s")
+    assert sorted((r.id, r.v) for r in tables["b"].read().collect()) == [(1, "x"), (51, "y"), (55, "n"), (56, "n"), (57, "n")]
+    assert control.blocked() == {} and control.waiting("b") == []
+
+
+def test_blocks_keep_their_code_and_back_off(spark, tmp_path):
+    control = ingest.Control(spark, f"{tmp_path}/control")
+    control.record("t", "storage_unavailable", 1000)
+    control.record("t", "source_schema_incompatible", 2000)
+    control.record("t", "storage_unavailable", 3000)
+    block = control.blocks()["t"]
+    assert (block["code"], block["attempts"], block["blocked_at_ms"], block["retry_at_ms"]) == ("source_schema_incompatible", 3, 1000, 7000)
     with pytest.raises(ValueError, match="copy"):
-        control.record("b", "")
-    assert {r.table_name: r.rows for r in ingest.status(tables).collect()} == {"a": 3, "b": 1}
+        control.lift("t")
+    control.lift("t", copied=True)
+    assert control.blocked() == {}
+    with pytest.raises(ValueError, match="unknown"):
+        control.record("t", "anything")
+    control.bind("a")
+    control.bind("a")
+    with pytest.raises(ValueError, match="source a"):
+        control.bind("b")
+
+
+def test_passing_faults_are_tried_again_and_block_nothing(spark, tmp_path, monkeypatch):
+    base = spark.createDataFrame([(1, "x")], "id long, v string")
+    table = Table.create(spark, f"{tmp_path}/t", schema.infer_spec(base, "t", ("id",)))
+    publish.copy(table, base, 0, 1)
+    control, calls = ingest.Control(spark, f"{tmp_path}/control"), []
+
+    def flaky(*args):
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("connection reset by peer")
+        return publish.publish(*args)
+
+    monkeypatch.setattr(ingest, "publish", flaky)
+    add(spark, f"{tmp_path}/log", [(2, "n", 1, 0, 0, "I", [])], LOG)
+    stream = read_stream(spark, f"{tmp_path}/log", spark.createDataFrame([], LOG).schema)
+    ingest.ingest(stream, {"t": table}, lambda batch, _: batch, "s", f"{tmp_path}/cp", control, pause_ms=1).awaitTermination()
+    assert len(calls) == 3 and table.read().count() == 2 and control.blocked() == {}
 
 
 def test_locks_of_dead_writers_are_cleared(spark, tmp_path):
