@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.functions import scalars, texts
+from sluice.functions import decode, scalars, texts
 from sluice.operators import assembly, collapse, deletes, layout, ledger, reconcile
 from sluice.plans import compaction, maintenance, publish, retention, scheduling, schema
 from sluice.plans.storage import workspace
@@ -718,9 +718,11 @@ def numeric_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.orders(spark, sf_dir).select("o_orderkey", scalars.numeric_text(text).alias("number"))
 
 
-@query()
+@query("SELECT vec_id, '[' || array_to_string([CAST(CAST(floor(CAST(x AS DOUBLE) * 1000) AS BIGINT) AS VARCHAR) || '.0' FOR x IN embedding], ',') || ']' AS vector FROM embeddings")
 def vector_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples.table(spark, sf_dir, "embeddings").select("vec_id", scalars.vector_json(F.col("embedding")).alias("vector"))
+    """Vectors as JSON, of whole thousandths, whose text SQL can print."""
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("float"))
+    return samples.table(spark, sf_dir, "embeddings").select("vec_id", scalars.vector_json(whole).alias("vector"))
 
 
 @query("SELECT o_custkey, '[' || string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) || ',null]' AS items FROM orders GROUP BY o_custkey")
@@ -729,9 +731,27 @@ def array_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("o_custkey", scalars.array_json(F.concat("a", F.array(F.lit(None).cast("long"))), "long").alias("items"))
 
 
-@query()
+@query("""SELECT event_id, replace(props, ' ', '') AS props, '{"a":[1,null,{"x":' || user_id || '}],"b":' || event_id || '}' AS mixed FROM events""")
 def json_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples.table(spark, sf_dir, "events").select("event_id", texts.json_normalize("props").alias("props"))
+    """JSON without white space, keys in order, the last of repeated keys."""
+    e, mixed = samples.table(spark, sf_dir, "events"), F.format_string('{ "b" : 7, "a" :[1,\n null , {"x" : %d} ] ,"b":%d}', F.col("user_id"), F.col("event_id"))
+    return e.select("event_id", texts.json_normalize("props").alias("props"), texts.json_normalize(mixed).alias("mixed"))
+
+
+@query("""WITH c AS (SELECT *, CASE WHEN o_orderkey % 17 = 0 THEN 'o_custkey' WHEN o_orderkey % 13 = 0 THEN 'day' WHEN o_orderkey % 11 = 0 THEN 'zoned' END AS fault FROM orders)
+SELECT o_orderkey, fault, CASE WHEN fault IS NULL THEN o_custkey END AS o_custkey, CASE WHEN fault IS NULL THEN CAST(o_orderdate AS DATE) END AS day, CASE WHEN fault IS NULL THEN epoch_us(o_orderdate) END AS plain_micros,
+  CASE WHEN fault IS NULL THEN epoch_us(o_orderdate) - 5400000000 END AS zoned_micros, CASE WHEN fault IS NULL THEN o_custkey % 2 = 0 END AS flag, CASE WHEN fault IS NULL THEN CAST(o_custkey AS DOUBLE) / 4 END AS amount FROM c""")
+def text_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a text log as values; rows with a cell that can't be decoded name it and keep no other."""
+    o, n = samples.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    stamp = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    log = o.select(
+        "o_orderkey", F.when(n % 17 == 0, "12x").otherwise(F.col("o_custkey").cast("string")).alias("o_custkey"), F.when(n % 13 == 0, "2023-02-29").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"), stamp.alias("plain"),
+        F.when(n % 11 == 0, "infinity").otherwise(F.concat(stamp, F.lit("+01:30"))).alias("zoned"), F.when(F.col("o_custkey") % 2 == 0, "t").otherwise("f").alias("flag"), (F.col("o_custkey").cast("decimal(12,3)") / 4).cast("decimal(12,3)").cast("string").alias("amount"),
+    )
+    done = decode.decode(log, {"o_custkey": "int8", "day": "date", "plain": "timestamp", "zoned": "timestamptz", "flag": "bool", "amount": "numeric(12,3)"})
+    plain = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', plain)")
+    return done.select("o_orderkey", "fault", "o_custkey", "day", plain.alias("plain_micros"), F.unix_micros("zoned").alias("zoned_micros"), "flag", F.col("amount").cast("double").alias("amount"))
 
 
 @query("SELECT printf('%08x-%04x-%04x-%04x-%012x', o_orderkey, o_custkey % 65536, o_custkey % 4096, o_orderkey % 65536, o_orderkey * 3) AS uuid FROM orders")

@@ -1,6 +1,6 @@
 """Cells of a change log from their text form, as expressions that refuse instead of guessing.
 
-``decoded`` gives the value of a legal text and null for any other; ``fault`` names
+``decoded`` gives the value of a legal text and null for any other; ``decode`` names
 the first cell of a row that isn't null and can't be decoded.  Infinite dates and
 timestamps, numbers with white space around them, digits beyond a scale and values
 outside a type's range are refused.
@@ -8,6 +8,8 @@ outside a type's range are refused.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ STAMP = r"^([0-9]{4,7}-[0-9]{2}-[0-9]{2}) ([0-9]{2}):([0-9]{2}):([0-9]{2})(?:\.(
 OFFSET = r"([+-][0-9]{2}(?::[0-9]{2}(?::[0-9]{2})?)?)"
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def part(text: Column, pattern: str, group: int) -> Column:
     """A group of a match as a number; null where it doesn't match or is empty."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("bigint")
@@ -33,18 +40,21 @@ def part(text: Column, pattern: str, group: int) -> Column:
 
 def days_of(text: Column) -> Column:
     """Days since 1970 of a date of any year, ``BC`` included; null for other text and for days that don't exist."""
-    year, month, day = (part(text, DATE, i) for i in (1, 2, 3))
-    year = F.when(F.regexp_extract(text, DATE, 4) != "", 1 - year).otherwise(year)
-    # Years count from March, so that the leap day is the last of its year.
-    shifted = year - (month <= 2).cast("long")
-    cycle = F.floor(shifted / 400)
-    of_cycle = shifted - cycle * 400
-    of_year = F.floor((153 * ((month + 9) % 12) + 2) / 5) + day - 1
-    days = cycle * 146_097 + of_cycle * 365 + F.floor(of_cycle / 4) - F.floor(of_cycle / 100) + of_year - 719_468
-    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-    longest = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    legal = text.rlike(DATE) & part(text, DATE, 1).between(1, 5_900_000) & month.between(1, 12) & day.between(1, longest)
-    return F.when(legal & (days >= FIRST_DAY) & (days < LAST_DAY), days)
+
+    def days(d: Column) -> Column:
+        year, month, day = F.when(d["era"] != "", 1 - d["year"]).otherwise(d["year"]), d["month"], d["day"]
+        # Years count from March, so that the leap day is the last of its year.
+        shifted = year - (month <= 2).cast("long")
+        cycle = F.floor(shifted / 400)
+        of_cycle = shifted - cycle * 400
+        of_year = F.floor((153 * ((month + 9) % 12) + 2) / 5) + day - 1
+        found = cycle * 146_097 + of_cycle * 365 + F.floor(of_cycle / 4) - F.floor(of_cycle / 100) + of_year - 719_468
+        leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+        longest = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+        return F.when(d["year"].between(1, 5_900_000) & month.between(1, 12) & day.between(1, longest), found)
+
+    names = F.struct(*[part(text, DATE, i).alias(n) for i, n in enumerate(("year", "month", "day"), 1)], F.regexp_extract(text, DATE, 4).alias("era"))
+    return bound(bound(names, days), lambda d: F.when((d >= FIRST_DAY) & (d < LAST_DAY), d))
 
 
 def offset_seconds(text: Column) -> Column:
@@ -58,14 +68,17 @@ def offset_seconds(text: Column) -> Column:
 def micros_of(text: Column, zoned: bool) -> Column:
     """Microseconds since 1970 of a timestamp, with an offset if ``zoned``; null for other text."""
     pattern = STAMP + (OFFSET if zoned else "()") + "( BC)?$"
-    days = days_of(F.concat(F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 7)))
-    hour, minute, second = (part(text, pattern, i) for i in (2, 3, 4))
-    fraction = F.rpad(F.regexp_extract(text, pattern, 5), 6, "0").try_cast("bigint")
-    shift = offset_seconds(F.regexp_extract(text, pattern, 6)) if zoned else F.lit(0)
-    # Days of the farthest years times microseconds leave 64 bits.
-    micros = days.cast("decimal(38,0)") * DAY_MICROS + ((hour * 3600 + minute * 60 + second - shift) * 1_000_000 + fraction).cast("decimal(38,0)")
-    legal = text.rlike(pattern) & (hour <= 23) & (minute <= 59) & (second <= 59)
-    return F.when(legal & (micros >= FIRST_MICROS) & (micros < LAST_MICROS), micros.cast("bigint"))
+
+    def micros(p: Column) -> Column:
+        # Days of the farthest years times microseconds leave 64 bits.
+        found = p["days"].cast("decimal(38,0)") * DAY_MICROS + ((p["hour"] * 3600 + p["minute"] * 60 + p["second"] - p["shift"]) * 1_000_000 + p["fraction"]).cast("decimal(38,0)")
+        return F.when((p["hour"] <= 23) & (p["minute"] <= 59) & (p["second"] <= 59), found)
+
+    pieces = F.struct(
+        days_of(F.concat(F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 7))).alias("days"), *[part(text, pattern, i).alias(n) for i, n in ((2, "hour"), (3, "minute"), (4, "second"))],
+        F.rpad(F.regexp_extract(text, pattern, 5), 6, "0").try_cast("bigint").alias("fraction"), (offset_seconds(F.regexp_extract(text, pattern, 6)) if zoned else F.lit(0)).alias("shift"),
+    )
+    return bound(bound(pieces, micros), lambda m: F.when((m >= FIRST_MICROS) & (m < LAST_MICROS), m.cast("bigint")))
 
 
 def naive(micros: Column) -> Column:
@@ -107,12 +120,9 @@ def decoded(kind: str, text: Column) -> Column:
     raise ValueError(f"unknown kind {kind}")
 
 
-def fault(kinds: dict[str, str]) -> Column:
-    """The first column whose text isn't null and can't be decoded, else null."""
-    return F.coalesce(*[F.when(F.col(c).isNotNull() & decoded(kind, F.col(c)).isNull(), F.lit(c)) for c, kind in kinds.items()], F.lit(None).cast("string"))
-
-
 def decode(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """Text columns as values, with ``fault``; a row with a fault keeps no cell of it."""
-    found = rows.withColumn("fault", fault(kinds))
-    return found.withColumns({c: F.when(F.col("fault").isNull(), decoded(kind, F.col(c))) for c, kind in kinds.items()})
+    """Text columns as values, with ``fault``: the first column whose text isn't null and can't be decoded; such a row keeps no cell."""
+    values = rows.withColumns({f"_{c}": decoded(kind, F.col(c)) for c, kind in kinds.items()})
+    wrong = [F.when(F.col(c).isNotNull() & F.col(f"_{c}").isNull(), F.lit(c)) for c in kinds]
+    found = values.withColumn("fault", F.coalesce(*wrong, F.lit(None).cast("string")))
+    return found.withColumns({c: F.when(F.col("fault").isNull(), F.col(f"_{c}")) for c in kinds}).drop(*[f"_{c}" for c in kinds])

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import time
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.functions import scalars
+from sluice.operators import reconcile
 from sluice.operators.deletes import applicable
 from sluice.plans import compaction
 from sluice.plans.storage import persist
@@ -43,39 +46,100 @@ def delete_inventory(table: Table, snapshot: Snapshot | None = None) -> DataFram
     return joined.groupBy("path", "size_bytes", "row_count").agg(F.sort_array(F.collect_set("target")).alias("targets"))
 
 
-def rewrite(table: Table, paths: list[str], level: int, files: int = 1) -> Snapshot:
-    """Live rows of data files as new ones, in a ``replace`` snapshot that changes no row.
+@dataclass(frozen=True)
+class Build:
+    """A rewrite whose files are written but not committed: its inputs as of a snapshot, and the entries it adds."""
 
-    Rows keep version, id and last change.  Built against a snapshot; if another came first, what it deleted of these
-    files is applied by building again.
+    base: int
+    paths: tuple[str, ...]
+    level: int
+    made: DataFrame
+    rows: int
+
+
+def build(table: Table, paths: list[str], level: int, files: int = 1, file_bytes: int | None = None) -> Build:
+    """Write live rows of data files as new ones, next to whatever the table goes on to do; :func:`finish` commits them.
+
+    Rows keep version, id and last change.  ``file_bytes`` is how large files may get, by the size of rows so far.
+    """
+    base, chosen = table.snapshot(), sorted(set(paths))
+    inputs = table.entries(base).where("kind = 'data'").where(F.col("path").isin(chosen)).collect()  # the files of one rewrite
+    if len(inputs) != len(chosen):
+        raise ValueError("a file to rewrite isn't live")
+    ids = table.spark.createDataFrame([(f.path, f.first_row_id, f.sequence) for f in inputs], "_path string, first_row_id long, sequence long")
+    rows = table.live(base, chosen).join(F.broadcast(ids), "_path")
+    rows = rows.withColumn("_row_id", F.coalesce("_row_id", F.col("first_row_id") + F.col("_pos"))).withColumn("_changed_at", F.coalesce("_changed_at", "sequence"))
+    size, count = sum(f.size_bytes for f in inputs), sum(f.record_count for f in inputs)
+    most = max(1, file_bytes * count // max(1, size)) if file_bytes else None
+    made = table.write_data(rows.select(*base.spec.names, *META), base.spec, base.id + 1, level, base.next_row_id, "rewrite", files, most)
+    return Build(base.id, tuple(chosen), level, made, made.agg(F.sum("record_count")).first()[0] or 0)
+
+
+def late_deletes(table: Table, done: Build, head: Snapshot) -> DataFrame:
+    """(path, pos) in a build's new files of rows that were deleted from its inputs since its base, by their row ids."""
+    own = lambda s: table.deletes(s).where(F.col("path").isin(list(done.paths)))
+    late = own(head).join(own(table.snapshot(done.base)), ["path", "pos"], "left_anti")
+    old = table.positioned(head, list(done.paths)).join(table.entries(head).where("kind = 'data'").select(F.col("path").alias("_path"), "first_row_id"), "_path")
+    gone = old.join(late.select(F.col("path").alias("_path"), F.col("pos").alias("_pos")), ["_path", "_pos"], "left_semi").select(F.coalesce("_row_id", F.col("first_row_id") + F.col("_pos")).alias("_row_id"))
+    new = table.positioned(head, [r.path for r in done.made.select("path").collect()]).select("_row_id", "_path", "_pos")
+    moves = new.join(gone, "_row_id", "left_semi")
+    return moves.select(F.col("_path").alias("path"), F.col("_pos").alias("pos"))
+
+
+def finish(table: Table, done: Build) -> Snapshot:
+    """Commit a build on the newest snapshot; deletes that reached its inputs meanwhile move along to its files.
+
+    Inputs that another rewrite took make it useless: that raises ``LookupError``.
     """
 
     def attempt() -> Snapshot:
-        base = table.snapshot()
-        chosen = set(paths)
-        inputs = table.entries(base).where("kind = 'data'").where(F.col("path").isin(sorted(chosen))).collect()  # the files of one rewrite
+        head, chosen = table.snapshot(), list(done.paths)
+        inputs = table.entries(head).where("kind = 'data'").where(F.col("path").isin(chosen)).collect()
         if len(inputs) != len(chosen):
-            raise ValueError("a file to rewrite isn't live")
-        rows = table.live(base, sorted(chosen))
-        ids = table.spark.createDataFrame([(f.path, f.first_row_id, f.sequence) for f in inputs], "_path string, first_row_id long, sequence long")
-        rows = rows.join(F.broadcast(ids), "_path").withColumn("_row_id", F.coalesce("_row_id", F.col("first_row_id") + F.col("_pos"))).withColumn("_changed_at", F.coalesce("_changed_at", "sequence"))
-        made = table.write_data(rows.select(*base.spec.names, *META), base.spec, base.id + 1, level, base.next_row_id, "rewrite", files)
-        n = made.agg(F.sum("record_count")).first()[0] or 0
+            raise LookupError("another rewrite took files of this build")
+        # Positions in the new files count from this commit on, their row ids from the table's.
         gone = table.spark.createDataFrame(inputs, ENTRY)
+        made = done.made.withColumn("sequence", F.lit(head.id + 1).cast("long")).withColumn("first_row_id", F.col("first_row_id") + F.lit(head.next_row_id - table.snapshot(done.base).next_row_id))
         changes = removed(gone).unionByName(made)
-        if any(f.kind != "data" for f in table.files(base)):
+        if head.id != done.base:
+            changes = changes.unionByName(table.write_deletes(late_deletes(table, done, head), head.id + 1, head.spec.format_version))
+        if any(f.kind != "data" for f in table.files(head)):
             # Deletes that no surviving file needs go; positions on rewritten files that shared ones keep are harmless.
-            entries = table.entries(base).withColumn("partition", F.lit(0))
+            entries = table.entries(head).withColumn("partition", F.lit(0))
             deletes = entries.where("kind <> 'data'")
-            survivors = entries.where("kind = 'data'").where(~F.col("path").isin(sorted(chosen)))
+            survivors = entries.where("kind = 'data'").where(~F.col("path").isin(chosen))
             needed = applicable(deletes.select("path", "kind", "target", "lower_path", "upper_path", "sequence", "partition"), survivors.select("path", "sequence", "partition"))
             own = deletes.drop("partition").join(needed.select(F.col("delete_path").alias("path")).distinct(), "path", "left_anti")
             changes = changes.unionByName(removed(own.select(made.columns)))
-        return table.commit(base, "replace", changes, {"rewrote": len(chosen), "level": f"L{level}"}, next_row_id=base.next_row_id + n)
+        return table.commit(head, "replace", changes, {"rewrote": len(chosen), "level": f"L{done.level}"}, next_row_id=head.next_row_id + done.rows)
 
     return with_retry(attempt)
 
 
+def rewrite(table: Table, paths: list[str], level: int, files: int = 1, file_bytes: int | None = None) -> Snapshot:
+    """Live rows of data files as new ones, in a ``replace`` snapshot that changes no row."""
+    return finish(table, build(table, paths, level, files, file_bytes))
+
+
+def judge(table: Table, id: int) -> str:
+    """Whether a ``replace`` snapshot, of whichever writer, kept all rows of its parent: ``equivalent`` or ``external_mutation``.
+
+    Only rows of files that the snapshot removed or added are compared, by key or, without one, as a multiset.
+    """
+    after = table.snapshot(id)
+    before = table.snapshot(after.parent)
+    old, new = ({f.path for f in table.files(s) if f.kind == "data"} for s in (before, after))
+    same = [p for p in old & new]
+    if reconcile.delete_set_difference(*(table.deletes(s).where(F.col("path").isin(same)) for s in (before, after))).first() != (0, 0):
+        return "external_mutation"
+    marked = lambda s, paths: table.live(s, sorted(paths)).withColumn("fingerprint", scalars.fingerprint(*[F.col(c) for c in before.spec.names]))
+    rows = marked(before, old - new), marked(after, new - old)
+    found = reconcile.reconcile_keyed(*rows, list(before.spec.key)) if before.spec.key else reconcile.reconcile_multiset(*rows)
+    counts = found.first().asDict()
+    counts.pop("matched")
+    return "external_mutation" if any(counts.values()) else "equivalent"
+
+
 def planned(table: Table, policy: compaction.Policy = compaction.Policy(), now_ms: int | None = None) -> compaction.Plan | None:
     """The group of files that the planner would rewrite next, deletes and their budgets included."""
     snapshot = table.snapshot()
@@ -86,7 +150,7 @@ def planned(table: Table, policy: compaction.Policy = compaction.Policy(), now_m
 def compact(table: Table, policy: compaction.Policy = compaction.Policy(), now_ms: int | None = None) -> Snapshot | None:
     """Rewrite the group that the planner chooses, if any."""
     chosen = planned(table, policy, now_ms)
-    return chosen and rewrite(table, sorted(chosen.inputs), chosen.level)
+    return chosen and rewrite(table, sorted(chosen.inputs), chosen.level, file_bytes=chosen.target_bytes)
 
 
 def consolidate(table: Table, policy: compaction.Policy | None = None) -> Snapshot | None:
@@ -133,7 +197,7 @@ def visit(table: Table, policy: compaction.Policy = compaction.Policy(), now_ms:
         return action
     chosen = compaction.plan(files, deletes, policy)
     if choose(known | {"most_deletes": 0, "shared": 0}, policy, chosen) == "rewrite":
-        rewrite(table, sorted(chosen.inputs), chosen.level)
+        rewrite(table, sorted(chosen.inputs), chosen.level, max(1, -(-chosen.input_bytes // chosen.target_bytes)))
         return "rewrite"
     if len(snapshot.manifests) >= policy.manifests:
         table.rewrite_manifests()

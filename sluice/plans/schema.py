@@ -82,6 +82,48 @@ def infer_spec(df: DataFrame, name: str, key: tuple[str, ...] = (), **more) -> T
     return TableSpec(name, columns, tuple(key), append_only=not key, **more)
 
 
+def discover(relations: dict[str, DataFrame], keys: dict[str, tuple[str, ...]] | None = None, format_version: int = 2) -> dict:
+    """A configuration for source relations: each with its columns, types, key and mode, and what keeps a column out."""
+    tables = []
+    for name, df in sorted(relations.items()):
+        key = tuple((keys or {}).get(name, ()))
+        legal = [f for f in df.schema.fields if isinstance(f.dataType, SCALARS)]
+        spec = infer_spec(df.select(*[f"`{f.name}`" for f in legal]), name, key, format_version=format_version)
+        tables.append(spec.to_json() | {"excluded": {f.name: f"unsupported type {f.dataType.simpleString()}" for f in df.schema.fields if f not in legal}})
+    return {"tables": tables}
+
+
+def configured(config: dict) -> list[TableSpec]:
+    """The specifications of a configuration as :func:`discover` makes them."""
+    return [TableSpec.from_json({k: v for k, v in t.items() if k != "excluded"}) for t in config["tables"]]
+
+
+def preflight(relations: dict[str, DataFrame], specs: list[TableSpec]) -> DataFrame:
+    """(table_name, check, ok, detail): whether each relation can be copied as its specification says, all rows looked at once."""
+    out = []
+    for spec in specs:
+        df = relations.get(spec.name)
+        add = lambda check, ok, detail="", spec=spec: out.append((spec.name, check, ok, detail))
+        add("relation exists", df is not None)
+        if df is None:
+            continue
+        missing = [c.name for c in spec.columns if c.name not in df.columns]
+        add("columns exist", not missing, ", ".join(missing))
+        if missing:
+            continue
+        required = [c.name for c in spec.columns if not c.nullable]
+        fault = violations(df, spec)
+        found = df.agg(F.count("*").alias("n"), F.count(fault).alias("bad"), F.min(fault).alias("first"), *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"null_{i}") for i, c in enumerate(required)]).first()
+        nulls = [c for i, c in enumerate(required) if found[f"null_{i}"]]
+        add("required columns hold no nulls", not nulls, ", ".join(nulls))
+        add("values fit their types", not found["bad"], found["first"] or "")
+        if spec.key:
+            repeated = df.groupBy(*spec.key).count().where("count > 1").limit(1).count()
+            add("key is unique", not repeated)
+    spark = next(iter(relations.values())).sparkSession
+    return spark.createDataFrame(out, "table_name string, check string, ok boolean, detail string")
+
+
 def check_successor(old: TableSpec, new: TableSpec) -> None:
     """Raise unless ``new`` only appends nullable columns and relaxes columns outside the key."""
     if new.name != old.name or new.version != old.version + 1 or new.key != old.key or new.append_only != old.append_only:

@@ -102,11 +102,11 @@ class Table:
 
     def unreachable(self, grace_ms: int = 0, now_ms: int | None = None) -> DataFrame:
         """(path) of data and delete files below the table's folder that no retained snapshot needs and that are older than the grace."""
-        there = [f"{folder}/{name}/*.parquet" for folder in ("data", "deletes") for name in self.store.list(folder)]
+        there = [f"{self.root}/{folder}" for folder in ("data", "deletes") if self.store.exists(folder)]
         if not there:
             return self.spark.createDataFrame([], "path string")
         before = F.timestamp_millis(F.lit((now_ms or int(time.time() * 1000)) - grace_ms))
-        every = self.spark.read.format("binaryFile").load([f"{self.root}/{t}" for t in there]).where(F.col("modificationTime") <= before).select("path")
+        every = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(there).where(F.col("modificationTime") <= before).select("path")
         plain = lambda c: F.regexp_replace(c, "^file:/+", "/").alias("_p")
         # What a prepared commit added is needed as if it were a snapshot already.
         states = [(f"v{i}", m) for i in self.snapshot_ids() for m in self.snapshot(i).manifests]
@@ -287,6 +287,50 @@ class Table:
         kept = self.positioned(snapshot, [p for p in paths if p in touched]).join(gone, ["_path", "_pos"], "left_anti").select(clean.columns)
         return clean.unionByName(kept) if len(touched) < len(paths) else kept
 
+    def backwards(self, path: str, snapshot: Snapshot | None = None) -> DataFrame:
+        """Rows of a data file, the last one first."""
+        return self.positioned(snapshot, [path]).orderBy(F.desc("_pos"))
+
+    def at(self, positions: DataFrame, snapshot: Snapshot | None = None) -> DataFrame:
+        """Physical rows at (path, pos), in order; only the files that are named are read, and none is read past the last position."""
+        wanted = positions.select(F.col("path").alias("_path"), F.col("pos").alias("_pos")).distinct()
+        spans = {r["_path"]: r for r in wanted.groupBy("_path").agg(F.min("_pos").alias("low"), F.max("_pos").alias("high")).collect()}  # one row a file
+        every = self.positioned(snapshot, sorted(spans))
+        low, high = min((r.low for r in spans.values()), default=0), max((r.high for r in spans.values()), default=0)
+        return every.where(F.col("_pos").between(low, high)).join(wanted, ["_path", "_pos"], "left_semi").select(every.columns).orderBy("_path", "_pos")
+
+    def vector_faults(self, snapshot: Snapshot | None = None) -> DataFrame:
+        """(path, target, fault) of deletion vectors that don't fit: unknown target, wrong count, repeated or unordered positions, positions outside."""
+        snapshot = snapshot or self.snapshot()
+        paths = self.paths("dv", snapshot)
+        if not paths:
+            return self.spark.createDataFrame([], "path string, target string, fault string")
+        entries = self.entries(snapshot)
+        read = self.spark.read.schema("path string, positions array<long>").parquet(*paths).select(F.col("_metadata.file_path").alias("file"), F.col("path").alias("target"), "positions")
+        own = entries.where("kind = 'dv'").select(F.col("path").alias("file"), "target", F.col("record_count").alias("told"))
+        data = entries.where("kind = 'data'").select(F.col("path").alias("target"), F.col("record_count").alias("rows"))
+        p = F.col("positions")
+        fault = (
+            F.when(F.col("rows").isNull(), "unknown target").when(F.size(p) != F.col("told"), "count").when(p != F.sort_array(F.array_distinct(p)), "order").when((F.array_min(p) < 0) | (F.array_max(p) >= F.col("rows")), "range")
+        )
+        return read.join(own, ["file", "target"]).join(data, "target", "left").select(F.col("file").alias("path"), "target", fault.alias("fault")).where("fault is not null")
+
+    def reports(self) -> DataFrame:
+        """(id, operation, epoch_id, added_files, added_rows, added_bytes, added_deletes, removed_files, behind_parent_ms) of each snapshot."""
+        found = [self.snapshot(i) for i in self.snapshot_ids()]
+        by_id = {s.id: s for s in found}
+        rows = [(s.id, s.operation, s.summary.get("epoch_id"), m, s.timestamp_ms - by_id[s.parent].timestamp_ms if s.parent in by_id else None) for s in found for m in [x for x in s.manifests if s.parent not in by_id or x not in by_id[s.parent].manifests] or [None]]
+        kept = self.spark.createDataFrame(rows, "id long, operation string, epoch_id string, manifest string, behind_parent_ms long")
+        names = sorted({r[3] for r in rows if r[3]})
+        if not names:
+            return kept.select("id", "operation", "epoch_id", *[F.lit(0).cast("long").alias(c) for c in ("added_files", "added_rows", "added_bytes", "added_deletes", "removed_files")], "behind_parent_ms")
+        read = self.spark.read.schema(ENTRY).parquet(*[f"{self.root}/{m}" for m in names]).withColumn("manifest", F.regexp_extract("_metadata.file_path", "(manifests/[0-9a-f]+)/[^/]*$", 1))
+        data, lost, gone = (F.col("status") == "added") & (F.col("kind") == "data"), (F.col("status") == "added") & (F.col("kind") != "data"), F.col("status") == "removed"
+        total = lambda cond, value, name: F.coalesce(F.sum(F.when(cond, value)), F.lit(0)).cast("long").alias(name)
+        return kept.join(read, "manifest", "left").groupBy("id", "operation", "epoch_id", "behind_parent_ms").agg(
+            total(data, 1, "added_files"), total(data, F.col("record_count"), "added_rows"), total(data, F.col("size_bytes"), "added_bytes"), total(lost, F.col("record_count"), "added_deletes"), total(gone, 1, "removed_files")
+        ).select("id", "operation", "epoch_id", "added_files", "added_rows", "added_bytes", "added_deletes", "removed_files", "behind_parent_ms")
+
     def read(self, snapshot_id: int | None = None, lineage: bool = False) -> DataFrame:
         """The table's rows as of a snapshot, optionally with ``_row_id`` and ``_last_updated_sequence_number``."""
         snapshot = self.snapshot(snapshot_id)
@@ -299,8 +343,8 @@ class Table:
 
     # -- writing files -----------------------------------------------------
 
-    def write_data(self, rows: DataFrame, spec: TableSpec, sequence: int, level: int, first_row_id: int, label: str, files: int | None = None) -> DataFrame:
-        """Write rows (the specification's columns and metadata columns) sorted within files; entries of what was written."""
+    def write_data(self, rows: DataFrame, spec: TableSpec, sequence: int, level: int, first_row_id: int, label: str, files: int | None = None, most: int | None = None) -> DataFrame:
+        """Write rows (the specification's columns and metadata columns) sorted within files of at most ``most`` rows; entries of what was written."""
         order = [F.col(s.column).asc_nulls_first() if s.ascending and s.nulls_first else F.col(s.column).asc_nulls_last() if s.ascending else F.col(s.column).desc_nulls_first() if s.nulls_first else F.col(s.column).desc_nulls_last() for s in spec.sort]
         order = order or [F.col(k) for k in spec.key]
         own = project(rows, spec).columns
@@ -310,7 +354,7 @@ class Table:
         if order:
             kept = kept.sortWithinPartitions(*order)
         folder = f"{self.root}/data/sluice-l{level}-{label}-{uuid.uuid4().hex[:12]}"
-        kept.write.parquet(folder)
+        kept.write.option("maxRecordsPerFile", most or 0).parquet(folder)
         return self._data_entries(folder, spec, sequence, level, first_row_id, bool(order))
 
     def _data_entries(self, folder: str, spec: TableSpec, sequence: int, level: int, first_row_id: int, sorted_: bool) -> DataFrame:

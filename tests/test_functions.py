@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.functions import scalars, texts
+from sluice.functions import decode, scalars, texts
 
 
 def value(spark, column, **given):
@@ -67,3 +67,33 @@ def test_fingerprints_and_keys_frame_values(spark):
 def test_lsn_round_trip(spark):
     assert value(spark, scalars.lsn_text(F.col("n")), n=(22 << 32) + 0xB374D848) == "16/B374D848"
     assert value(spark, scalars.lsn_value(F.col("t")), t="FFFFFFFF/FFFFFFFF") == -1
+
+
+CELLS = {
+    "bool": {"t": True, "f": False, "true": None, "": None},
+    "int2": {"-32768": -32768, "32768": None, " 1": None, "+5": 5},
+    "int4": {"2147483647": 2147483647, "2147483648": None, "1.0": None},
+    "int8": {"9223372036854775807": 9223372036854775807, "9223372036854775808": None},
+    "float4": {"0.5": 0.5, "1e39": None},
+    "float8": {"-Infinity": float("-inf"), "inf": None, "1e999": None, ".5": 0.5},
+    "bytea": {"\\x00fF": b"\x00\xff", "\\x0": None, "00": None},
+    "date": {"2020-02-29": "2020-02-29", "1900-02-29": None, "infinity": None, "0044-03-15 BC": "-0043-03-15", "2020-13-01": None},
+    "timestamp": {"2020-01-01 23:59:59.5": "2020-01-01 23:59:59.5", "2020-01-01 24:00:00": None, "-infinity": None},
+    "timestamptz": {"2020-01-01 10:00:00.5+02": "2020-01-01 08:00:00.5", "2020-01-01 00:00:00-03:30": "2020-01-01 03:30:00", "2020-01-01 00:00:00": None, "2020-01-01 00:00:00+16": None},
+    "uuid": {"{A0EEBC999C0B4EF8BB6D6BB9BD380A11}": "a0eebc99-9c0b-4ef8-bb6d-6bb9bd380a11", "a0eebc99": None},
+    "numeric(10,2)": {"1.500": Decimal("1.50"), "1.505": None, "123456789.00": None, "1e5": None, "NaN": None},
+}
+
+
+@pytest.mark.parametrize("kind", sorted(CELLS))
+def test_cells_are_decoded_or_refused(spark, kind):
+    shown = "string" if kind in ("date", "timestamp", "timestamptz") else None
+    value = decode.decoded(kind, F.col("t"))
+    rows = spark.createDataFrame([(t,) for t in (*CELLS[kind], None)], "t string").select("t", (value.cast(shown) if shown else value).alias("v")).collect()
+    assert {r.t: r.v for r in rows} == {**CELLS[kind], None: None}
+
+
+def test_rows_with_a_fault_keep_no_cell(spark):
+    rows = spark.createDataFrame([("1", "2020-01-01"), ("x", "2020-01-01"), (None, "never"), (None, None)], "a string, b string")
+    got = [(r.a, r.b and str(r.b), r.fault) for r in decode.decode(rows, {"a": "int4", "b": "date"}).collect()]
+    assert got == [(1, "2020-01-01", None), (None, None, "a"), (None, None, "b"), (None, None, None)]

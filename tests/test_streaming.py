@@ -105,3 +105,19 @@ def test_locks_of_dead_writers_are_cleared(spark, tmp_path):
         store.create("v1.json", {})
     store.create("v1.json", {"b": 2})
     assert store.read("v1.json") == {"b": 2}
+
+
+def test_a_stream_of_positions_acknowledges_what_it_has_committed(spark, tmp_path):
+    from sluice.sources import positions
+
+    journal = Journal(spark, f"{tmp_path}/journal")
+    kinds = "id long, end_lsn long"
+    run = lambda: positions.stream(spark, journal.root, spark.createDataFrame([], kinds).schema, "r", 1).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    journal.append(spark.createDataFrame([(1, 1), (2, 2), (3, 3)], kinds))
+    run()
+    journal.append(spark.createDataFrame([(4, 4)], kinds))
+    run()
+    run()
+    assert sorted(r.id for r in spark.read.schema(kinds).parquet(f"{tmp_path}/out").collect()) == [2, 3, 4]
+    assert 3 <= positions.acknowledged(journal.root) <= 4
+    assert journal.reclaim(positions.acknowledged(journal.root)) >= 1

@@ -152,3 +152,88 @@ def test_many_deletes_meet_rows_by_a_shuffle(spark, table, monkeypatch):
     few = rows_of(table.read())
     monkeypatch.setattr("sluice.plans.table.BROADCAST_POSITIONS", 0)
     assert rows_of(table.read()) == few and len(few) == 19
+
+
+def test_a_build_catches_up_with_what_happened_meanwhile(spark, table):
+    publish.publish(table, log(spark, [("U", 1, "x")]), "e1", 1)
+    done = maintenance.build(table, table.paths("data"), 1, 2)
+    publish.publish(table, log(spark, [("D", 2, None), ("U", 1, "y"), ("I", 50, "n")]), "e2", 1)
+    want, ids = rows_of(table.read()), {r.id: r._row_id for r in table.read(lineage=True).collect()}
+    made = maintenance.finish(table, done)
+    assert made.operation == "replace" and rows_of(table.read()) == want
+    assert {r.id: r._row_id for r in table.read(lineage=True).collect()} == ids
+    assert maintenance.judge(table, made.id) == "equivalent"
+    with pytest.raises(LookupError):
+        maintenance.finish(table, done)
+
+
+def test_rewrites_that_change_rows_are_told(spark, table):
+    base = table.snapshot()
+    entries = table.entries(base).where("kind = 'data'")
+    fewer = table.write_data(table.live(base).where("id <> 3"), base.spec, base.id + 1, 1, base.next_row_id, "foreign", 1)
+    from sluice.plans.table import removed
+
+    bad = table.commit(base, "replace", removed(entries).unionByName(fewer), {})
+    assert maintenance.judge(table, bad.id) == "external_mutation"
+
+
+def test_files_rotate_by_size(spark, table):
+    one = sum(f.size_bytes for f in table.entries().where("kind = 'data'").collect())
+    maintenance.rewrite(table, table.paths("data"), 1, 1, file_bytes=one // 4)
+    counts = [f.record_count for f in table.entries().where("kind = 'data'").collect()]
+    assert sum(counts) == 20 and len(counts) >= 4 and max(counts) <= 5
+
+
+def test_prepared_commits_are_recovered_or_dropped(spark, table):
+    base = table.snapshot()
+    made = table.write_data(spark.createDataFrame([(77, "p")], "id long, v string"), base.spec, base.id + 1, 0, base.next_row_id, "epoch", 1)
+    table.prepare(base, "append", made, {"epoch_id": "lost"}, next_row_id=base.next_row_id + 1)
+    assert table.unreachable().count() == 0, "what is prepared is needed"
+    again = publish.publish(table, log(spark, [("I", 77, "other")]), "lost")
+    assert again.summary["epoch_id"] == "lost" and (77, "p") in rows_of(table.read()) and table.store.list("prepared") == []
+    table.prepare(base, "append", made, {"epoch_id": "late"})
+    assert table.recover() is None and table.store.list("prepared") == []
+
+
+def test_garbage_goes_after_its_grace(spark, table):
+    publish.publish(table, log(spark, [("U", 1, "x")]), "e1", 1)
+    maintenance.rewrite(table, table.paths("data"), 1, 1)
+    table.expire([0, 1, 2])
+    want = rows_of(table.read())
+    assert table.collect_garbage(grace_ms=3_600_000) == []
+    assert len(table.collect_garbage(grace_ms=0, now_ms=10**13)) >= 4 and table.unreachable().count() == 0 and rows_of(table.read()) == want
+
+
+def test_positions_backwards_and_reports(spark, table):
+    path = table.paths("data")[0]
+    rows = table.positioned(paths=[path]).orderBy("_pos").collect()
+    assert [r._pos for r in table.backwards(path).collect()] == [r._pos for r in reversed(rows)]
+    wanted = spark.createDataFrame([(rows[0]["_path"], 3), (rows[0]["_path"], 1)], "path string, pos long")
+    assert [(r._pos, r.id) for r in table.at(wanted).collect()] == [(1, rows[1].id), (3, rows[3].id)]
+    publish.publish(table, log(spark, [("D", 4, None), ("I", 60, "n")]), "e", 1)
+    got = {r.id: (r.operation, r.epoch_id, r.added_rows, r.added_deletes) for r in table.reports().collect()}
+    assert got[1][0::2] == ("append", 20) and got[2] == ("overwrite", "e", 1, 1)
+    assert table.vector_faults().count() == 0
+
+
+def test_broken_vectors_are_told(spark, table):
+    if table.spec.format_version == 2:
+        pytest.skip("position deletes")
+    base, path = table.snapshot(), table.positioned().select("_path").first()[0]
+    folder = f"{table.root}/deletes/broken"
+    spark.createDataFrame([(path, [5, 1]), ("nowhere", [1])], "path string, positions array<long>").coalesce(1).write.parquet(folder)
+    file = spark.read.parquet(folder).select("_metadata.file_path").first()[0]
+    rows = [("added", "dv", file, t, t, t, 2, 2 if t == path else 1, 1, None, None, None, None, True, 0, [t]) for t in (path, "nowhere")]
+    from sluice.plans.table import ENTRY
+
+    table.commit(base, "delete", spark.createDataFrame(rows, ENTRY))
+    assert {(r.target, r.fault) for r in table.vector_faults().collect()} == {(path, "order"), ("nowhere", "unknown target")}
+
+
+def test_sources_are_discovered_and_checked_first(spark):
+    a = spark.createDataFrame([(1, "x", [1]), (1, None, [2])], "id long, v string, tags array<int>")
+    config = schema.discover({"a": a}, {"a": ("id",)})
+    assert config["tables"][0]["excluded"] == {"tags": "unsupported type array<int>"} and schema.configured(config)[0].names == ["id", "v"]
+    gone = schema.infer_spec(a.select("id"), "b", ("id",))
+    found = {(r.table_name, r.check): r.ok for r in schema.preflight({"a": a}, [*schema.configured(config), gone]).collect()}
+    assert found[("a", "key is unique")] is False and found[("a", "required columns hold no nulls")] is True and found[("b", "relation exists")] is False
