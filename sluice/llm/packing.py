@@ -18,6 +18,7 @@ separately, and of pieces that fit equally well the window opened first gets the
 from __future__ import annotations
 
 import bisect
+import functools
 import json
 import re
 import sys
@@ -36,6 +37,7 @@ from sluice.llm.common import fields, lean, parts
 
 #: Letters below U+0250 whose case folding and composition are one to one, and plain white space and marks.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ‐-‧‰-›€]*")
+STOPS = frozenset(".,;:!?")
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
@@ -57,11 +59,10 @@ class Tokens:
     are kept, and pre-tokens that are new to a batch go to the tokenizer together.
     Other texts go through the tokenizer whole.  The vocabulary's normaliser
     lower-cases and its splitter drops white space, which the cut repeats for plain
-    characters only.  What is kept is bounded in bytes: beyond ``most``, only what
-    the batch at hand needs stays.
+    characters only.  What is kept is bounded in bytes and forgotten beyond ``most``.
     """
 
-    def __init__(self, vocabulary: str, most: int = 64 << 20):
+    def __init__(self, vocabulary: str, most: int = 96 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
@@ -86,24 +87,24 @@ class Tokens:
     def learn(self, parts: set[str]) -> None:
         known = self.known
         words = set(filter(str.isalpha, parts))
-        others = [(p, SPLIT.findall(p)) for p in parts - words]
+        others = [(p, (p[:-1], p[-1]) if p[-1] in STOPS and p[:-1].isalpha() else SPLIT.findall(p)) for p in parts - words]
         words.update(w for _, cut in others for w in cut if w not in known)
         self.learn_words(list(words))
         for part, cut in others:
             known[part] = b"".join(map(known.__getitem__, cut))
         # With its ids and its place in the table an entry takes some 200 bytes besides its text, which may be long.
-        self.left -= sum(map(len, parts)) + 200 * len(words | parts)
+        self.left -= sum(map(len, parts)) + 200 * len(parts)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for low in range(0, len(texts), 500):
             part = texts[low : low + 500]
             plain = [t.lower().split() if t and PLAIN.fullmatch(t) else None for t in part]
-            known = self.known
             seen = set().union(*filter(None, plain))
-            if self.left < 0:  # keep what this batch needs
-                self.known = known = {p: known[p] for p in seen.intersection(known)}
-                self.left = self.most - 300 * len(known)
+            known = self.known
+            if self.left < 0:
+                known.clear()
+                self.left = self.most
             if new := seen.difference(known):
                 self.learn(new)
             for text, parts in zip(part, plain, strict=True):
@@ -114,6 +115,12 @@ class Tokens:
         return out
 
 
+@functools.cache
+def worker_tokens(vocabulary: str) -> Tokens:
+    """One for each worker process, whatever the number of its tasks."""
+    return Tokens(vocabulary)
+
+
 def pack(ids: list[int]) -> bytes:
     packed = array("I", ids)  # unsigned 32-bit
     if sys.byteorder == "big":
@@ -211,7 +218,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer, part = Tokens(shared.value), Packer(settings), TaskContext.get().partitionId()
+        tokens, packer, part = worker_tokens(shared.value), Packer(settings), TaskContext.get().partitionId()
         closing, made = pack([settings.closing]), 0
         rows: list[tuple] = []
         kind = pa.null()
