@@ -20,6 +20,7 @@ from __future__ import annotations
 import bisect
 import functools
 import json
+import os
 import re
 import sys
 import zlib
@@ -63,6 +64,7 @@ class Tokens:
     """
 
     def __init__(self, vocabulary: str, most: int = 96 << 20):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
@@ -77,7 +79,7 @@ class Tokens:
         """Encode pre-tokens, many in one text: blanks part them and are dropped; the last id of each has the vocabulary's closing mark."""
         for low in range(0, len(words), 1000):
             some = words[low : low + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(some) or ends[-1] != len(ids):
                 raise ValueError("the tokenizer cuts pre-tokens otherwise than expected")
