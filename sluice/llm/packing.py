@@ -53,6 +53,21 @@ class Settings:
     closing: int = 1
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it can be seen, else the next one from U+0100 on."""
+    seen = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace() and b != 0xAD]
+    rest = (b for b in range(256) if b not in set(seen))
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+LETTERS = byte_letters()
+
+
+def shown(word: str) -> str:
+    """A word in the letters of a byte-level vocabulary."""
+    return word if word.isascii() else word.encode().decode("latin-1").translate(LETTERS)
+
+
 class Tokens:
     """Packed ids of texts by a tokenizers file.
 
@@ -69,7 +84,11 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        mark = json.loads(vocabulary)["model"]["end_of_word_suffix"]
+        told = json.loads(vocabulary)
+        # Pre-tokens of plain texts are lower case, composed and cut already, so all that is left for them are the merges.
+        bare = {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None, "added_tokens": []}
+        self.merges = Tokenizer.from_str(json.dumps(told | bare))
+        mark = told["model"]["end_of_word_suffix"]
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(mark)]] = True
         self.known: dict[str, bytes] = {}
@@ -79,7 +98,7 @@ class Tokens:
         """Encode pre-tokens, many in one text: blanks part them and are dropped; the last id of each has the vocabulary's closing mark."""
         for low in range(0, len(words), 1000):
             some = words[low : low + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.merges.encode_batch_fast([" ".join(map(shown, some))], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(some) or ends[-1] != len(ids):
                 raise ValueError("the tokenizer cuts pre-tokens otherwise than expected")
