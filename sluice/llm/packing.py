@@ -53,6 +53,19 @@ class Settings:
     closing: int = 1
 
 
+def some_at_a_time(texts: list[str | None], size: int = 32_000) -> Iterator[list[str | None]]:
+    """Texts in batches of about as many characters as stay in a core's cache once they are cut."""
+    batch, held = [], 0
+    for text in texts:
+        batch.append(text)
+        held += len(text or "")
+        if held >= size:
+            yield batch
+            batch, held = [], 0
+    if batch:
+        yield batch
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself if it can be seen, else the next one from U+0100 on."""
     seen = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace() and b != 0xAD]
@@ -78,7 +91,7 @@ class Tokens:
     characters only.  What is kept is bounded in bytes and forgotten beyond ``most``.
     """
 
-    def __init__(self, vocabulary: str, most: int = 96 << 20):
+    def __init__(self, vocabulary: str, most: int = 128 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -118,8 +131,7 @@ class Tokens:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
-        for low in range(0, len(texts), 500):
-            part = texts[low : low + 500]
+        for part in some_at_a_time(texts):
             plain = [t.lower().split() if t and PLAIN.fullmatch(t) else None for t in part]
             seen = set().union(*filter(None, plain))
             known = self.known

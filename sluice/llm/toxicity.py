@@ -181,7 +181,8 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     Ids are chosen from the labels alone and then fetch their texts, so no text
     that isn't fitted on is moved.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).dropDuplicates(["_id"])
+    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y"))
+    known = known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").drop("_z")  # labels that clash teach nothing
     chosen = [known.where(F.col("_y") == c).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for c in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * per_class rows of 12 bytes
 
