@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     found = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", "")
     if not found:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sluice-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
