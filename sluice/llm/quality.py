@@ -7,11 +7,15 @@ shape minimises the non-negative unbiased risk
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
 
 with logistic losses, so its sigmoid estimates the chance that a text is good.
-The class prior comes from the data too: a first network tells positives from
+The class prior comes from the data too: first networks tell positives from
 unlabelled text, and the prior is the least ratio, over score thresholds, of
-the unlabelled share to the positive share above it, on texts that network wasn't fitted on.  The intercept is
-set last, so that the mean score of unlabelled text is the prior.  Labels of bad
-texts are never used.
+the unlabelled share to the positive share above it, each text scored by the network
+that wasn't fitted on its half.  The intercept is set last, so that the mean score of
+unlabelled text is the prior.  Labels of bad texts are never used.
+
+Networks are fitted to bounded samples; the unlabelled shares and the mean score are
+counted over all texts.  Texts are measured once: measures are written down, and what
+follows reads them.
 
 Null and empty texts have all measures 0 and a defined score; null ids pass
 through; equal texts get equal scores.  Without positives or without texts the
@@ -23,14 +27,15 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import fields, map_batches
+from sluice.llm.common import fields, map_batches, persist
 from sluice.llm.numeric import Adam, sigmoid
 
 LETTERS = re.compile(r"[^\W\d_]")
@@ -138,20 +143,31 @@ def train(x_pos: np.ndarray, x_unl: np.ndarray, prior: float | None, settings: S
     return net
 
 
-def class_prior(pos: np.ndarray, unl: np.ndarray) -> tuple[float, float]:
-    """The share of positives in unlabelled scores, and the same less its sampling error.
+def cuts_of(pos: np.ndarray) -> np.ndarray:
+    """Thresholds at which tails of scores are compared."""
+    return np.unique(np.quantile(pos, np.linspace(0.02, 0.7, 69)))
+
+
+def prior_of(pos: np.ndarray, cuts: np.ndarray, above: np.ndarray, n: int) -> tuple[float, float]:
+    """The share of positives in ``n`` unlabelled scores of which ``above`` reach the cuts, and the same less its sampling error.
 
     Above a threshold that only positives reach, unlabelled text is as much rarer
     as positives are in it, so the least ratio of upper tails is the share.
     """
     best, least = 1.0, 1.0
-    for c in np.unique(np.quantile(pos, np.linspace(0.02, 0.7, 69))):
-        p, u = (pos >= c).mean(), (unl >= c).mean()
-        error = np.sqrt((1 - p) / (p * len(pos)) + (1 - u) / (max(u, 1e-9) * len(unl)))
+    for c, reached in zip(cuts, above / max(1, n), strict=True):
+        p, u = (pos >= c).mean(), float(reached)
+        error = np.sqrt((1 - p) / (p * len(pos)) + (1 - u) / (max(u, 1e-9) * n))
         best, least = min(best, u / p), min(least, u / p * (1 - error))
     return float(np.clip(best, 0.05, 0.98)), float(np.clip(least, 0.05, 0.98))
 
 
+def class_prior(pos: np.ndarray, unl: np.ndarray) -> tuple[float, float]:
+    """:func:`prior_of` of scores that are at hand."""
+    cuts = cuts_of(pos)
+    return prior_of(pos, cuts, np.array([(unl >= c).sum() for c in cuts]), len(unl))
+
+
 @dataclass
 class Model:
     net: Network | None
@@ -161,70 +177,106 @@ class Model:
         return np.full(len(x), 0.5) if self.net is None else sigmoid(self.net.logit(x))
 
 
-def fit(x_pos: np.ndarray, x_unl: np.ndarray, settings: Settings = Settings()) -> Model:
-    if len(x_pos) < 2 or len(x_unl) < 2:
+def matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, MEASURES)
+
+
+def counted(held: DataFrame, place: Callable[[np.ndarray, np.ndarray], np.ndarray], bins: int) -> np.ndarray:
+    """How many of all texts lie in each bin: ``place`` of their measures and halves."""
+
+    def make():
+        def work(batch: pa.RecordBatch):
+            n = np.bincount(place(matrix(batch.column(1)), batch.column(0).to_numpy()), minlength=bins)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["bin", "n"])
+
+        return work
+
+    out = np.zeros(bins, np.int64)
+    for r in map_batches(held.select("_half", "x"), "bin int, n long", make).groupBy("bin").agg(F.sum("n").alias("n")).collect():  # a row a bin
+        out[r["bin"]] = r["n"]
+    return out
+
+
+#: Bins of logits, from which the intercept is set.
+EDGES = np.linspace(-30, 30, 6001)
+
+
+def learn(held: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", settings: Settings = Settings()) -> Model:
+    """A model from measured texts (:func:`measured`) and the labels of trusted positives."""
+    (x_pos, h_pos), (x_unl, h_unl) = sample(held, labels, label, id_col, settings)
+    if min(len(x_pos), len(x_unl)) < 2:
         return Model(None, 0.5)
-    # Scores of each half by a network fitted to the other.
-    halves = [(train(x_pos[k::2], x_unl[k::2], None, replace(settings, steps=settings.steps // 4)), 1 - k) for k in (0, 1)]
-    pos, unl = (np.concatenate([net.logit(x[k::2]) for net, k in halves]) for x in (x_pos, x_unl))
-    prior, least = class_prior(pos, unl)
+    if min((h == k).sum() for h in (h_pos, h_unl) for k in (0, 1)) < 2:  # too few for halves by id
+        nets = [train(x_pos, x_unl, None, replace(settings, steps=settings.steps // 4))] * 2
+    else:
+        nets = [train(x_pos[h_pos == k], x_unl[h_unl == k], None, replace(settings, steps=settings.steps // 4)) for k in (0, 1)]
+    other = lambda x, half: np.where(half == 0, nets[1].logit(x), nets[0].logit(x))
+    pos = other(x_pos, h_pos)
+    cuts = cuts_of(pos)
+    below = counted(held, lambda x, half: np.searchsorted(cuts, other(x, half), side="right"), len(cuts) + 1)
+    prior, least = prior_of(pos, cuts, below.sum() - np.cumsum(below)[:-1], int(below.sum()))
     # A prior that is too high leaves the risk nothing to call bad; one that is too low costs little.
     net = train(x_pos, x_unl, least, settings)
-    net.layers[3] += shift(net.logit(x_unl), prior)
+    logits = counted(held, lambda x, _: np.searchsorted(EDGES, np.clip(net.logit(x), EDGES[0], EDGES[-1])), len(EDGES))
+    net.layers[3] += shift(EDGES, logits, prior)
     return Model(net, prior)
 
 
-def shift(logits: np.ndarray, prior: float) -> float:
+def shift(logits: np.ndarray, weights: np.ndarray, prior: float) -> float:
     """What to add to logits so that the mean chance over unlabelled text is the prior."""
     low, high = -20.0, 20.0
     for _ in range(60):
         middle = (low + high) / 2
-        low, high = (middle, high) if sigmoid(logits + middle).mean() < prior else (low, middle)
+        low, high = (middle, high) if np.average(sigmoid(logits + middle), weights=weights) < prior else (low, middle)
     return middle
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, extra: str) -> DataFrame:
-    """(id, extra, measures) by whole texts."""
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
+    """(id, _key, _half, x) of every row, written down: measures of whole texts, and a half by hash of the key (else of the id)."""
+    key = (F.col(id_col) if key is None else key).cast("long")
+    own = docs.select(F.col(id_col).alias("_id"), key.alias("_key"), crc_half(key).alias("_half"), F.col(text_col).alias("_text"))
 
     def make():
         def work(batch: pa.RecordBatch):
-            rows = [measures(t).tolist() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], ["_id", extra, "x"])
+            x = np.concatenate([measures(t) for t in batch.column(3).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, MEASURES), pa.int32()), pa.array(x))], ["_id", "_key", "_half", "x"])
 
         return work
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), extra), f"_id long, {extra} int, x array<double>", make)
+    return persist(map_batches(own, fields(own, "_id", "_key long, _half int, x array<double>"), make), "measures").withColumnRenamed("_id", id_col)
+
 
+def crc_half(key: Column) -> Column:
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 2, F.lit(0)).cast("int")
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Measures of bounded samples of the trusted positives and of all texts."""
-    good = labels.where((F.col(label) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id")).distinct()
-    good = good.orderBy(F.xxhash64("_id"), "_id").limit(settings.positives).withColumn("_y", F.lit(1))
-    some = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id")).distinct()
-    some = some.orderBy(F.xxhash64("_id", F.lit(3)), "_id").limit(settings.unlabelled).withColumn("_y", F.lit(0))
+
+def sample(held: DataFrame, labels: DataFrame, label: str, id_col: str, settings: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(measures, halves) of bounded samples of the trusted positives and of all texts."""
+    good = labels.where((F.col(label) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_key")).distinct()
+    good = good.orderBy(F.xxhash64("_key"), "_key").limit(settings.positives).withColumn("_y", F.lit(1))
+    some = held.where("_key is not null").select("_key").distinct()
+    some = some.orderBy(F.xxhash64("_key", F.lit(3)), "_key").limit(settings.unlabelled).withColumn("_y", F.lit(0))
     ids = F.broadcast(good.unionByName(some))  # at most positives + unlabelled rows of 12 bytes
-    found = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id")
-    rows = sorted((r._y, zlib.crc32(str(r._id).encode()), r._id, r.x) for r in measured(found, "_id", "_text", "_y").collect())
-    take = lambda y: np.array([r[3] for r in rows if r[0] == y]).reshape(-1, MEASURES)
-    return take(1), take(0)
+    found = held.select("_key", "_half", "x").join(ids, "_key").collect()
+    rows = sorted((r._y, zlib.crc32(str(r._key).encode()), r._key, r.x, r._half) for r in found)
+    return [(np.array([r[3] for r in rows if r[0] == y]).reshape(-1, MEASURES), np.array([r[4] for r in rows if r[0] == y], int)) for y in (1, 0)]
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row of ``docs``; whole texts, no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few KB
+def scored(held: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """(id, score) of measured texts."""
+    own = held.select(F.col(id_col).alias("_id"), "x")
 
     def make():
-        model = shared.value
-
         def work(batch: pa.RecordBatch):
-            x = np.array([measures(t) for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64())], [id_col, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(matrix(batch.column(1))), pa.float64())], ["_id", "score"])
 
         return work
 
-    return map_batches(docs.select(id_col, text_col), fields(docs, id_col, "score double"), make)
+    return map_batches(own, fields(own, "_id", "score double"), make).withColumnRenamed("_id", id_col)
 
 
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """Fit on trusted positives and unlabelled texts and score all of ``docs``."""
-    return score(docs, fit(*sample(docs, labels, label, id_col, text_col, settings), settings), id_col, text_col)
+    held = measured(docs, id_col, text_col)
+    return scored(held, learn(held, labels, label, id_col, settings), id_col)
