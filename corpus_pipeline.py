@@ -28,9 +28,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     rows or no labels keep no rows or all of them; columns of any name are kept.
     """
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
-    model = quality.fit(*quality.sample(docs, labels, "quality", "doc_id", "text", quality.Settings()))
-    rows = docs.select(whole_row(docs).alias("_row"), "text")
-    return quality.score(rows, model, id_col="_row").where("score >= 0.3").select("_row.*")
+    held = quality.measured(docs.select(whole_row(docs).alias("_row"), "text", F.col("doc_id").alias("_doc")), "_row", "text", F.col("_doc"))
+    return quality.scored(held, quality.learn(held, labels), "_row").where("score >= 0.3").select("_row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
