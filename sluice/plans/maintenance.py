@@ -72,7 +72,7 @@ def build(table: Table, paths: list[str], level: int, files: int = 1, file_bytes
     size, count = sum(f.size_bytes for f in inputs), sum(f.record_count for f in inputs)
     most = max(1, file_bytes * count // max(1, size)) if file_bytes else None
     made = table.write_data(rows.select(*base.spec.names, *META), base.spec, base.id + 1, level, base.next_row_id, "rewrite", files, most)
-    return Build(base.id, tuple(chosen), level, made, made.agg(F.sum("record_count")).first()[0] or 0)
+    return Build(base.id, tuple(chosen), level, made, sum(r.record_count for r in made.select("record_count").collect()))
 
 
 def late_deletes(table: Table, done: Build, head: Snapshot) -> DataFrame:

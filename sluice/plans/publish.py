@@ -62,11 +62,10 @@ def write(table: Table, base: Snapshot, images: DataFrame, gone: DataFrame, epoc
     sequence = base.id + 1
     made = table.write_data(images, base.spec, sequence, 0, base.next_row_id, "epoch", files)
     lost = table.write_deletes(gone, sequence, base.spec.format_version, table.deletes(base) if base.spec.format_version == 3 else None)
-    sums = {r.kind: r.n for r in made.unionByName(lost).groupBy("kind").agg(F.sum("record_count").alias("n")).collect()}
-    if not sums:
+    rows, fewer = (sum(r.record_count for r in e.select("record_count").collect()) for e in (made, lost))  # a row a file
+    if not rows and not fewer:
         return base
-    rows = sums.get("data", 0)
-    operation = "overwrite" if rows and len(sums) > 1 else "append" if rows else "delete"
+    operation = "overwrite" if rows and fewer else "append" if rows else "delete"
     return table.commit(base, operation, made.unionByName(lost), {"epoch_id": epoch_id, "level": "L0", "operation": "ingest"}, next_row_id=base.next_row_id + rows)
 
 
@@ -77,7 +76,7 @@ def append(table: Table, rows: DataFrame, epoch_id: str, files: int | None = Non
     if "end_lsn" in rows.columns:
         kept = rows.select(*base.spec.names, F.lit(1).cast("long").alias("_version"), F.col("end_lsn").alias("_lsn"))
     made = table.write_data(kept, base.spec, base.id + 1, level, base.next_row_id, "copy" if level else "epoch", files)
-    n = made.agg(F.sum("record_count")).first()[0] or 0
+    n = sum(r.record_count for r in made.select("record_count").collect())  # a row a file
     return table.commit(base, "append", made, {"epoch_id": epoch_id, "operation": "ingest"}, next_row_id=base.next_row_id + n)
 
 

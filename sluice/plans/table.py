@@ -12,6 +12,7 @@ deletes and scans are joins over them.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import time
 import uuid
 from dataclasses import dataclass, replace
@@ -132,12 +133,21 @@ class Table:
         rows = [(s.id, s.parent, s.id, s.timestamp_ms, s.operation, s.summary.get("epoch_id")) for s in map(self.snapshot, self.snapshot_ids())]
         return self.spark.createDataFrame(rows, "id long, parent long, sequence long, ts_ms long, operation string, epoch_id string")
 
+    def _epoch(self, epoch_id: str) -> str:
+        return f"epochs/{hashlib.sha256(epoch_id.encode()).hexdigest()}.json"
+
     def committed_epoch(self, epoch_id: str) -> Snapshot | None:
-        """The snapshot that published an epoch, looked up along the ancestry: the answer to a lost commit response."""
-        for id in reversed(self.snapshot_ids()):
-            if (s := self.snapshot(id)).summary.get("epoch_id") == epoch_id:
-                return s
-        return None
+        """The snapshot that published an epoch, if any: the answer to a lost commit response, without a look at the history.
+
+        Each attempt notes the snapshot it is going to be; whether it became that one, the snapshot itself tells.
+        """
+        if not self.store.exists(name := self._epoch(epoch_id)):
+            return None
+        id = self.store.read(name)["snapshot"]
+        if not self.store.exists(f"metadata/v{id}.json"):
+            return None
+        found = self.snapshot(id)
+        return found if found.summary.get("epoch_id") == epoch_id else None
 
     def commit(self, base: Snapshot, operation: str, entries: DataFrame | None, summary: dict | None = None, spec: TableSpec | None = None, next_row_id: int | None = None, manifests: tuple[str, ...] | None = None) -> Snapshot:
         """Add a snapshot on ``base``; raises ConflictError if another came first."""
@@ -151,6 +161,8 @@ class Table:
         if entries is not None:
             names = (*names, self.write_manifest(entries)[0])
         new = Snapshot(base.id + 1, base.id, operation, int(time.time() * 1000), names, spec or base.spec, summary or {}, base.next_row_id if next_row_id is None else next_row_id)
+        if epoch_id := new.summary.get("epoch_id"):
+            self.store.put(self._epoch(epoch_id), {"snapshot": new.id})
         name = f"prepared/{new.id}-{uuid.uuid4().hex}.json"
         self.store.put(name, new.to_json())
         return name
