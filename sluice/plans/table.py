@@ -17,7 +17,7 @@ import time
 import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -256,6 +256,13 @@ class Table:
         rows = made[0] if len(made) == 1 else made[0].unionByName(made[1])
         return effective_positions(rows, self.entries(snapshot))
 
+    def bounded_deletes(self, most_bytes: int, most_rows: int, snapshot: Snapshot | None = None) -> DataFrame:
+        """:meth:`deletes`, refused before any file is opened if the delete files hold more than these budgets."""
+        known = self.entries(snapshot).where("kind <> 'data'").groupBy("path").agg(F.max("size_bytes").alias("size"), F.sum("record_count").alias("n")).agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if known[0] > most_bytes or known[1] > most_rows:
+            raise ValueError(f"deletes of {known[0]} bytes and {known[1]} rows exceed the budgets")
+        return self.deletes(snapshot)
+
     def _gone(self, snapshot: Snapshot, paths: list[str]) -> tuple[set[str], DataFrame | None, int]:
         """Which of these data files deletes touch, the deleted positions (may repeat), and how many there are at most.
 

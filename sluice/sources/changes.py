@@ -60,12 +60,22 @@ class Journal:
             return last
         staged = f"{self.root}/staged-{uuid.uuid4().hex}"
         new.write.parquet(staged)
+        self.store.put(f"checks/lsn-{top:020d}.json", self._check(self.spark.read.parquet(staged)))
         part = self.store.path(f"parts/lsn-{top:020d}")
         self.store._fs.mkdirs(self.store.path("parts"))
         if not self.store._fs.rename(self.store.path(staged), part):
             raise OSError(f"can't add {part}")
         return top
 
+    def _check(self, rows: DataFrame) -> dict:
+        """Number of rows and a checksum that doesn't depend on their order."""
+        found = rows.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("sum")).first()
+        return {"rows": found["rows"], "sum": str(found["sum"])}
+
+    def damaged(self) -> list[str]:
+        """Parts whose rows aren't those that were appended."""
+        return [n for _, n in self._parts() if self.store.exists(f"checks/{n}.json") and self._check(self.spark.read.parquet(f"{self.root}/parts/{n}")) != self.store.read(f"checks/{n}.json")]
+
     def last_lsn(self) -> int:
         return max((lsn for lsn, _ in self._parts()), default=0)
 
@@ -79,4 +89,5 @@ class Journal:
         old = [n for top, n in self._parts() if top <= lsn]
         for n in old:
             self.store.delete(f"parts/{n}")
+            self.store.delete(f"checks/{n}.json")
         return len(old)

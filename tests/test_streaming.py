@@ -28,7 +28,11 @@ def test_transactions_span_batches_and_replays_add_nothing(spark, tmp_path):
     run()
     assert [(r.xid, r.end_lsn) for r in journal.after(6).collect()] == [(8, 9)] and journal.last_lsn() == 9
     assert journal.append(journal.after(0)) == 9 and journal.after(0).count() == 3
-    assert journal.reclaim(6) == 1 and journal.after(0).count() == 1
+    assert journal.damaged() == []
+    part = journal._parts()[-1][1]
+    spark.createDataFrame([(1, 9)], "xid long, end_lsn long").write.mode("append").parquet(f"{journal.root}/parts/{part}")
+    assert journal.damaged() == [part]
+    assert journal.reclaim(6) == 1 and journal.after(8).count() == 2
 
 
 def test_a_failing_table_is_blocked_and_others_go_on(spark, tmp_path):

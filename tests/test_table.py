@@ -51,7 +51,10 @@ def test_deletes_have_one_vector_a_target(spark, table):
         for d in deletes:
             newest[d.target] = max(newest.get(d.target, 0), d.sequence)
         assert sum(d.record_count for d in deletes if d.sequence == newest[d.target]) == 2
-    assert table.deletes().count() == 2
+    assert table.deletes().count() == 2 == table.bounded_deletes(1 << 20, 100).count()
+    for budget in ((1, 100), (1 << 20, 1)):
+        with pytest.raises(ValueError, match="budgets"):
+            table.bounded_deletes(*budget)
 
 
 def test_an_epoch_is_published_once(spark, table):
@@ -237,3 +240,18 @@ def test_sources_are_discovered_and_checked_first(spark):
     gone = schema.infer_spec(a.select("id"), "b", ("id",))
     found = {(r.table_name, r.check): r.ok for r in schema.preflight({"a": a}, [*schema.configured(config), gone]).collect()}
     assert found[("a", "key is unique")] is False and found[("a", "required columns hold no nulls")] is True and found[("b", "relation exists")] is False
+
+
+def test_fresh_files_age_and_are_compacted(spark, table):
+    from sluice.plans.compaction import Policy
+
+    for n in range(3):
+        publish.publish(table, log(spark, [("U", n, f"x{n}")]), f"e{n}", 1)
+    added = {f.path: f.added_ms for f in table.entries().where("kind = 'data'").collect()}
+    ages = {r.path: r.age_ms for r in maintenance.inventory(table, now_ms=max(added.values()) + 500).collect()}
+    assert ages == {p: max(added.values()) + 500 - t for p, t in added.items()} and min(ages.values()) == 500
+    want = rows_of(table.read())
+    assert maintenance.compact(table, Policy(l0_files=(9, 32), l0_age_ms=(10**9, 10**9), min_age_ms=10**9)) is None
+    made = maintenance.compact(table, Policy(l0_files=(2, 32), min_age_ms=0))
+    assert made.operation == "replace" and rows_of(table.read()) == want
+    assert table.entries().where("kind = 'data' and level = 0").count() == 0
