@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from sluice.functions import scalars
@@ -15,6 +15,8 @@ from sluice.plans import compaction
 from sluice.plans.storage import persist
 from sluice.plans.table import ENTRY, META, Snapshot, Table, removed, with_retry
 
+ENTRIES = [f.split()[0] for f in ENTRY.split(", ")]
+
 
 def inventory(table: Table, snapshot: Snapshot | None = None, now_ms: int | None = None) -> DataFrame:
     """(path, level, size_bytes, row_count, deleted_rows, delete_files, own_deletes, age_ms, manifests) of live data files.
@@ -86,6 +88,14 @@ def late_deletes(table: Table, done: Build, head: Snapshot) -> DataFrame:
     return moves.select(F.col("_path").alias("path"), F.col("_pos").alias("pos"))
 
 
+def needed(delete: Row, survivors: set[str]) -> bool:
+    """Whether a delete file touches any of these data files, by what its entry names or else by its range of paths."""
+    told = [delete.target] if delete.target else delete.touched
+    if told is not None:
+        return not survivors.isdisjoint(told)
+    return any((delete.lower_path or "") <= p and (delete.upper_path is None or p <= delete.upper_path) for p in survivors)
+
+
 def finish(table: Table, done: Build) -> Snapshot:
     """Commit a build on the newest snapshot; deletes that reached its inputs meanwhile move along to its files.
 
@@ -98,19 +108,18 @@ def finish(table: Table, done: Build) -> Snapshot:
         if len(inputs) != len(chosen):
             raise LookupError("another rewrite took files of this build")
         # Positions in the new files count from this commit on, their row ids from the table's.
-        gone = table.spark.createDataFrame(inputs, ENTRY)
-        made = done.made.withColumn("sequence", F.lit(head.id + 1).cast("long")).withColumn("first_row_id", F.col("first_row_id") + F.lit(head.next_row_id - table.snapshot(done.base).next_row_id))
-        changes = removed(gone).unionByName(made)
+        ahead = head.next_row_id - table.snapshot(done.base).next_row_id
+        rows = [f.asDict() | {"status": "removed"} for f in inputs]
+        rows += [f.asDict() | {"sequence": head.id + 1, "first_row_id": f.first_row_id + ahead} for f in done.made.collect()]
         if head.id != done.base:
-            changes = changes.unionByName(table.write_deletes(late_deletes(table, done, head), head.id + 1, head.spec.format_version))
-        if any(f.kind != "data" for f in table.files(head)):
-            # Deletes that no surviving file needs go; positions on rewritten files that shared ones keep are harmless.
-            entries = table.entries(head).withColumn("partition", F.lit(0))
-            deletes = entries.where("kind <> 'data'")
-            survivors = entries.where("kind = 'data'").where(~F.col("path").isin(chosen))
-            needed = applicable(deletes.select("path", "kind", "target", "lower_path", "upper_path", "sequence", "partition"), survivors.select("path", "sequence", "partition"))
-            own = deletes.drop("partition").join(needed.select(F.col("delete_path").alias("path")).distinct(), "path", "left_anti")
-            changes = changes.unionByName(removed(own.select(made.columns)))
+            rows += [f.asDict() for f in table.write_deletes(late_deletes(table, done, head), head.id + 1, head.spec.format_version).collect()]
+        # Deletes that no surviving file needs go; positions on rewritten files that shared ones keep are harmless.
+        survivors = {f.path for f in table.files(head) if f.kind == "data"} - set(chosen)
+        deletes = [f for f in table.files(head) if f.kind != "data"]
+        useless = sorted({f.path for f in deletes} - {f.path for f in deletes if needed(f, survivors)})  # a file of vectors has several entries
+        if useless:
+            rows += [f.asDict() | {"status": "removed"} for f in table.entries(head).where("kind <> 'data'").where(F.col("path").isin(useless)).collect()]
+        changes = table.spark.createDataFrame([tuple(r[c] for c in ENTRIES) for r in rows], ENTRY)
         return table.commit(head, "replace", changes, {"rewrote": len(chosen), "level": f"L{done.level}"}, next_row_id=head.next_row_id + done.rows)
 
     return with_retry(attempt)

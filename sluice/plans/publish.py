@@ -62,11 +62,12 @@ def write(table: Table, base: Snapshot, images: DataFrame, gone: DataFrame, epoc
     sequence = base.id + 1
     made = table.write_data(images, base.spec, sequence, 0, base.next_row_id, "epoch", files)
     lost = table.write_deletes(gone, sequence, base.spec.format_version, table.deletes(base) if base.spec.format_version == 3 else None)
-    rows, fewer = (sum(r.record_count for r in e.select("record_count").collect()) for e in (made, lost))  # a row a file
-    if not rows and not fewer:
+    entries = [*made.collect(), *lost.collect()]  # a row a file
+    if not entries:
         return base
+    rows, fewer = (sum(e.record_count for e in entries if (e.kind == "data") is data) for data in (True, False))
     operation = "overwrite" if rows and fewer else "append" if rows else "delete"
-    return table.commit(base, operation, made.unionByName(lost), {"epoch_id": epoch_id, "level": "L0", "operation": "ingest"}, next_row_id=base.next_row_id + rows)
+    return table.commit(base, operation, table.spark.createDataFrame(entries, made.schema), {"epoch_id": epoch_id, "level": "L0", "operation": "ingest"}, next_row_id=base.next_row_id + rows)
 
 
 def append(table: Table, rows: DataFrame, epoch_id: str, files: int | None = None, base: Snapshot | None = None, level: int = 0) -> Snapshot:
