@@ -42,6 +42,14 @@ def test_epochs_time_travel_and_compaction(spark, table):
     assert versions[1] == 3 and versions[100] == 2 and versions[5] == 1
 
 
+def test_many_deleted_positions_are_not_broadcast_for_the_size_of_their_files(spark, table, monkeypatch):
+    publish.publish(table, log(spark, [("U", 1, "x"), ("D", 2, None)]), "e1", 2)
+    monkeypatch.setattr("sluice.plans.table.BROADCAST_POSITIONS", 1)
+    plan = table.live()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert dict(rows_of(table.read())) == {i: "x" if i == 1 else f"v{i}" for i in range(20) if i != 2}
+
+
 def test_deletes_have_one_vector_a_target(spark, table):
     for n in (4, 5):
         publish.publish(table, log(spark, [("D", n, None)]), f"d{n}")
