@@ -12,19 +12,27 @@ def expiration(snapshots: DataFrame, now_ms: int, window_ms: int = 3_600_000, re
     protected: the newest ``retain_last``, and bases with all that came after them; forced: the oldest others while there are more
     than ``cap`` (not within the table's own window); window: younger than the cutoff; aged: what is left, which expires too.
     """
-    newest = Window.orderBy(F.desc("sequence"))
-    rows = snapshots.withColumn("_rank", F.row_number().over(newest))  # snapshots of one table: at most ``cap`` and the recent ones
+    place = F.struct("sequence", "id")
     base = F.lit(False)
+    rows = snapshots
     if protected is not None:
-        oldest = protected.join(snapshots.select("id", "sequence"), "id").agg(F.min("sequence").alias("_base"))
+        oldest = snapshots.join(F.broadcast(protected.select("id")), "id", "left_semi").agg(F.min("sequence").alias("_base"))
         rows = rows.crossJoin(F.broadcast(oldest))
         base = F.coalesce(F.col("sequence") >= F.col("_base"), F.lit(False))
-    held = base | (F.col("_rank") <= retain_last)
+    # The newest ``n`` are told by the place of the last of them, so that no task sorts the whole history.
+    since = lambda of, n, name: of.select(place.alias("_at")).orderBy(F.desc("_at")).limit(max(n, 0)).agg(F.min("_at").alias(name))
+    rows = rows.crossJoin(F.broadcast(since(snapshots, retain_last, "_held")))
+    held = base | F.coalesce(place >= F.col("_held"), F.lit(False))
     cutoff = now_ms - max(window_ms, table_window_ms or 0)
     may_force = ~held & (F.lit(True) if table_window_ms is None else F.col("ts_ms") < now_ms - table_window_ms)
-    order = Window.partitionBy(may_force).orderBy("sequence")
-    total = F.count("*").over(Window.partitionBy(F.lit(1)))
-    forced = may_force & (F.row_number().over(order) <= total - cap)
+    rows = rows.withColumn("_may_force", may_force)
+    # All but ``cap`` are forced, the oldest first, so of those that may be the newest (their number - all + cap) aren't: ``cap`` at most.
+    counts = rows.agg((F.count(F.when(F.col("_may_force"), 1)) - F.count("*") + cap).alias("_spared"))
+    newest = rows.where("_may_force").select(place.alias("_at")).orderBy(F.desc("_at")).limit(max(cap, 0))
+    ranked = newest.withColumn("_nth", F.row_number().over(Window.orderBy(F.desc("_at"))))  # ``cap`` rows
+    spared = ranked.crossJoin(F.broadcast(counts)).where("_nth <= _spared").agg(F.min("_at").alias("_last"))
+    rows = rows.crossJoin(F.broadcast(spared))
+    forced = F.col("_may_force") & F.coalesce(place < F.col("_last"), F.lit(True))
     fate = F.when(held, "protected").when(forced, "forced").when(F.col("ts_ms") >= cutoff, "window").otherwise("aged")
     return rows.withColumn("fate", fate).select(*snapshots.columns, "fate")
 
