@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -182,7 +183,8 @@ def consolidate(table: Table, policy: compaction.Policy | None = None) -> Snapsh
             positions = table._delete_rows("pos", chosen).select("path", "pos").join(live, "path", "left_semi")
         else:
             positions = table.deletes(base)
-        made = table.write_deletes(positions, base.id + 1, base.spec.format_version)
+        # What the budgets admit is one file, or else consolidation might make as many files as it takes, again and again.
+        made = table.write_deletes(positions, base.id + 1, base.spec.format_version, files=None if policy is None else 1)
         return table.commit(base, "replace", removed(old).unionByName(made), {"consolidated": old.count()})
 
     return with_retry(attempt)
@@ -204,7 +206,11 @@ def visit(table: Table, policy: compaction.Policy = compaction.Policy(), now_ms:
     action = choose(known, policy, None)
     if action == "consolidate" and consolidate(table, policy) is not None:
         return action
-    chosen = compaction.plan(files, deletes, policy)
+    try:
+        chosen = compaction.plan(files, deletes, policy)
+    except compaction.BudgetError:
+        # Nothing else would ever lower these deletes.  One file alone meets them by a shuffle, whatever their number.
+        chosen = compaction.plan(files, deletes, replace(policy, group=(1, 1), delete_inputs=(sys.maxsize,) * 3))
     if choose(known | {"most_deletes": 0, "shared": 0}, policy, chosen) == "rewrite":
         rewrite(table, sorted(chosen.inputs), chosen.level, max(1, -(-chosen.input_bytes // chosen.target_bytes)))
         return "rewrite"

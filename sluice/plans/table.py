@@ -394,8 +394,8 @@ class Table:
                 first_row_id += n
         return self.spark.createDataFrame(rows, ENTRY)
 
-    def write_deletes(self, positions: DataFrame, sequence: int, format_version: int, prior: DataFrame | None = None) -> DataFrame:
-        """Write (path, pos) as sorted position deletes, or for version 3 as one vector a target that holds ``prior`` positions too."""
+    def write_deletes(self, positions: DataFrame, sequence: int, format_version: int, prior: DataFrame | None = None, files: int | None = None) -> DataFrame:
+        """Write (path, pos) as sorted position deletes, of that many files if told, or for version 3 as one vector a target that holds ``prior`` positions too."""
         folder, now = f"{self.root}/deletes/{uuid.uuid4().hex}", int(time.time() * 1000)
         own = positions.select("path", "pos")
         targets = sorted(r.path for r in own.select("path").distinct().collect())  # data files, not rows
@@ -403,7 +403,7 @@ class Table:
         if not targets:
             return self.spark.createDataFrame(rows, ENTRY)
         if format_version == 2:
-            own.distinct().repartitionByRange("path", "pos").sortWithinPartitions("path", "pos").write.parquet(folder)
+            own.distinct().repartitionByRange(*([files] if files else []), "path", "pos").sortWithinPartitions("path", "pos").write.parquet(folder)
             for path, size in self.store.sizes(folder):
                 n, lower, upper = self.store.footer(path, "path")
                 if n:

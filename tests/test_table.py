@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.operators import layout
-from sluice.plans import maintenance, publish, schema
+from sluice.plans import compaction, maintenance, publish, schema
 from sluice.plans.storage import ConflictError
 from sluice.plans.table import Table
 
@@ -50,6 +50,26 @@ def test_many_deleted_positions_are_not_broadcast_for_the_size_of_their_files(sp
     assert dict(rows_of(table.read())) == {i: "x" if i == 1 else f"v{i}" for i in range(20) if i != 2}
 
 
+def test_visits_end_where_deletes_take_several_files_and_exceed_the_budgets(spark, tmp_path):
+    base = spark.createDataFrame([(i, f"v{i}") for i in range(400)], "id long, v string")
+    table = Table.create(spark, f"{tmp_path}/t", schema.infer_spec(base, "t", ("id",)))
+    publish.copy(table, base, 0, 2)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small runs are cut as large ones are
+    try:
+        publish.publish(table, log(spark, [("D", i, None) for i in range(0, 400, 2)]), "e1", 1)
+        publish.publish(table, log(spark, [("D", i, None) for i in range(1, 400, 4)]), "e2", 1)
+        assert len(table.paths("pos")) > 2
+        limits = compaction.Policy(delete_files=(2, 16), min_age_ms=0, group=(1, 32), delete_inputs=(32, 1 << 20, 120))
+        done = []
+        while (action := maintenance.visit(table, limits)) != "none":
+            done.append(action)
+            assert len(done) < 12, done
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {"consolidate", "rewrite"} <= set(done) and not table.paths("pos")
+    assert rows_of(table.read()) == [(i, f"v{i}") for i in range(3, 400, 4)]
+
+
 def test_deletes_have_one_vector_a_target(spark, table):
     for n in (4, 5):
         publish.publish(table, log(spark, [("D", n, None)]), f"d{n}")
