@@ -90,11 +90,23 @@ def report(files: DataFrame) -> DataFrame:
     return totals.crossJoin(means).crossJoin(depth(files))
 
 
-def remap_runs(moves: DataFrame) -> DataFrame:
-    """(old_path, old_start, new_path, new_start, length): rows that moved side by side, as runs.  Input: old_path, old_pos, new_path, new_pos."""
-    w = Window.partitionBy("old_path", "new_path").orderBy("old_pos")
-    runs = moves.withColumn("_shift", F.col("new_pos") - F.col("old_pos")).withColumn("_island", F.col("old_pos") - F.row_number().over(w))
-    return runs.groupBy("old_path", "new_path", "_shift", "_island").agg(F.min("old_pos").alias("old_start"), F.min("new_pos").alias("new_start"), F.count("*").alias("length")).drop("_shift", "_island")
+def remap_runs(moves: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """(old_path, old_start, new_path, new_start, length): rows that moved side by side, as runs.  Input: old_path, old_pos, new_path, new_pos.
+
+    Runs are found within blocks of ``width`` positions; only those that reach a block's edge are sorted over all blocks of their files.
+    """
+    own = ["old_path", "new_path", "_shift"]
+    rows = moves.withColumn("_shift", F.col("new_pos") - F.col("old_pos")).withColumn("_block", F.floor(F.col("old_pos") / width))
+    islands = rows.withColumn("_island", F.col("old_pos") - F.row_number().over(Window.partitionBy(*own, "_block").orderBy("old_pos")))
+    parts = islands.groupBy(*own, "_block", "_island").agg(F.min("old_pos").alias("old_start"), F.count("*").alias("length"))
+    end = F.col("old_start") + F.col("length")
+    edge = (F.col("old_start") == F.col("_block") * width) | (end == (F.col("_block") + 1) * width)
+    parts = parts.withColumn("_end", end).withColumn("_lane", F.when(~edge, F.col("_block")))  # null: may go on in another block
+    w = Window.partitionBy(*own, "_lane").orderBy("old_start")
+    fresh = (~F.lag("_end").over(w).eqNullSafe(F.col("old_start"))).cast("long")
+    runs = parts.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    found = runs.groupBy(*own, "_lane", "_run").agg(F.min("old_start").alias("old_start"), F.sum("length").alias("length"))
+    return found.select("old_path", "new_path", "old_start", (F.col("old_start") + F.col("_shift")).alias("new_start"), "length")
 
 
 def translate(positions: DataFrame, runs: DataFrame, width: int = 4096) -> DataFrame:
