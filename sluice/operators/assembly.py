@@ -7,7 +7,9 @@ commits, ``begin_lsn``, ``commit_lsn`` and ``end_lsn``.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,19 +34,23 @@ def rollback_ranges(stream: DataFrame) -> DataFrame:
     firsts = marked.where("kind <> 'abort'").groupBy("xid", "era", "subxid").agg(F.min("position").alias("position")).withColumn("abort", F.lit(False))
     steps = firsts.unionByName(marked.where("kind = 'abort'").select("xid", "era", "subxid", "position", F.lit(True).alias("abort")))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        first: dict[int, int] = {}
-        cut = []
-        for r in pdf.sort_values("position").itertuples():
-            if not r.abort:
-                first.setdefault(r.subxid, r.position)
-            elif r.subxid in first:
-                low = first[r.subxid]
-                cut.append((r.xid, low, r.position))
-                first = {s: p for s, p in first.items() if p < low}
-        return pd.DataFrame(cut, columns=["xid", "low", "high"])
-
-    return steps.groupBy("xid").applyInPandas(fold, "xid long, low long, high long")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xid, first = None, {}
+        for batch in batches:
+            cut: list[tuple[int, int, int]] = []
+            for x, subxid, position, abort in zip(*(batch.column(c).to_pylist() for c in ("xid", "subxid", "position", "abort")), strict=True):
+                if x != xid:
+                    xid, first = x, {}
+                if not abort:
+                    first.setdefault(subxid, position)
+                elif subxid in first:
+                    low = first[subxid]
+                    cut.append((x, low, position))
+                    first = {s: p for s, p in first.items() if p < low}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in cut], pa.int64()) for i in range(3)], names=["xid", "low", "high"])
+
+    # Transactions follow one another through a partition: a call for each of them would cost far more than its steps.
+    return steps.repartition("xid").sortWithinPartitions("xid", "position").mapInArrow(fold, "xid long, low long, high long")
 
 
 def surviving(stream: DataFrame) -> DataFrame:

@@ -54,13 +54,15 @@ class Journal:
     def append(self, transactions: DataFrame) -> int:
         """Add a batch; what it holds up to the last position is a replay and left out.  Returns the new last position."""
         last = self.last_lsn()
-        new = transactions.where(F.col("end_lsn") > last)
-        top = new.agg(F.max("end_lsn")).first()[0]
+        staged = f"{self.root}/staged-{uuid.uuid4().hex}"
+        # Assembling is most of the work, so what was written tells the last position.
+        transactions.where(F.col("end_lsn") > last).write.parquet(staged)
+        written = self.spark.read.schema(transactions.schema).parquet(staged)
+        top = written.agg(F.max("end_lsn")).first()[0]
         if top is None:
+            self.store.delete(staged)
             return last
-        staged = f"{self.root}/staged-{uuid.uuid4().hex}"
-        new.write.parquet(staged)
-        self.store.put(f"checks/lsn-{top:020d}.json", self._check(self.spark.read.parquet(staged)))
+        self.store.put(f"checks/lsn-{top:020d}.json", self._check(written))
         part = self.store.path(f"parts/lsn-{top:020d}")
         self.store._fs.mkdirs(self.store.path("parts"))
         if not self.store._fs.rename(self.store.path(staged), part):

@@ -46,3 +46,11 @@ def test_admission_never_splits_and_isolates_large_transactions(spark):
     t = spark.createDataFrame(rows, "table_id long, end_lsn long, mutations long, payload_bytes long, descriptor_bytes long")
     assert [r.epoch for r in ledger.admit(t).orderBy("end_lsn").collect()] == [0, 0, 0, 1, 2, 2]
     assert [r.epoch for r in ledger.admit(t, count=2).orderBy("end_lsn").collect()] == [0, 0, 1, 2, 3, 3]
+
+
+def test_rollbacks_of_many_transactions_take_no_call_each(spark):
+    rows = [(n * 10 + p, kind, n, subxid, None, None, None, None) for n in range(1000, 1300) for p, (kind, subxid) in enumerate([("insert", 0), ("insert", 1), ("insert", 0), ("abort", 1), ("abort", 1), ("insert", n % 2), ("abort", 1)])]
+    found = assembly.rollback_ranges(spark.createDataFrame(rows, STREAM))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    want = [(n, n * 10 + low, n * 10 + high) for n in range(1000, 1300) for low, high in [(1, 3), *([(5, 6)] if n % 2 else [])]]
+    assert sorted(map(tuple, found.collect())) == want

@@ -125,3 +125,19 @@ def test_a_stream_of_positions_acknowledges_what_it_has_committed(spark, tmp_pat
     assert sorted(r.id for r in spark.read.schema(kinds).parquet(f"{tmp_path}/out").collect()) == [2, 3, 4]
     assert 3 <= positions.acknowledged(journal.root) <= 4
     assert journal.reclaim(positions.acknowledged(journal.root)) >= 1
+
+
+def test_the_journal_computes_a_batch_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    journal, seen = Journal(spark, f"{tmp_path}/journal"), spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = spark.createDataFrame([(7, 1), (8, 2), (9, 3)], "xid long, end_lsn long").withColumn("xid", counted("xid"))
+    assert journal.append(rows) == 3 and seen.value == 3
+    assert journal.append(rows.where("end_lsn < 0")) == 3 and journal.store.list("") == ["checks", "parts"]
+    assert sorted(map(tuple, journal.after(1).collect())) == [(8, 2), (9, 3)] and journal.damaged() == []
