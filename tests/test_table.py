@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.operators import layout
+from sluice.operators.collapse import collapse
 from sluice.plans import compaction, maintenance, publish, schema
 from sluice.plans.storage import ConflictError
 from sluice.plans.table import Table
@@ -50,6 +51,14 @@ def test_many_deleted_positions_are_not_broadcast_for_the_size_of_their_files(sp
     assert dict(rows_of(table.read())) == {i: "x" if i == 1 else f"v{i}" for i in range(20) if i != 2}
 
 
+def test_rows_that_changes_meet_are_not_broadcast_for_the_size_of_their_files(spark, table):
+    changes = collapse(log(spark, [("U", 1, "x"), ("D", 2, None)]), ["id"], ["v"])
+    bound = publish.bind(changes, table.live(), ["id"])
+    plan = bound._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted((r.id, r._old.v, r._o_version) for r in bound.collect()) == [(1, "v1", 1), (2, "v2", 1)]
+
+
 def test_visits_end_where_deletes_take_several_files_and_exceed_the_budgets(spark, tmp_path):
     base = spark.createDataFrame([(i, f"v{i}") for i in range(400)], "id long, v string")
     table = Table.create(spark, f"{tmp_path}/t", schema.infer_spec(base, "t", ("id",)))
