@@ -27,6 +27,12 @@ def plain(v):
     return str(v.normalize()) if isinstance(v, decimal.Decimal) else str(v)
 
 
+def test_customers_are_not_broadcast_for_the_size_of_their_file(spark):
+    plan = QUERIES["read_plane_join"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "c_custkey" in line and "Join" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sql, name):
     df = QUERIES[name](spark, DATA)
