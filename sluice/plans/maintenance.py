@@ -82,7 +82,8 @@ def late_deletes(table: Table, done: Build, head: Snapshot) -> DataFrame:
     """(path, pos) in a build's new files of rows that were deleted from its inputs since its base, by their row ids."""
     own = lambda s: table.deletes(s).where(F.col("path").isin(list(done.paths)))
     late = own(head).join(own(table.snapshot(done.base)), ["path", "pos"], "left_anti")
-    old = table.positioned(head, list(done.paths)).join(table.entries(head).where("kind = 'data'").select(F.col("path").alias("_path"), "first_row_id"), "_path")
+    files = table.entries(head).where("kind = 'data'").select(F.col("path").alias("_path"), "first_row_id")
+    old = table.positioned(head, list(done.paths)).join(F.broadcast(files), "_path")
     gone = old.join(late.select(F.col("path").alias("_path"), F.col("pos").alias("_pos")), ["_path", "_pos"], "left_semi").select(F.coalesce("_row_id", F.col("first_row_id") + F.col("_pos")).alias("_row_id"))
     new = table.positioned(head, [r.path for r in done.made.select("path").collect()]).select("_row_id", "_path", "_pos")
     moves = new.join(gone, "_row_id", "left_semi")

@@ -59,6 +59,16 @@ def test_rows_that_changes_meet_are_not_broadcast_for_the_size_of_their_files(sp
     assert sorted((r.id, r._old.v, r._o_version) for r in bound.collect()) == [(1, "v1", 1), (2, "v2", 1)]
 
 
+def test_rows_that_meet_their_files_are_not_broadcast_for_the_size_of_their_files(spark, table):
+    """Manifests of many epochs may be larger than narrow rows; the files' entries, one row each, are what is sent to all."""
+    publish.publish(table, log(spark, [("U", 1, "x"), ("D", 2, None)]), "e1", 2)
+    maintenance.rewrite(table, table.paths("data"), 1)
+    rows = table.read(lineage=True)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [_path" in plan and "BuildLeft" not in plan
+    assert {r.id: r._last_updated_sequence_number for r in rows.collect()} == {i: 2 if i == 1 else 1 for i in range(20) if i != 2}
+
+
 def test_visits_end_where_deletes_take_several_files_and_exceed_the_budgets(spark, tmp_path):
     base = spark.createDataFrame([(i, f"v{i}") for i in range(400)], "id long, v string")
     table = Table.create(spark, f"{tmp_path}/t", schema.infer_spec(base, "t", ("id",)))
